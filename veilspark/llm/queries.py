@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, isomedia, lengths, packing, planes
+from veilspark.llm import bpe, isomedia, lengths, packing, planes, secrets
 from veilspark.llm.base import documents
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(documents(spark, sf_dir)))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir))
 
@@ -28,5 +32,5 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_media, op7_token_histogram, op9_id_planes, op10_length_buckets)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secrets, op4_bpe, op5_media, op7_token_histogram, op9_id_planes, op10_length_buckets)}
+ORACLES: dict[str, str] = {"op1_secrets": secrets.ORACLE}
