@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, isomedia, lengths, packing, planes, secrets
+from veilspark.llm import bpe, isomedia, lengths, ngramjoin, packing, planes, secrets, suffixes
 from veilspark.llm.base import documents
 
 
@@ -12,6 +12,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op3_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest_documents(documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir))
 
@@ -24,6 +28,10 @@ def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_histogram(documents(spark, sf_dir))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_documents(documents(spark, sf_dir))
+
+
 def op9_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_documents(planes.write_ids(documents(spark, sf_dir)))
 
@@ -32,5 +40,5 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_bpe, op5_media, op7_token_histogram, op9_id_planes, op10_length_buckets)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_suffix_family, op4_bpe, op5_media, op7_token_histogram, op8_ngram_join, op9_id_planes, op10_length_buckets)}
 ORACLES: dict[str, str] = {"op1_secrets": secrets.ORACLE}

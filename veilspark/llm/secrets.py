@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.base import doc_id, keyed, stash
+from veilspark.llm.base import NO_ID, doc_id, keyed, stash
 
 
 def _either(word: str) -> str:
@@ -47,7 +47,7 @@ def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ..
     """(row, k, owner, repo, ord, start, end, hash) of each candidate; a row with null ord for a document without any."""
     names = F.concat_ws("\x1f", *(F.coalesce(F.col(f"r{i}"), F.lit("")) for i in range(len(repository))))
     kept = keyed(docs, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), *(F.col(c).cast("string").alias(f"r{i}") for i, c in enumerate(repository)))
-    found = kept.select(F.monotonically_increasing_id().alias("row"), "k", "owner", names.alias("repo"), F.posexplode_outer(F.concat(*(_matches(F.col("text"), i) for i in range(len(KINDS))))).alias("i", "m"))
+    found = kept.withColumn("row", F.monotonically_increasing_id()).select("row", "k", "owner", names.alias("repo"), F.posexplode_outer(F.concat(*(_matches(F.col("text"), i) for i in range(len(KINDS))))).alias("i", "m"))
     running = F.sum(F.col("m.gap") + F.length("m.match")).over(W.partitionBy("row", "ord").orderBy("i"))
     placed = found.withColumn("ord", F.col("m.ord")).withColumn("end", running).withColumn("start", F.col("end") - F.length("m.match"))
     value, keep = F.lit(None), F.col("ord").isNull()
@@ -95,9 +95,10 @@ def digest(scanned: DataFrame) -> DataFrame:
     """The contract's columns of ``scan``: counts and digest of base spans, all spans, and how many look live or copied."""
     base = F.filter("spans", lambda s: s["ord"] < len(KINDS) - 1)
     count = lambda keep: F.size(F.filter("spans", keep)).cast("long")
+    of_kind = lambda i: lambda s: s["ord"] == i
     return scanned.select(
         doc_id(),
-        *(count(lambda s, i=i: s["ord"] == i).alias(f"n_{KINDS[i][0]}") for i in range(len(KINDS) - 1)),
+        *(count(of_kind(i)).alias(f"n_{KINDS[i][0]}") for i in range(len(KINDS) - 1)),
         F.sha2(_written(base), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"), count(lambda s: ~s["live"]).alias("n_copied"),
     )
@@ -105,9 +106,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
     """docs with every span that ``scan`` reports replaced by ``mark``; all columns and rows stay."""
-    row = F.monotonically_increasing_id()
-    spans = scan(docs, max_owners=max_owners).where(F.size("spans") > 0).select(F.col("row").alias("__row"), "spans")
-    numbered = docs.withColumn("__row", row)
+    spans = scan(docs, max_owners=max_owners).where(F.size("spans") > 0).groupBy("k").agg(F.first("spans").alias("__spans")).withColumnRenamed("k", "__k")
+    numbered = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     # walk the spans by start; what overlaps the span before it is covered by the same mark
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -115,8 +115,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS
         piece = F.when(s["start"] >= acc["at"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    text = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return numbered.join(spans, "__row", "left").select(*(F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    text = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    return numbered.join(spans, "__k", "left").select(*(F.when(F.col("__spans").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 def _found_sql(order: int) -> str:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.llm import hashing
 from veilspark.llm.base import doc_id, keyed, partitions, record, stash, utf8
@@ -320,6 +321,5 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     row = F.struct(F.col("text").isNull().alias("__null"), *rest).alias("row")
     kept = keyed(docs, row).repartition(partitions(docs.sparkSession), "k").join(marks, "k", "left").select("row", "text", "lo", "n")
-    kind = kept.schema["row"].dataType.simpleString()
-    done = kept.mapInArrow(rows, f"row {kind}, text string")
+    done = kept.mapInArrow(rows, T.StructType([kept.schema["row"], T.StructField("text", T.StringType())]))
     return done.select(*(F.when(~F.col("row.__null"), F.col("text")).alias("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns))
