@@ -36,16 +36,24 @@ _ROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("
 _ELEMENT, _SIZE, _EDGE, _PAIR, _MEMBER = range(5)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the n-grams of words of each document; of all its words where they are fewer than n."""
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+, A-Z in lower case, and where each document's words begin and end among them.
+    Another table of the bytes that set words apart may be given."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+    space = apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     start = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | edge[:-1])) if len(data) else np.zeros(0, np.int64)
     end = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1 if len(data) else start
-    word = hashing.span(hashing.prefix(data), start, end)
-    at = np.searchsorted(start, bounds)
+    return hashing.span(hashing.prefix(data), start, end), np.searchsorted(start, bounds)
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the n-grams of words of each document; of all its words where they are fewer than n."""
+    word, at = word_hashes(data, bounds)
     place = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 2**64) | 1) for i in range(n)]
     whole = np.zeros(max(len(word) - n + 1, 0), np.uint64)
     for i, p in enumerate(place):
@@ -83,7 +91,7 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _texts(batch):
+def runs_of_texts(batch):
     """(ids, data, bounds) of runs of documents of about half a megabyte."""
     data, offsets = utf8(batch.column("text"))
     ids, low = np.asarray(batch.column("k")), 0
@@ -99,7 +107,7 @@ def frequent(texts: DataFrame, n: int) -> np.ndarray:
 
     def rows(batches):
         for batch in batches:
-            for _, _, data, bounds in _texts(batch):
+            for _, _, data, bounds in runs_of_texts(batch):
                 h, count = np.unique(np.concatenate(shingle_sets(data, bounds, n)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "n"])
 
@@ -156,7 +164,7 @@ def _elements(n: int, num: int, den: int, buckets: int, late: np.ndarray):
     def rows(batches):
         held, size = [], 0
         for batch in batches:
-            for _, ids, data, bounds in _texts(batch):
+            for _, ids, data, bounds in runs_of_texts(batch):
                 held += zip(ids.tolist(), shingle_sets(data, bounds, n), strict=True)
                 size += len(data)
                 if size >= BATCH:
@@ -225,7 +233,7 @@ _CAND = pa.schema([("k", pa.int64()), ("text", pa.string()), ("size", pa.int64()
 def _signed(n: int):
     def rows(batches):
         for batch in batches:
-            for low, ids, data, bounds in _texts(batch):
+            for low, ids, data, bounds in runs_of_texts(batch):
                 sets = shingle_sets(data, bounds, n)
                 yield record(_CAND, ids, batch.column("text").slice(low, len(ids)), [len(s) for s in sets], [signature(s) for s in sets])
 
@@ -241,7 +249,7 @@ def _verified(n: int, num: int, den: int):
         for batch in batches:
             tiles, roles = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True)), batch.column("role").to_pylist()
             out = []
-            for low, ids, data, bounds in _texts(batch):
+            for low, ids, data, bounds in runs_of_texts(batch):
                 for i, (k, s) in enumerate(zip(ids.tolist(), shingle_sets(data, bounds, n), strict=True), low):
                     if roles[i] == 0:
                         tile, centre, its = tiles[i], k, s

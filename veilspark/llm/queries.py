@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, isomedia, lengths, ngramjoin, packing, planes, secrets, suffixes
+from veilspark.llm import bpe, cotrain, imatch, isomedia, lengths, ngramjoin, packing, planes, secrets, suffixes
 from veilspark.llm.base import documents
 
 
@@ -12,6 +12,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op2_cotrained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_documents(documents(spark, sf_dir))
 
@@ -24,6 +28,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.digest_documents(documents(spark, sf_dir))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.digest_documents(documents(spark, sf_dir))
+
+
 def op7_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.token_histogram(documents(spark, sf_dir))
 
@@ -40,5 +48,5 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_suffix_family, op4_bpe, op5_media, op7_token_histogram, op8_ngram_join, op9_id_planes, op10_length_buckets)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_cotrained, op3_suffix_family, op4_bpe, op5_media, op6_imatch, op7_token_histogram, op8_ngram_join, op9_id_planes, op10_length_buckets)}
 ORACLES: dict[str, str] = {"op1_secrets": secrets.ORACLE}
