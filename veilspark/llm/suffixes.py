@@ -37,8 +37,8 @@ _BITS = np.uint64(24)
 _LOW = np.uint64((1 << 24) - 1)
 _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _BLOB_DDL = "bucket int, kind int, blob binary"
-_MARK = pa.schema([("k", pa.int64()), ("lo", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("mixed", pa.bool_())])
-_MARK_DDL = "k long, lo array<long>, n array<int>, mixed boolean"
+_MARK = pa.schema([("k", pa.int64()), ("lo", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+_MARK_DDL = "k long, lo array<long>, n array<long>"
 
 
 def spans_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -143,30 +143,26 @@ class Family:
             yield self._merge()
 
 
-def _marks(found: list[np.ndarray], mixed: bool):
-    """Rows of marks: one for each document."""
-    k, lo, n = found
-    if not len(k):
-        return
-    order = np.argsort(k, kind="stable")
-    k, lo, n = k[order], lo[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    at = pa.array(np.append(first, len(k)).astype(np.int32))
-    yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.ListArray.from_arrays(at, pa.array(lo)), pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32))), pa.array(np.full(len(first), mixed))], schema=_MARK)
+def _sent(found: list[np.ndarray], kind: int, buckets: int) -> list[tuple]:
+    """Rows of blobs of (k, lo, n), each for a bucket of documents."""
+    k = found[0]
+    to = hashing.bucket(hashing.mix(k.astype(np.uint64)), buckets)
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(buckets + 1))
+    columns = [x[order] for x in (k, found[1], found[2].astype("<i4"))]
+    return [(b, kind, hashing.pack(*(x[cut[b] : cut[b + 1]] for x in columns))) for b in np.flatnonzero(np.diff(cut)).tolist()]
+
+
+def _records(rows: list[tuple]):
+    for low in range(0, len(rows), 64):
+        yield record(_BLOB, *zip(*rows[low : low + 64], strict=True))
 
 
 def _index(batch: list[list[np.ndarray]], buckets: int):
     """Blobs of one batch: kind 0 are suffixes for their bucket, kind 1 repeats that the batch has found itself."""
     level = Level(*(np.concatenate(x) for x in zip(*batch, strict=True)))
-    k, lo, n = level.repeats()
-    rows = [(b, 0, blob) for b, blob in level.blobs(buckets)]
-    if len(k):
-        to = hashing.bucket(hashing.mix(k.astype(np.uint64)), buckets)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        rows += [(b, 1, hashing.pack(*(x[order[cut[b] : cut[b + 1]]] for x in (k, lo, n.astype("<i4"))))) for b in np.flatnonzero(np.diff(cut)).tolist()]
-    for low in range(0, len(rows), 64):
-        yield record(_BLOB, *zip(*rows[low : low + 64], strict=True))
+    found = level.repeats()
+    yield from _records([(b, 0, blob) for b, blob in level.blobs(buckets)] + _sent(found, 1, buckets))
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -203,24 +199,54 @@ def _anchored(length: int, anchor: int, buckets: int):
     return rows
 
 
-def _family(with_mixed: bool):
+def _family(buckets: int, with_mixed: bool):
+    """Blobs of a bucket of hashes to blobs of marks for buckets of documents: kind 0 are repeats, kind 1 mixed spans."""
+
     def rows(batches):
-        family = Family()
+        family, held = Family(), []
         for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            for to, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
                 if kind:
-                    yield from _marks(hashing.unpack(blob), False)
+                    yield from _records([(to, 0, blob)])
                 else:
-                    for found in family.add(Level.from_blob(blob)):
-                        yield from _marks(found, False)
-        for found in family.close():
-            yield from _marks(found, False)
+                    held += family.add(Level.from_blob(blob))
+                    if sum(len(x[0]) for x in held) > 4_000_000:
+                        yield from _records(_sent([np.concatenate(x) for x in zip(*held, strict=True)], 0, buckets))
+                        held = []
+        held += family.close()
+        if held:
+            yield from _records(_sent([np.concatenate(x) for x in zip(*held, strict=True)], 0, buckets))
         if with_mixed and family.levels:
-            yield from _marks(family.levels[0].mixed(), True)
+            yield from _records(_sent(family.levels[0].mixed(), 1, buckets))
 
     return rows
 
 
+def _gathered(batches):
+    """Marks of a bucket of documents: a row for each document, its windows as runs."""
+    parts = [hashing.unpack(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
+    if not parts:
+        return
+    k, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((lo, k))
+    k, lo, end = k[order], lo[order], lo[order] + n[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    # runs: a new one starts where the document changes or a window starts beyond all before it
+    base = np.cumsum(np.concatenate([[0], np.maximum.reduceat(end, first)[:-1] + 1]))
+    shift = np.repeat(base, np.diff(np.append(first, len(k))))
+    reach = np.maximum.accumulate(end + shift)
+    new = np.concatenate([[True], lo[1:] + shift[1:] > reach[:-1]])
+    run = np.flatnonzero(new)
+    stop = reach[np.append(run[1:], len(k)) - 1] - shift[run]
+    rk, rlo, rn = k[run], lo[run], stop - lo[run]
+    first = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1]]))
+    at = np.append(first, len(rk))
+    for low in range(0, len(first), 4096):
+        a, b = at[low], at[min(low + 4096, len(first))]
+        offsets = pa.array((at[low : low + 4097] - a).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(rk[first[low : low + 4096]]), pa.ListArray.from_arrays(offsets, pa.array(rlo[a:b])), pa.ListArray.from_arrays(offsets, pa.array(rn[a:b]))], schema=_MARK)
+
+
 def _windows(length: int, buckets: int):
     """Every window of the listed spans of each document."""
 
@@ -249,12 +275,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     n = partitions(docs.sparkSession)
     texts = keyed(docs)
     anchored = texts.mapInArrow(_anchored(length, anchor, n), _BLOB_DDL).repartitionById(n, "bucket")
-    marks = stash(anchored.mapInArrow(_family(True), _MARK_DDL))
+    marks = stash(anchored.mapInArrow(_family(n, True), _BLOB_DDL))
     by_id = texts.repartition(n, "k")
-    gather = lambda df: df.groupBy("k").agg(F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("n")).alias("n"))
-    partly = by_id.join(gather(marks.where("mixed")), "k").select("k", "text", "lo", "n")
-    windows = partly.mapInArrow(_windows(length, n), _BLOB_DDL).repartitionById(n, "bucket").mapInArrow(_family(False), _MARK_DDL)
-    return by_id, gather(marks.where("NOT mixed").unionByName(windows))
+    gather = lambda df: df.repartitionById(n, "bucket").mapInArrow(_gathered, _MARK_DDL)
+    partly = by_id.join(gather(marks.where("kind = 1")), "k").select("k", "text", "lo", "n")
+    windows = partly.mapInArrow(_windows(length, n), _BLOB_DDL).repartitionById(n, "bucket").mapInArrow(_family(n, False), _BLOB_DDL)
+    return by_id, gather(marks.where("kind = 0").unionByName(windows))
 
 
 _DIGEST = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
