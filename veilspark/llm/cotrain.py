@@ -174,6 +174,12 @@ def co_train(labelled: list[tuple], y: np.ndarray, weight: np.ndarray, pool: lis
     return CoTrained(views, fit_logistic(x, y[test], weight[test], 1e-6, 400))
 
 
+def constant(answer: bool) -> CoTrained:
+    """The classifier for labels of one class, or for none."""
+    views = tuple(View(n, 0, np.zeros(n, np.float32), 8.0 if answer else -8.0) for n in (TEXT_SIZE, META_SIZE))
+    return CoTrained(views, np.array([0.0, 0.0, 8.0 if answer else -8.0]))
+
+
 _SAMPLE = pa.schema([("k", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("text", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))])
 
 
@@ -224,6 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     made = {}
     for name, y in (("quality", q), ("toxic", t)):
         target = y[seen].astype(np.float64)
+        if len(set(target)) < 2:
+            made[name] = constant(bool(target[0]) if len(target) else name == "quality")
+            continue
         # strata weigh as in the whole table for the bias and calibration, but no row weighs over ten times the mean
         made[name] = co_train([features[i] for i in seen], target, np.minimum(weight, 10), rest, rounds)
     return made

@@ -199,7 +199,7 @@ def _runs(sizes: list[int], most: int = 1 << 19):
 def digest_documents(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
 
-    The next document is that of the next larger doc_id (ties by a hash of the text), after the last the first; a sole
+    The next document is the next row by doc_id (ties by a hash of the text), after the last the first; a sole
     document is its own next. An empty or null text holds no terms; likeness is 1 if both sides hold none, 0 if one does.
     Sorting is by range, so the last document of a partition meets the first of the next in a join of one row for each."""
     spark = docs.sparkSession
