@@ -214,7 +214,7 @@ def forced_cells(spark, d):
 @query
 def masked_cells(spark, d):
     """Header words decide what is masked in each column."""
-    marked = segments.mark_cells(cells(spark, d), ["doc"])
+    marked = segments.mark_cells(cells(spark, d), ["doc"]).persist()
     done = segments.mask_segments(segments.detect_segments(marked))
     return done.select("doc", "row", "col", "masked", "n_applied")
 
@@ -398,6 +398,7 @@ def csv_segments(spark, d):
 def csv_roundtrip(spark, d):
     """CSV files read, masked, written and read again: the texts that come back."""
     files = _csv_files(spark, d)
-    done = segments.mask_segments(segments.detect_segments(read_segments(files)))
+    # what is read is cached, so that each adaptive step plans the joins below or the long expressions above, not both
+    done = segments.mask_segments(segments.detect_segments(read_segments(files).persist())).select("path", "seq", "seg_id", "masked").persist()
     back = read_segments(write_masked(files, done).select(F.col("path"), "content"))
     return back.select("path", "seg_id", "text")
