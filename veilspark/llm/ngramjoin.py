@@ -1,16 +1,18 @@
 """Operator 8, n-gram Jaccard join: size-banded tiles with hashed bitmap signatures.
 
-A document's set are the hashes of its distinct word n-grams. Two sets of Jaccard t or more share one of the
-first |x| - ceil(t |x|) + 1 elements in any common order; the order here is by hash, with n-grams that are
-frequent in a bounded sample last. (The order decides how much work there is, not what is found.)
+A document's set are the hashes of its distinct word n-grams. In a band of sizes, sets of Jaccard t or more differ in
+a bounded number d of elements. The band cuts the range of hashes into more than d parts, so such sets agree in whole
+parts: in at least as many as there are parts beyond d. Sets that agree in a part and lie in the same or the next band
+form a tile. Parts with one element or none are left out where a set has fewer of them than it must agree in.
 
-1. Batches of documents give these elements, sorted and cut into buckets of hashes; documents that share an
-   element and lie in one band of sizes form a tile. Equal sets of one batch are linked at once.
+1. Batches of documents give hashes of their parts, sorted and cut into buckets. Equal sets of one batch are linked
+   at once.
 2. Tiles suggest pairs: to the least document and to the next one by size. For the best few of each document,
    bitmaps bound the overlap from above by their differing bits; pairs that pass are intersected exactly, next to
    each other in one task, as sorted arrays.
-3. Links become components. Whatever pair of a tile is still in two components is put through the same test, so
-   that no link between components is lost, while the pairs of one component are never listed.
+3. Links become components. In tiles that hold several components, the bitmaps of all documents of different
+   components are compared, in blocks of bounded size, and the few pairs that pass are intersected exactly. So no link
+   between components is lost, while the pairs of one component are never listed.
 """
 
 from __future__ import annotations
@@ -27,10 +29,11 @@ from veilspark.llm.components import connected
 
 #: Words of an n-gram; least similarity as a ratio; of the contract and of near-duplicate stages.
 CONTRACT, NEAR = (3, 90, 100), (5, 80, 100)
-#: Documents in the sample of frequent n-grams, of which share they must be, and how many are listed at most.
-SAMPLE, FREQUENT, LISTED = 4000, 1 / 1000, 100_000
-#: Bytes of text in a batch; bits of a signature; suggested pairs tried for each document in the first pass; members of one tile task.
-BATCH, BITS, TRIED, TILE = 48_000_000, 1024, 3, 256
+#: Ratio of the sizes at the ends of a band; parts beyond those that may differ, as a share of these.
+BAND, SPARE = 1.5, 0.2
+#: Bytes of text in a batch; bits of a signature for each element; suggested pairs tried for each document in the first pass; members of a centre in one task;
+#: documents of a tile in one block.
+BATCH, BITS, TRIED, TILE, BLOCK = 48_000_000, 4, 3, 256, 4096
 _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _ROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
 _ELEMENT, _SIZE, _EDGE, _PAIR, _MEMBER = range(5)
@@ -71,12 +74,47 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> list[np.ndarra
     return sets
 
 
-def prefix_size(size: int, num: int, den: int) -> int:
-    return size - -(-num * size // den) + 1 if size else 0
-
-
-def signature(elements: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Parities of the elements by hashed bit: sets differ in as many elements as their signatures in bits, or more."""
+class Bands:
+    """Bands of set sizes for a threshold, and the parts of a set in its own band and, if it is small there, in the one below."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.top, self.parts, self.spare, self.salt = [], [], [], []
+
+    def of(self, size: int) -> int:
+        while not self.top or self.top[-1] < size:
+            low = self.top[-1] + 1 if self.top else 1
+            high = max(low, int(low * max(BAND, 1.2 * self.den / self.num)))
+            differ = high * (self.den - self.num) // self.num
+            spare = int(np.ceil(SPARE * differ))
+            self.salt.append(hashing.mix(np.arange(differ + 1 + spare, dtype=np.uint64) + np.uint64((len(self.top) + 1) << 40)))
+            self.top.append(high)
+            self.parts.append(differ + 1 + spare)
+            self.spare.append(spare)
+        return int(np.searchsorted(self.top, size))
+
+    def keys(self, elements: np.ndarray) -> np.ndarray:
+        """Hashes of the parts of a sorted set, for each of its bands."""
+        n = len(elements)
+        own = self.of(n)
+        bands = [own, own - 1] if own and n * self.num <= self.top[own - 1] * self.den else [own]
+        total = np.concatenate([[np.uint64(0)], np.cumsum(hashing.mix(elements + np.uint64(0x632BE59BD9B4E019)))])
+        out = []
+        for b in bands:
+            cut = np.searchsorted(hashing.bucket(elements, self.parts[b]), np.arange(self.parts[b] + 1))
+            count = np.diff(cut)
+            key = hashing.mix(total[cut[1:]] - total[cut[:-1]] + self.salt[b])
+            few = count < 2
+            if few.sum() > self.spare[b]:
+                few = count < 1
+            out.append(key[~few] if few.sum() <= self.spare[b] else key)
+        return np.concatenate(out)
+
+
+def signature(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements by hashed bit: sets differ in as many elements as their signatures in bits, or more.
+    A signature has BITS bits for each element, rounded up to a power of two; folding its halves gives the next shorter one."""
+    bits = 1 << max(6, int(len(elements) * BITS - 1).bit_length())
     count = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((count & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -101,24 +139,9 @@ def runs_of_texts(batch):
         low = high
 
 
-def frequent(texts: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of n-grams in many documents of a sample of about SAMPLE documents, chosen by hash; LISTED at most."""
-    every = max(1, texts.count() // SAMPLE)
-
-    def rows(batches):
-        for batch in batches:
-            for _, _, data, bounds in runs_of_texts(batch):
-                h, count = np.unique(np.concatenate(shingle_sets(data, bounds, n)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "n"])
-
-    sample = texts.where(F.pmod(F.xxhash64("k", F.lit(11)), F.lit(every)) == 0)
-    least = max(3, round(SAMPLE * FREQUENT))
-    top = sample.mapInArrow(rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(LISTED)
-    return np.sort(top.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
-
-
-def _elements(n: int, num: int, den: int, buckets: int, late: np.ndarray):
+def _elements(n: int, num: int, den: int, buckets: int):
     """The index rows of batches of documents."""
+    bands = Bands(num, den)
 
     def send(kind, key, *columns):
         to = hashing.bucket(key, buckets)
@@ -139,14 +162,7 @@ def _elements(n: int, num: int, den: int, buckets: int, late: np.ndarray):
             if (rep := first.setdefault(whole, k)) != k:
                 edges.append((rep, k))
             else:
-                p = prefix_size(len(s), num, den)
-                rare = s
-                if len(late):
-                    rare = s[late[np.minimum(np.searchsorted(late, s), len(late) - 1)] != s]
-                chosen = rare[:p]
-                if len(chosen) < p:
-                    chosen = np.concatenate([chosen, np.setdiff1d(s, rare, assume_unique=True)[: p - len(chosen)]])
-                elements.append(chosen)
+                elements.append(bands.keys(s))
                 of.append(k)
                 element_size.append(len(s))
         out = []
@@ -157,7 +173,7 @@ def _elements(n: int, num: int, den: int, buckets: int, late: np.ndarray):
             out += send(_EDGE, hashing.mix(e[:, 1].astype(np.uint64)), e[:, 0].copy(), e[:, 1].copy())
         if elements:
             count = [len(x) for x in elements]
-            out += send(_ELEMENT, hashing.mix(np.concatenate(elements)), np.repeat(np.array(of, np.int64), count), np.repeat(np.array(element_size, "<u4"), count))
+            out += send(_ELEMENT, np.concatenate(elements), np.repeat(np.array(of, np.int64), count), np.repeat(np.array(element_size, "<u4"), count))
         for low in range(0, len(out), 64):
             yield record(_BLOB, *zip(*out[low : low + 64], strict=True))
 
@@ -261,10 +277,67 @@ def _verified(n: int, num: int, den: int):
     return rows
 
 
+def _crossing(num: int, den: int):
+    """Of rows ordered by tile and pair of blocks: pairs of different components whose bitmaps allow a link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(rows):
+        k, size, root, block = (np.concatenate([r[c] for r in rows]) for c in ("k", "size", "root", "block"))
+        bits = [x for r in rows for x in r["bits"]]
+        if len(k) < 2 or (root == root[0]).all():
+            return None
+        # signatures of one length: longer ones are folded
+        width = min(map(len, bits))
+        low = np.empty((len(bits), width), np.int64)
+        for i, x in enumerate(bits):
+            while len(x) > width:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            low[i] = x
+        order = np.lexsort((k, size))
+        k, size, root, block, low = k[order], size[order], root[order], block[order], low[order].view(np.uint64)
+        high = np.searchsorted(size, size * den // num, side="right")
+        apart = block.min() != block.max()
+        found = []
+        for i in range(len(k) - 1):
+            j = np.arange(i + 1, high[i])
+            j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (not apart))]
+            if len(j):
+                both = size[i] + size[j]
+                most = (both - np.bitwise_count(low[j] ^ low[i]).sum(1, dtype=np.int64)) // 2
+                j = j[most * den >= (both - most) * num]
+                found.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])]))
+        return np.concatenate(found, 1) if found else None
+
+    def rows(batches):
+        held, at = [], None
+        for batch in batches:
+            tile, low, high = (np.asarray(batch.column(c)) for c in ("tile", "low", "high"))
+            new = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(tile) else []
+            column = {c: np.asarray(batch.column(c)) for c in ("k", "size", "root", "block")}
+            bits = batch.column("bits")
+            values, cut = np.asarray(bits.values), np.asarray(bits.offsets)
+            column["bits"] = [values[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            for a, b in zip(new, [*new[1:], len(tile)], strict=True):
+                if at is not None and at != (tile[a], low[a], high[a]):
+                    if (found := pairs(held)) is not None:
+                        yield record(schema, *found)
+                    held = []
+                at = (tile[a], low[a], high[a])
+                held.append({c: x[a:b] for c, x in column.items()})
+        if held and (found := pairs(held)) is not None:
+            yield record(schema, *found)
+
+    return rows
+
+
 def _links(pairs: DataFrame, cand: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are links: bounded by bitmaps first, then exactly."""
     side = lambda c: cand.select(F.col("k").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    # sizes that may link differ by less than half, so at most one of the signatures is folded once
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2 + 1).cast("int"), (F.size(x) / 2).cast("int")), xor)
+    own = lambda c, d: F.when(F.size(f"bits_{c}") > F.size(f"bits_{d}"), fold(F.col(f"bits_{c}"))).otherwise(F.col(f"bits_{c}"))
+    differ = F.aggregate(F.zip_with(own("a", "b"), own("b", "a"), lambda x, y: F.bit_count(xor(x, y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     both = F.col("size_a") + F.col("size_b")
     most = F.floor((both - differ) / 2)  # elements in common at most
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num).where(most * den >= (both - most) * num).select("a", "b")
@@ -280,14 +353,13 @@ def components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     """(sizes (k, n_shingles) for each row, roots (k, root) for documents that have links)."""
     spark = docs.sparkSession
     p, texts = partitions(spark), keyed(docs)
-    late = spark.sparkContext.broadcast(frequent(texts, n))
-    made = _elements_task(n, num, den, p, late)
-    index = stash(texts.mapInArrow(made, "bucket int, kind int, blob binary").repartitionById(p, "bucket").mapInArrow(_tiles(num, den), "kind int, a long, b long, c long"))
+    index = stash(texts.mapInArrow(_elements(n, num, den, p), "bucket int, kind int, blob binary").repartitionById(p, "bucket").mapInArrow(_tiles(num, den), "kind int, a long, b long, c long"))
     pairs = stash(index.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("c").alias("hits")))
     edges = index.where(F.col("kind") == _EDGE).select("a", "b")
     members = index.where(F.col("kind") == _MEMBER).select(F.col("a").alias("tile"), F.col("b").alias("k"), F.col("c").alias("size")).distinct()
     named = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    cand = stash(texts.join(named, "k", "left_semi").dropDuplicates(["k"]).mapInArrow(_signed(n), "k long, text string, size long, bits array<long>"))
+    # dealt by k whatever its size, so that the plan of small tables is that of large ones
+    cand = stash(texts.repartition(p, "k").join(named, "k").dropDuplicates(["k"]).mapInArrow(_signed(n), "k long, text string, size long, bits array<long>"))
     best = W.partitionBy("b").orderBy(F.desc("hits"), "a")
     tried = stash(pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRIED).select("a", "b"))
     links = stash(_links(tried, cand, n, num, den).unionByName(edges))
@@ -296,24 +368,19 @@ def components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     root = lambda c: F.coalesce(f"r_{c}", c)
     of = lambda c: roots.select(F.col("k").alias(c), F.col("root").alias(f"r_{c}"))
     apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(root("a") != root("b")).select("a", "b")
-    split = members.join(roots, "k", "left").select("tile", "k", "size", F.coalesce("root", "k").alias("root"))
-    torn = split.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("tile")
-    parts = split.join(torn, "tile", "left_semi")
-    left, right = (parts.select("tile", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "size", "root"))) for s in "ab")
-    across = left.join(right, "tile").where((F.col("root_a") != F.col("root_b")) & (F.col("k_a") < F.col("k_b")) & (F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num)).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+    split = members.join(roots, "k", "left").select("tile", "k", F.coalesce("root", "k").alias("root"))
+    torn = split.groupBy("tile").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("first <> last").select("tile", "blocks")
+    dealt = split.join(torn, "tile").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    # a tile of one block is one pair of blocks; a larger one meets itself block by block
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    sided = met.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k", "root").join(cand.select("k", "size", "bits"), "k")
+    across = sided.repartition(p, "tile", "low", "high").sortWithinPartitions("tile", "low", "high").select("tile", "low", "high", "block", "k", "root", "size", "bits").mapInArrow(_crossing(num, den), "a long, b long")
     rest = stash(apart.unionByName(across).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.head(1):
         roots = connected(roots.where("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b")).unionByName(_links(rest, cand, n, num, den)))
     return index.where(F.col("kind") == _SIZE).select(F.col("a").alias("k"), F.col("b").alias("n_shingles")), roots
 
 
-def _elements_task(n, num, den, buckets, late):
-    def rows(batches):
-        yield from _elements(n, num, den, buckets, late.value)(batches)
-
-    return rows
-
-
 def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1], den: int = CONTRACT[2]) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: component_id is the least doc_id that links of Jaccard num / den or
     more reach, the row's own if none. A null, empty or blank text has no n-grams and no links; rows that repeat a document
@@ -324,8 +391,8 @@ def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1]
 
 
 def keep_one(docs: DataFrame, n: int = NEAR[0], num: int = NEAR[1], den: int = NEAR[2]) -> DataFrame:
-    """docs without near copies: of each component the row of the least doc_id stays, with all its columns. Of rows that
-    repeat a doc_id one stays."""
+    """docs without near copies: of each component the document of the least doc_id stays, with all its columns. Rows that
+    repeat its doc_id stay with it."""
     _, roots = components(docs, n, num, den)
     gone = roots.where("k <> root").select(F.col("k").alias("__k"))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
