@@ -394,7 +394,8 @@ def keep_one(docs: DataFrame, n: int = NEAR[0], num: int = NEAR[1], den: int = N
     """docs without near copies: of each component the document of the least doc_id stays, with all its columns. Rows that
     repeat its doc_id stay with it."""
     _, roots = components(docs, n, num, den)
-    gone = roots.where("k <> root").select(F.col("k").alias("__k"))
+    gone = roots.where("k <> root").select(F.col("k").alias("__k"), F.lit(True).alias("__gone"))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    kept = docs.withColumn("__k", own).join(gone, "__k", "left_anti")
-    return kept.drop("__k")
+    # dealt by key whatever the size of either side, so that the plan of small tables is that of large ones
+    dealt = docs.withColumn("__k", own).repartition(partitions(docs.sparkSession), "__k")
+    return dealt.join(gone, "__k", "left").where("__gone IS NULL").drop("__k", "__gone")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.base import NO_ID, doc_id, keyed, stash
+from veilspark.llm.base import NO_ID, doc_id, keyed, partitions, stash
 
 
 def _either(word: str) -> str:
@@ -107,7 +107,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
     """docs with every span that ``scan`` reports replaced by ``mark``; all columns and rows stay."""
     spans = scan(docs, max_owners=max_owners).where(F.size("spans") > 0).groupBy("k").agg(F.first("spans").alias("__spans")).withColumnRenamed("k", "__k")
-    numbered = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    # dealt by key whatever the size of either side, so that the plan of small tables is that of large ones
+    numbered = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).repartition(partitions(docs.sparkSession), "__k")
     # walk the spans by start; what overlaps the span before it is covered by the same mark
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
