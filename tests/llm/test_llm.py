@@ -415,6 +415,75 @@ def test_pipeline(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def rows_of_shared_ids():
+    """Rows of no doc_id, and of one doc_id, with different texts: copies, repeats at the same offset, secrets."""
+    rng = random.Random(11)
+    base, passage = [words(rng, 80) for _ in range(5)], words(rng, 40)
+    secret = "token=" + "".join(rng.choice("0123456789abcdef") for _ in range(30))
+    texts = [(None, passage + base[0]), (None, passage + base[1]), (None, base[2]), (None, base[2] + " end"), (None, f"{secret} {base[3]}"), (None, base[3][:50] + f" {secret}"), (None, None)]
+    texts += [(4, base[4]), (4, f"{passage} two {secret}"), (5, base[2]), (6, base[4] + " end"), (4, base[4]), (None, base[2])]
+    return [(k, t, "en", f"src{i % 2}", len(t or "")) for i, (k, t) in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    return spark.createDataFrame(rows_of_shared_ids(), "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+
+
+def counted(df, *columns):
+    return collections.Counter(tuple(r) for r in df.select("doc_id", *columns).collect())
+
+
+def test_redact_tells_rows_of_one_id_apart(shared):
+    found = lambda t: t and re.sub("token=[0-9a-f]{30}", "[SECRET]", t)
+    assert counted(secrets.redact(shared), "text") == collections.Counter((r[0], found(r[1])) for r in rows_of_shared_ids())
+
+
+def test_suffixes_tell_rows_of_one_id_apart(spark, shared):
+    once = shared.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("h", F.xxhash64("text"))
+    seen, want, left = set(), {}, {}
+    for k, t, _ in sorted((tuple(r) for r in once.collect()), key=lambda r: (NO_ID if r[0] is None else r[0], r[2])):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(b[i : i + 100])
+        starts = [i for i, c in enumerate(b) if c & 0xC0 != 0x80] + [len(b)]
+        want[k, t] = (len(b), sum(gone), hashlib.sha256(bytes(x for x, y in zip(b, gone, strict=True) if not y)).hexdigest())
+        left[k, t] = b"".join(b[i:j] for i, j in zip(starts, starts[1:], strict=False) if not all(gone[i:j])).decode()
+    rows = [(r[0], r[1] or "") for r in rows_of_shared_ids()]
+    assert counted(suffixes.digest_documents(shared), "n_bytes", "n_removed", "kept_sha256") == collections.Counter((r[0], *want[r]) for r in rows)
+    assert counted(suffixes.drop_repeats(shared), "text") == collections.Counter((r[0], None if raw[1] is None else left[r]) for r, raw in zip(rows, rows_of_shared_ids(), strict=True))
+    assert sum(v[1] > 0 for (k, _), v in want.items() if k is None) >= 2
+
+
+def test_ngram_join_tells_rows_of_one_id_apart(shared):
+    size = lambda t: len({tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(len(w) - 4)})
+    rows = rows_of_shared_ids()
+    linked = {5: None, 6: 4}
+    assert counted(ngramjoin.join_documents(shared, 5, 80, 100), "component_id") == collections.Counter((r[0], linked.get(r[0], r[0])) for r in rows)
+    kept = counted(ngramjoin.keep_one(shared), "text")
+    # of two near copies without a doc_id one stays, with the rows that repeat it
+    pair = [(None, rows[2][1]), (None, rows[3][1])]
+    assert sum(p in kept for p in pair) == 1 and all(kept[p] in (0, n) for p, n in zip(pair, (2, 1), strict=True))
+    assert {k: n for k, n in kept.items() if k not in pair} == collections.Counter((r[0], r[1]) for r in rows if r[0] in (None, 4) and (r[0], r[1]) not in pair) and size(rows[2][1]) > 60
+
+
+def test_cotraining_samples_rows_without_an_id_one_by_one(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    known = labels.select("doc_id").where("doc_id IS NOT NULL")
+    bare = docs.join(known, "doc_id", "left_anti").withColumn("doc_id", F.lit(None).cast("long")).select(docs.columns)
+    given = {}
+    train = cotrain.co_train
+    monkeypatch.setattr(cotrain, "co_train", lambda rows, y, w, pool, rounds: given.update(n=len(rows), pool=len(pool)) or train(rows, y, w, pool, rounds))
+    named = docs.join(known, "doc_id", "left_semi")
+    cotrain.fit(named.unionByName(bare), labels, pool=20)
+    assert given["pool"] == 20 and given["n"] == named.count()
+    cotrain.fit(named.unionByName(bare), labels)
+    assert given["pool"] == bare.select("text").distinct().count()
+
+
 def test_packed_columns_come_back():
     a, b = np.array([1, 5, 2**63], np.uint64), np.array([-3, 0, 7], "<i4")
     x, y = hashing.unpack(hashing.pack(hashing.deltas(a), b))

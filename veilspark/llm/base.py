@@ -3,7 +3,9 @@
 Conventions that every operator keeps:
 
 * ``doc_id`` names a document. A null ``doc_id`` counts as the smallest id, and rows that repeat a
-  ``doc_id`` with the same text are one document: each row gets that document's result.
+  ``doc_id`` with the same text are one document: each row gets that document's result. Rows of one
+  ``doc_id``, or of none, with different texts are different documents. Joins go by k and ``text_hash``;
+  k alone is for order and output.
 * A null text counts as the empty text.
 * Only the columns an operator names are read; other columns never clash with its own.
 """
@@ -40,6 +42,11 @@ def doc_id() -> F.Column:
     return F.when(F.col("k") != F.lit(NO_ID), F.col("k")).alias("doc_id")
 
 
+def text_hash() -> F.Column:
+    """h, which tells documents of one k apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
+
+
 def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(_ARROW)) > ARROW_ROWS:
         spark.conf.set(_ARROW, str(ARROW_ROWS))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.base import NO_ID, doc_id, keyed, record, small_batches
+from veilspark.llm.base import NO_ID, doc_id, keyed, record, small_batches, stash, text_hash
 from veilspark.llm.ngramjoin import runs_of_texts, word_hashes
 
 #: Rows for each pair (quality, toxic) and in the pool at most; rounds; probability from which a view is confident, and
@@ -180,7 +180,7 @@ def constant(answer: bool) -> CoTrained:
     return CoTrained(views, np.array([0.0, 0.0, 8.0 if answer else -8.0]))
 
 
-_SAMPLE = pa.schema([("k", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("text", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))])
+_SAMPLE = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32()), ("text", pa.list_(pa.int32())), ("meta", pa.list_(pa.int32()))])
 
 
 def _lists(doc: np.ndarray, feature: np.ndarray, n: int) -> list[np.ndarray]:
@@ -200,26 +200,31 @@ def _meta(batch, low: int, n: int) -> list[list]:
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict[str, CoTrained]:
     """The classifiers {'quality', 'toxic'}. Labels that are null, other than 0 or 1, or of unknown documents are left out;
-    a label table with one class only gives a classifier that answers with that class."""
+    a null doc_id in labels names a document only if all rows without a doc_id have one text. A label counts for every text
+    of its doc_id. A label table with one class only gives a classifier that answers with that class."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     marks = labels.select(key.alias("k"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).where("quality IN (0, 1) AND toxic IN (0, 1)")
-    parts = [marks.where(f"quality = {q} AND toxic = {t}").orderBy(F.xxhash64("k", F.lit(5)), "k").limit(labelled) for q in (0, 1) for t in (0, 1)]
-    known = docs.select(key.alias("k")).join(marks.select("k"), "k", "left_anti").orderBy(F.xxhash64("k", F.lit(6)), "k").limit(pool)
-    chosen = known.select("k", F.lit(-1).alias("quality"), F.lit(-1).alias("toxic"))
-    for part in parts:
-        chosen = chosen.unionByName(part)
-    chosen = chosen.dropDuplicates(["k"])
+    # every document once, so that neither rows without a doc_id nor repeated rows crowd the sample
+    named = stash(keyed(docs, text_hash()).select("k", "h").distinct())
+    if len(named.where(F.col("k") == NO_ID).take(2)) > 1:
+        marks = marks.where(F.col("k") != NO_ID)
+    judged = stash(named.join(marks, "k", "left").select("k", "h", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic")))
+    drawn = lambda q, t, seed, most: judged.where(f"quality = {q} AND toxic = {t}").orderBy(F.xxhash64("k", "h", F.lit(seed)), "k", "h").limit(most)
+    chosen = drawn(-1, -1, 6, pool)
+    for q, t in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        chosen = chosen.unionByName(drawn(q, t, 5, labelled))
+    chosen = chosen.dropDuplicates(["k", "h"])
     count = {(r["quality"], r["toxic"]): r["count"] for r in marks.groupBy("quality", "toxic").count().collect()}
 
     def rows(batches):
         for batch in batches:
             for low, ids, data, bounds in runs_of_texts(batch):
                 n = len(ids)
-                yield record(_SAMPLE, ids, batch.column("quality").slice(low, n), batch.column("toxic").slice(low, n), _lists(*text_features(data, bounds), n), _lists(*meta_features(data, bounds, *_meta(batch, low, n)), n))
+                yield record(_SAMPLE, ids, batch.column("h").slice(low, n), batch.column("quality").slice(low, n), batch.column("toxic").slice(low, n), _lists(*text_features(data, bounds), n), _lists(*meta_features(data, bounds, *_meta(batch, low, n)), n))
 
     # 4 * labelled + pool rows of two numbers each: safe to broadcast
-    texts = keyed(docs, *_meta_columns(docs)).join(F.broadcast(chosen), "k")
-    found = texts.mapInArrow(rows, "k long, quality int, toxic int, text array<int>, meta array<int>").toArrow().sort_by([("k", "ascending")])
+    texts = keyed(docs, text_hash(), *_meta_columns(docs)).join(F.broadcast(chosen), ["k", "h"]).dropDuplicates(["k", "h"])
+    found = texts.mapInArrow(rows, "k long, h long, quality int, toxic int, text array<int>, meta array<int>").toArrow().sort_by([("k", "ascending"), ("h", "ascending")])
     q, t = (found[c].to_numpy() for c in ("quality", "toxic"))
     features = list(zip((np.asarray(x.values, dtype=np.int64) for x in found["text"]), (np.asarray(x.values, dtype=np.int64) for x in found["meta"]), strict=True))
     order = np.argsort(np.random.default_rng(9).permutation(len(q)), kind="stable")

@@ -140,7 +140,7 @@ def runs_of_texts(batch):
 
 
 def _elements(n: int, num: int, den: int, buckets: int):
-    """The index rows of batches of documents."""
+    """The index rows of batches of documents; a size comes with the order ``doc`` of its document."""
     bands = Bands(num, den)
 
     def send(kind, key, *columns):
@@ -153,9 +153,9 @@ def _elements(n: int, num: int, den: int, buckets: int):
 
     def flush(seen):
         edges, of, elements, element_size = [], [], [], []
-        ids, sizes = [k for k, _ in seen], [len(s) for _, s in seen]
+        ids, sizes, order = [k for k, _, _ in seen], [len(s) for _, s, _ in seen], [d for _, _, d in seen]
         first: dict[int, int] = {}
-        for k, s in seen:
+        for k, s, _ in seen:
             if not len(s):
                 continue
             whole = hash((len(s), int(np.bitwise_xor.reduce(hashing.mix(s + np.uint64(1)))), int(s.sum(dtype=np.uint64))))
@@ -167,7 +167,7 @@ def _elements(n: int, num: int, den: int, buckets: int):
                 element_size.append(len(s))
         out = []
         k = np.array(ids, np.int64)
-        out += send(_SIZE, hashing.mix(k.astype(np.uint64)), k, np.array(sizes, np.int64))
+        out += send(_SIZE, hashing.mix(k.astype(np.uint64)), k, np.array(sizes, np.int64), np.array(order, np.int64))
         if edges:
             e = np.array(edges, np.int64)
             out += send(_EDGE, hashing.mix(e[:, 1].astype(np.uint64)), e[:, 0].copy(), e[:, 1].copy())
@@ -180,8 +180,8 @@ def _elements(n: int, num: int, den: int, buckets: int):
     def rows(batches):
         held, size = [], 0
         for batch in batches:
-            for _, ids, data, bounds in runs_of_texts(batch):
-                held += zip(ids.tolist(), shingle_sets(data, bounds, n), strict=True)
+            for low, ids, data, bounds in runs_of_texts(batch):
+                held += zip(ids.tolist(), shingle_sets(data, bounds, n), batch.column("doc").slice(low, len(ids)).to_pylist(), strict=True)
                 size += len(data)
                 if size >= BATCH:
                     yield from flush(held)
@@ -205,7 +205,7 @@ def _tiles(num: int, den: int):
                     ks.append(columns[0])
                     sizes.append(columns[1].astype(np.int64))
                 else:
-                    yield record(_ROW, np.full(len(delta), kind), columns[0], columns[1], np.zeros(len(delta), np.int64))
+                    yield record(_ROW, np.full(len(delta), kind), columns[0], columns[1], columns[2] if kind == _SIZE else np.zeros(len(delta), np.int64))
         if not keys:
             return
         key, k, size = np.concatenate(keys), np.concatenate(ks), np.concatenate(sizes)
@@ -349,17 +349,24 @@ def _links(pairs: DataFrame, cand: DataFrame, n: int, num: int, den: int) -> Dat
     return together.select("a", "part", "role", "k", "text").mapInArrow(_verified(n, num, den), "a long, b long")
 
 
+def _own(doc, text) -> F.Column:
+    """The id of a document: rows of one doc_id with different texts have different ones."""
+    return F.xxhash64(doc, text)
+
+
 def components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(sizes (k, n_shingles) for each row, roots (k, root) for documents that have links)."""
+    """(sizes (k, n_shingles, doc) for each row, roots (k, root, first) for documents that have links). Here k is ``_own``, which
+    rows of one document share, and doc the id that ``keyed`` makes; root is the document of the least doc in its component
+    and first that doc. Of several with that doc, the one of least k is root."""
     spark = docs.sparkSession
-    p, texts = partitions(spark), keyed(docs)
+    p, texts = partitions(spark), keyed(docs).select(_own("k", "text").alias("k"), "text", F.col("k").alias("doc"))
     index = stash(texts.mapInArrow(_elements(n, num, den, p), "bucket int, kind int, blob binary").repartitionById(p, "bucket").mapInArrow(_tiles(num, den), "kind int, a long, b long, c long"))
     pairs = stash(index.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("c").alias("hits")))
     edges = index.where(F.col("kind") == _EDGE).select("a", "b")
     members = index.where(F.col("kind") == _MEMBER).select(F.col("a").alias("tile"), F.col("b").alias("k"), F.col("c").alias("size")).distinct()
     named = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     # dealt by k whatever its size, so that the plan of small tables is that of large ones
-    cand = stash(texts.repartition(p, "k").join(named, "k").dropDuplicates(["k"]).mapInArrow(_signed(n), "k long, text string, size long, bits array<long>"))
+    cand = stash(texts.select("k", "text").repartition(p, "k").join(named, "k").dropDuplicates(["k"]).mapInArrow(_signed(n), "k long, text string, size long, bits array<long>"))
     best = W.partitionBy("b").orderBy(F.desc("hits"), "a")
     tried = stash(pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRIED).select("a", "b"))
     links = stash(_links(tried, cand, n, num, den).unionByName(edges))
@@ -378,7 +385,11 @@ def components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     rest = stash(apart.unionByName(across).distinct().join(tried, ["a", "b"], "left_anti"))
     if rest.head(1):
         roots = connected(roots.where("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b")).unionByName(_links(rest, cand, n, num, den)))
-    return index.where(F.col("kind") == _SIZE).select(F.col("a").alias("k"), F.col("b").alias("n_shingles")), roots
+    sizes = index.where(F.col("kind") == _SIZE).select(F.col("a").alias("k"), F.col("b").alias("n_shingles"), F.col("c").alias("doc"))
+    # a large component shrinks to a row for each task before it meets itself
+    roots = stash(roots.join(sizes.select("k", "doc"), "k").distinct())
+    heads = roots.groupBy("root").agg(F.min(F.struct("doc", "k")).alias("head"))
+    return sizes, roots.join(heads, "root").select("k", F.col("head.k").alias("root"), F.col("head.doc").alias("first"))
 
 
 def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1], den: int = CONTRACT[2]) -> DataFrame:
@@ -386,16 +397,16 @@ def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1]
     more reach, the row's own if none. A null, empty or blank text has no n-grams and no links; rows that repeat a document
     have its values. Words end at ASCII white space, and only A-Z change case."""
     sizes, roots = components(docs, n, num, den)
-    component = F.coalesce("root", "k")
-    return sizes.join(roots, "k", "left").select(doc_id(), "n_shingles", F.when(component != F.lit(-(2**63)), component).alias("component_id"))
+    found = sizes.join(roots, "k", "left").select(F.col("doc").alias("k"), "n_shingles", F.coalesce("first", "doc").alias("first"))
+    return found.select(doc_id(), "n_shingles", F.when(F.col("first") != F.lit(-(2**63)), F.col("first")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = NEAR[0], num: int = NEAR[1], den: int = NEAR[2]) -> DataFrame:
     """docs without near copies: of each component the document of the least doc_id stays, with all its columns. Rows that
-    repeat its doc_id stay with it."""
+    repeat its doc_id and text stay with it."""
     _, roots = components(docs, n, num, den)
     gone = roots.where("k <> root").select(F.col("k").alias("__k"), F.lit(True).alias("__gone"))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    own = _own(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.coalesce(F.col("text"), F.lit("")))
     # dealt by key whatever the size of either side, so that the plan of small tables is that of large ones
     dealt = docs.withColumn("__k", own).repartition(partitions(docs.sparkSession), "__k")
     return dealt.join(gone, "__k", "left").where("__gone IS NULL").drop("__k", "__gone")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.base import NO_ID, doc_id, keyed, partitions, stash
+from veilspark.llm.base import NO_ID, doc_id, keyed, partitions, stash, text_hash
 
 
 def _either(word: str) -> str:
@@ -44,10 +44,10 @@ def _matches(text: Column, order: int) -> Column:
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """(row, k, owner, repo, ord, start, end, hash) of each candidate; a row with null ord for a document without any."""
+    """(row, k, h, owner, repo, ord, start, end, hash) of each candidate; a row with null ord for a document without any."""
     names = F.concat_ws("\x1f", *(F.coalesce(F.col(f"r{i}"), F.lit("")) for i in range(len(repository))))
-    kept = keyed(docs, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), *(F.col(c).cast("string").alias(f"r{i}") for i, c in enumerate(repository)))
-    found = kept.withColumn("row", F.monotonically_increasing_id()).select("row", "k", "owner", names.alias("repo"), F.posexplode_outer(F.concat(*(_matches(F.col("text"), i) for i in range(len(KINDS))))).alias("i", "m"))
+    kept = keyed(docs, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), *(F.col(c).cast("string").alias(f"r{i}") for i, c in enumerate(repository)), text_hash())
+    found = kept.withColumn("row", F.monotonically_increasing_id()).select("row", "k", "h", "owner", names.alias("repo"), F.posexplode_outer(F.concat(*(_matches(F.col("text"), i) for i in range(len(KINDS))))).alias("i", "m"))
     running = F.sum(F.col("m.gap") + F.length("m.match")).over(W.partitionBy("row", "ord").orderBy("i"))
     placed = found.withColumn("ord", F.col("m.ord")).withColumn("end", running).withColumn("start", F.col("end") - F.length("m.match"))
     value, keep = F.lit(None), F.col("ord").isNull()
@@ -60,7 +60,7 @@ def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ..
         keep = keep | ((F.col("ord") == i) & good)
     # a dropped match leaves a row without a candidate, so that no document is lost
     live = F.when(keep, F.col("ord"))
-    return placed.select("row", "k", "owner", "repo", live.alias("ord"), F.when(live.isNotNull(), F.col("start")).alias("start"), F.when(live.isNotNull(), F.col("end")).alias("end"), F.when(live.isNotNull(), F.sha2(value, 256)).alias("hash"))
+    return placed.select("row", "k", "h", "owner", "repo", live.alias("ord"), F.when(live.isNotNull(), F.col("start")).alias("start"), F.when(live.isNotNull(), F.col("end")).alias("end"), F.when(live.isNotNull(), F.sha2(value, 256)).alias("hash"))
 
 
 def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -72,7 +72,7 @@ def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(row, k, spans array<struct<start,ord,end,live>>): all spans of each row of docs, by start and kind; empty for a
+    """(row, k, h, spans array<struct<start,ord,end,live>>): all spans of each row of docs, by start and kind; empty for a
     null or empty text or one without secrets. Positions are code points, ends exclusive."""
     found = stash(candidates(docs, owner, repository))
     judged = found.join(ownership(found, max_owners).select("hash", "live"), "hash", "left")
@@ -83,7 +83,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     free = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     kept = judged.withColumn("free", free).withColumn("shown", base | (F.col("live") & F.col("free")))
     span = F.struct("start", "ord", "end", "live")
-    return kept.groupBy("row", "k").agg(F.array_sort(F.collect_list(F.when(F.col("shown"), span))).alias("spans"))
+    return kept.groupBy("row", "k", "h").agg(F.array_sort(F.collect_list(F.when(F.col("shown"), span))).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -106,9 +106,9 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
     """docs with every span that ``scan`` reports replaced by ``mark``; all columns and rows stay."""
-    spans = scan(docs, max_owners=max_owners).where(F.size("spans") > 0).groupBy("k").agg(F.first("spans").alias("__spans")).withColumnRenamed("k", "__k")
+    spans = scan(docs, max_owners=max_owners).where(F.size("spans") > 0).groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.first("spans").alias("__spans"))
     # dealt by key whatever the size of either side, so that the plan of small tables is that of large ones
-    numbered = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).repartition(partitions(docs.sparkSession), "__k")
+    numbered = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__h", text_hash()).repartition(partitions(docs.sparkSession), "__k", "__h")
     # walk the spans by start; what overlaps the span before it is covered by the same mark
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -117,7 +117,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     text = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return numbered.join(spans, "__k", "left").select(*(F.when(F.col("__spans").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    return numbered.join(spans, ["__k", "__h"], "left").select(*(F.when(F.col("__spans").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 def _found_sql(order: int) -> str:

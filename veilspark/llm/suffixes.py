@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.llm import hashing
-from veilspark.llm.base import doc_id, keyed, partitions, record, stash, utf8
+from veilspark.llm.base import doc_id, keyed, partitions, record, stash, text_hash, utf8
 
 #: Bytes of a repeated string, of an anchor.
 LENGTH, ANCHOR = 100, 32
@@ -37,8 +37,8 @@ _BITS = np.uint64(24)
 _LOW = np.uint64((1 << 24) - 1)
 _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _BLOB_DDL = "bucket int, kind int, blob binary"
-_MARK = pa.schema([("k", pa.int64()), ("lo", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
-_MARK_DDL = "k long, lo array<long>, n array<long>"
+_MARK = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("lo", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+_MARK_DDL = "k long, h long, lo array<long>, n array<long>"
 
 
 def spans_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -67,35 +67,36 @@ def spans_of(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor:
 
 
 class Level:
-    """Suffixes in order: key, whole (48 bits), document, first window, windows."""
+    """Suffixes in order: key, whole (48 bits), document, first window, windows, hash that tells documents of one k apart."""
 
-    def __init__(self, key, whole, k, lo, n):
+    def __init__(self, key, whole, k, lo, n, h=None):
+        h = np.zeros(len(k), np.int64) if h is None else h
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
         same = sorted_key[1:] == sorted_key[:-1]
         tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(key) > 1 else np.zeros(0, np.int64)
         if len(tied):
             at = order[tied]
-            order[tied] = at[np.lexsort((lo[at], k[at], whole[at], key[at]))]
-        self.columns = [x[order] for x in (key, whole, k, lo, n)]
+            order[tied] = at[np.lexsort((lo[at], h[at], k[at], whole[at], key[at]))]
+        self.columns = [x[order] for x in (key, whole, k, lo, n, h)]
 
     def __len__(self) -> int:
         return len(self.columns[0])
 
     def repeats(self) -> list[np.ndarray]:
-        """Takes out all but the earliest of equal suffixes; (k, lo, n) of those taken out. A row that repeats a document goes silently."""
-        key, whole, k, lo, _ = self.columns
+        """Takes out all but the earliest of equal suffixes; (k, lo, n, h) of those taken out. A row that repeats a document goes silently."""
+        key, whole, k, lo, _, h = self.columns
         if len(key) < 2:
             return [x[:0] for x in self.columns[2:]]
         later = np.concatenate([[False], (key[1:] == key[:-1]) & (whole[1:] == whole[:-1])])
-        itself = np.concatenate([[False], (k[1:] == k[:-1]) & (lo[1:] == lo[:-1])]) & later
+        itself = np.concatenate([[False], (k[1:] == k[:-1]) & (h[1:] == h[:-1]) & (lo[1:] == lo[:-1])]) & later
         gone = later & ~itself
         out = [x[gone] for x in self.columns[2:]]
         self.columns = [x[~later] for x in self.columns]
         return out
 
     def mixed(self) -> list[np.ndarray]:
-        """(k, lo, n) of suffixes whose anchor others have too."""
+        """(k, lo, n, h) of suffixes whose anchor others have too."""
         key = self.columns[0]
         same = key[1:] == key[:-1]
         both = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) > 1 else np.zeros(len(key), bool)
@@ -106,14 +107,14 @@ class Level:
         key = self.columns[0]
         cut = np.searchsorted(hashing.bucket(key, buckets), np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cut)).tolist():
-            key_, whole, k, lo, n = (x[cut[b] : cut[b + 1]] for x in self.columns)
-            yield b, hashing.pack(hashing.deltas(key_), whole.astype("<u4"), (whole >> np.uint64(32)).astype("<u2"), k, lo, n.astype("<u1"))
+            key_, whole, k, lo, n, h = (x[cut[b] : cut[b + 1]] for x in self.columns)
+            yield b, hashing.pack(hashing.deltas(key_), whole.astype("<u4"), (whole >> np.uint64(32)).astype("<u2"), k, lo, n.astype("<u1"), h)
 
     @classmethod
     def from_blob(cls, blob: bytes) -> Level:
         made = cls.__new__(cls)
-        delta, low, high, k, lo, n = hashing.unpack(blob)
-        made.columns = [np.cumsum(delta, dtype=np.uint64), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), k, lo, n.astype(np.int64)]
+        delta, low, high, k, lo, n, h = hashing.unpack(blob)
+        made.columns = [np.cumsum(delta, dtype=np.uint64), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), k, lo, n.astype(np.int64), h]
         return made
 
     def merged(self, other: Level) -> Level:
@@ -144,12 +145,12 @@ class Family:
 
 
 def _sent(found: list[np.ndarray], kind: int, buckets: int) -> list[tuple]:
-    """Rows of blobs of (k, lo, n), each for a bucket of documents."""
-    k = found[0]
-    to = hashing.bucket(hashing.mix(k.astype(np.uint64)), buckets)
+    """Rows of blobs of (k, lo, n, h), each for a bucket of documents."""
+    k, h = found[0], found[3]
+    to = hashing.bucket(hashing.mix(k.astype(np.uint64) ^ h.astype(np.uint64)), buckets)
     order = np.argsort(to, kind="stable")
     cut = np.searchsorted(to[order], np.arange(buckets + 1))
-    columns = [x[order] for x in (k, found[1], found[2].astype("<i4"))]
+    columns = [x[order] for x in (k, found[1], found[2].astype("<i4"), h)]
     return [(b, kind, hashing.pack(*(x[cut[b] : cut[b + 1]] for x in columns))) for b in np.flatnonzero(np.diff(cut)).tolist()]
 
 
@@ -185,10 +186,10 @@ def _anchored(length: int, anchor: int, buckets: int):
         held, size = [], 0
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            ids = np.asarray(batch.column("k"))
+            ids, hashes = (np.asarray(batch.column(c)) for c in ("k", "h"))
             for row, bounds, base in _pieces(data, offsets, length):
                 doc, lo, n, key, whole = spans_of(data[bounds[0] : bounds[-1]], bounds - bounds[0], length, anchor)
-                held.append([key, whole & np.uint64((1 << 48) - 1), ids[row + doc], lo + base, n])
+                held.append([key, whole & np.uint64((1 << 48) - 1), ids[row + doc], lo + base, n, hashes[row + doc]])
                 size += int(bounds[-1] - bounds[0])
             if size >= BATCH:
                 yield from _index(held, buckets)
@@ -227,10 +228,10 @@ def _gathered(batches):
     parts = [hashing.unpack(blob) for batch in batches for blob in batch.column("blob").to_pylist()]
     if not parts:
         return
-    k, lo, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((lo, k))
-    k, lo, end = k[order], lo[order], lo[order] + n[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    k, lo, n, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((lo, h, k))
+    k, h, lo, end = k[order], h[order], lo[order], lo[order] + n[order]
+    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
     # runs: a new one starts where the document changes or a window starts beyond all before it
     base = np.cumsum(np.concatenate([[0], np.maximum.reduceat(end, first)[:-1] + 1]))
     shift = np.repeat(base, np.diff(np.append(first, len(k))))
@@ -238,13 +239,13 @@ def _gathered(batches):
     new = np.concatenate([[True], lo[1:] + shift[1:] > reach[:-1]])
     run = np.flatnonzero(new)
     stop = reach[np.append(run[1:], len(k)) - 1] - shift[run]
-    rk, rlo, rn = k[run], lo[run], stop - lo[run]
-    first = np.flatnonzero(np.concatenate([[True], rk[1:] != rk[:-1]]))
+    rk, rh, rlo, rn = k[run], h[run], lo[run], stop - lo[run]
+    first = np.flatnonzero(np.concatenate([[True], (rk[1:] != rk[:-1]) | (rh[1:] != rh[:-1])]))
     at = np.append(first, len(rk))
     for low in range(0, len(first), 4096):
         a, b = at[low], at[min(low + 4096, len(first))]
         offsets = pa.array((at[low : low + 4097] - a).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(rk[first[low : low + 4096]]), pa.ListArray.from_arrays(offsets, pa.array(rlo[a:b])), pa.ListArray.from_arrays(offsets, pa.array(rn[a:b]))], schema=_MARK)
+        yield pa.RecordBatch.from_arrays([pa.array(rk[first[low : low + 4096]]), pa.array(rh[first[low : low + 4096]]), pa.ListArray.from_arrays(offsets, pa.array(rlo[a:b])), pa.ListArray.from_arrays(offsets, pa.array(rn[a:b]))], schema=_MARK)
 
 
 def _windows(length: int, buckets: int):
@@ -254,12 +255,12 @@ def _windows(length: int, buckets: int):
         held, size = [], 0
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for i, (k, los, ns) in enumerate(zip(batch.column("k").to_pylist(), batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+            for i, (k, h, los, ns) in enumerate(zip(batch.column("k").to_pylist(), batch.column("h").to_pylist(), batch.column("lo").to_pylist(), batch.column("n").to_pylist(), strict=True)):
                 lo, n = np.array(los, np.int64), np.array(ns, np.int64)
                 start = np.unique(np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum()))
                 sums = hashing.prefix(data[offsets[i] : offsets[i + 1]])
                 start = start[start + length < len(sums)]
-                held.append([hashing.span(sums, start, start + length), np.zeros(len(start), np.uint64), np.full(len(start), k, np.int64), start, np.ones(len(start), np.int64)])
+                held.append([hashing.span(sums, start, start + length), np.zeros(len(start), np.uint64), np.full(len(start), k, np.int64), start, np.ones(len(start), np.int64), np.full(len(start), h, np.int64)])
                 size += len(start)
             if size >= 2_000_000:
                 yield from _index(held, buckets)
@@ -271,14 +272,14 @@ def _windows(length: int, buckets: int):
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(texts, marks): documents by k, and for each k with repeats lists lo, n: n windows from byte lo on are repeated."""
+    """(texts, marks): documents by k and h, and for each of them with repeats lists lo, n: n windows from byte lo on are repeated."""
     n = partitions(docs.sparkSession)
-    texts = keyed(docs)
+    texts = keyed(docs, text_hash())
     anchored = texts.mapInArrow(_anchored(length, anchor, n), _BLOB_DDL).repartitionById(n, "bucket")
     marks = stash(anchored.mapInArrow(_family(n, True), _BLOB_DDL))
-    by_id = texts.repartition(n, "k")
+    by_id = texts.repartition(n, "k", "h")
     gather = lambda df: df.repartitionById(n, "bucket").mapInArrow(_gathered, _MARK_DDL)
-    partly = by_id.join(gather(marks.where("kind = 1")), "k").select("k", "text", "lo", "n")
+    partly = by_id.join(gather(marks.where("kind = 1")), ["k", "h"]).select("k", "h", "text", "lo", "n")
     windows = partly.mapInArrow(_windows(length, n), _BLOB_DDL).repartitionById(n, "bucket").mapInArrow(_family(n, False), _BLOB_DDL)
     return by_id, gather(marks.where("kind = 0").unionByName(windows))
 
@@ -306,8 +307,8 @@ def _kept(data: np.ndarray, runs: np.ndarray) -> bytes:
 
 def digest_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document after every byte is gone that a string of
-    ``length`` bytes covers which also starts earlier. A null or empty text has 0 bytes. Rows of one doc_id are expected
-    to have one text; otherwise they are judged as parts of that document."""
+    ``length`` bytes covers which also starts earlier. A null or empty text has 0 bytes. Documents of
+    one doc_id, or of none, with different texts are ordered by the hashes of these."""
     texts, marks = repeated_windows(docs, length)
 
     def rows(batches):
@@ -320,7 +321,7 @@ def digest_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((k, len(own), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(_kept(own, runs)).hexdigest()))
             yield record(_DIGEST, *(zip(*out, strict=True) if out else [[]] * len(_DIGEST)))
 
-    joined = texts.join(marks, "k", "left").select("k", "text", "lo", "n")
+    joined = texts.join(marks, ["k", "h"], "left").select("k", "text", "lo", "n")
     return joined.mapInArrow(rows, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").select(doc_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -346,6 +347,6 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     rest = [c for c in docs.columns if c != "text"]
     row = F.struct(F.col("text").isNull().alias("__null"), *rest).alias("row")
-    kept = keyed(docs, row).repartition(partitions(docs.sparkSession), "k").join(marks, "k", "left").select("row", "text", "lo", "n")
+    kept = keyed(docs, row, text_hash()).repartition(partitions(docs.sparkSession), "k", "h").join(marks, ["k", "h"], "left").select("row", "text", "lo", "n")
     done = kept.mapInArrow(rows, T.StructType([kept.schema["row"], T.StructField("text", T.StringType())]))
     return done.select(*(F.when(~F.col("row.__null"), F.col("text")).alias("text") if c == "text" else F.col(f"row.{c}") for c in docs.columns))
