@@ -349,6 +349,15 @@ def test_packing(docs, empty, monkeypatch):
     assert {r["bucket_len"] for r in rows} == set(tops)
 
 
+def test_packing_is_exact_at_any_length(spark):
+    n = [5, 70_001, 70_003, 131_073, 131_074, 1_000_001, 1_000_001, 5_000_003]
+    counts = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "k long, n_tokens long")
+    for buckets in (1, 3, 6, 16):
+        held = collections.Counter(n)
+        want = packing.best_boundaries(np.array(sorted(held)), np.array([held[x] for x in sorted(held)]), buckets)
+        assert packing.plan(counts, buckets) == (want, len(n)) and set(want) <= set(n) and want[-1] == max(n)
+
+
 def labelled(spark, n=400):
     rng = random.Random(3)
     docs, labels = [], []

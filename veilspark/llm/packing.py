@@ -16,8 +16,6 @@ from veilspark.llm.base import doc_id, stash
 
 #: Buckets, padded tokens in a batch at most (a single longer document still gets its own), rows ranked by one task.
 BUCKETS, TOKEN_BUDGET, RANK_ROWS = 16, 65_536, 50_000
-#: Lengths beyond this many share steps of 1/STEPS of their size, so that the driver's histogram stays bounded.
-EXACT, STEPS = 65_536, 4_096
 
 
 def best_boundaries(length: np.ndarray, n_docs: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -67,12 +65,9 @@ def best_boundaries(length: np.ndarray, n_docs: np.ndarray, buckets: int = BUCKE
 
 
 def plan(counts: DataFrame, buckets: int = BUCKETS) -> tuple[list[int], int]:
-    """Boundaries and the number of documents, from the histogram. Lengths up to EXACT count as they are, longer ones
-    rounded up to 1/STEPS of their power of two, so at most EXACT + STEPS * 47 rows come to the driver at any input size."""
-    n = F.col("n_tokens")
-    step = F.greatest(F.lit(1), (F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1))))) / STEPS).cast("long"))
-    rounded = F.when(n <= EXACT, n).otherwise(F.floor((n + step - 1) / step) * step)
-    rows = counts.groupBy(rounded.cast("long").alias("length")).agg(F.count("*").alias("n_docs")).toArrow().sort_by("length")
+    """Boundaries and the number of documents, from the exact histogram. D distinct lengths need D * (D - 1) / 2 tokens or
+    more in all, so even 10^10 tokens bring fewer than 150,000 rows to the driver."""
+    rows = lengths.length_histogram(counts).toArrow().sort_by("length")
     return best_boundaries(rows["length"].to_numpy(), rows["n_docs"].to_numpy(), buckets), int(sum(rows["n_docs"].to_pylist()))
 
 
