@@ -2,6 +2,7 @@
 texts, repeated rows, ties, and extra columns whose names the operators use inside."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -197,30 +198,91 @@ def test_media_columns(spark):
     assert got == {1: ("raw ", 0.01), 2: (None, None), 3: (None, None)}
 
 
-def test_imatch(docs, empty):
-    out = imatch.digest_documents(docs, least=50, most=2)
-    # the repeated row is its own next document, so its two rows differ in what they are compared with
-    got = {r["doc_id"]: tuple(r[1:]) for r in out.collect()}
-    after = dict(zip(ORDER, [*ORDER[1:], ORDER[0]], strict=True))
-    assert out.count() == len(ROWS) and imatch.digest_documents(empty).count() == 0
-    seen = {}
-    for k, v in got.items():
-        assert v[0] == len(TEXTS[k]) and seen.setdefault(TEXTS[k], v[2]) == v[2] and 0 <= v[4] <= 1 and 0 <= v[5] <= 1
-        n = len(TEXTS[k]) // 4
-        if k != 2:
-            assert v[1] == hashlib.sha256((TEXTS[k][: len(TEXTS[k]) - n] + TEXTS[after[k]][:n]).encode()).hexdigest()
+def slow_mix(x):
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = ((x ^ x >> 33) * m) % 2**64
+    return x ^ x >> 33
+
+
+@functools.cache
+def slow_word(word):
+    return slow_mix(sum(int(hashing._TABLE[c]) * pow(hashing._BASE, i, 2**64) for i, c in enumerate(word)) % 2**64)
+
+
+class SlowImatch:
+    """Fingerprints of a table by sets, one subset and one term after another."""
+
+    def __init__(self, texts, low, high):
+        df = collections.Counter(w for t in texts for w in self.words(t))
+        self.lexicon = {w for w, n in df.items() if low <= n <= high}
+
+    @staticmethod
+    def words(text):
+        return {slow_word(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text).encode())}
+
+    def __call__(self, text):
+        terms = self.words(text)
+        terms = terms & self.lexicon if len(terms & self.lexicon) >= imatch.FEWEST else terms
+        out = []
+        for j in range(imatch.SUBSETS):
+            held = sorted(w for w in terms if slow_mix(w ^ 0x9FB21C651E98DF25 * (j + 1) % 2**64) >> 64 - (1 + j // imatch.EACH) == 0)
+            total = sum(slow_mix((w + 0xA24BAED4963EE407) % 2**64) for w in held) % 2**64
+            out.append(max(slow_mix(total) >> 48, 1) if held else 0)
+        return out
+
+    @staticmethod
+    def likeness(a, b):
+        rates = [list(zip(a, b, strict=True))[i : i + imatch.EACH] for i in range(0, imatch.SUBSETS, imatch.EACH)]
+        held = [sum(x > 0 or y > 0 for x, y in r) for r in rates]
+        if not any(held):
+            return 1.0
+        first = next((i for i, n in enumerate(held) if n <= imatch.EACH * 9 // 10), imatch.RATES - 1)
+        first = min(first, max(i for i, n in enumerate(held) if n))
+        return sum(x == y and x > 0 for r in rates[first:] for x, y in r) / sum(held[first:])
+
+
+@pytest.mark.parametrize("least,most", [(imatch.LEAST, imatch.MOST), (50, 2)])
+def test_imatch(docs, empty, least, most):
+    slow = SlowImatch([r[1] or "" for r in ROWS], len(ROWS) / least, len(ROWS) / most)
+    digits = lambda h: "".join(f"{x:04x}" for x in h)
+    want = {}
+    for k, following in zip(ORDER, [*ORDER[1:], ORDER[0]], strict=True):
+        t = TEXTS[k]
+        changed = imatch.edited(t, TEXTS[following])
+        assert changed == t[: len(t) - len(t) // 4] + TEXTS[following][: len(t) // 4]
+        own, new, after = slow(t), slow(changed), slow(TEXTS[following])
+        want[k] = (len(t), hashlib.sha256(changed.encode()).hexdigest(), digits(own), digits(new), slow.likeness(own, new), slow.likeness(own, after))
+    out = imatch.digest_documents(docs, least, most)
+    got = by_id(out, *out.columns[1:])
+    assert {k: v[:4] for k, v in got.items()} == {k: v[:4] for k, v in want.items()}
+    assert all(got[k][4:] == pytest.approx(want[k][4:]) for k in want) and out.count() == len(ROWS)
     long = [v for k, v in got.items() if 300 < v[0] < 20_000 and k is not None and 4 <= k < 12]
     assert np.mean([v[4] for v in long]) > np.mean([v[5] for v in long]) + 0.2
 
 
+def test_imatch_small_tables(spark, empty):
+    assert imatch.digest_documents(empty).count() == 0
+    one = spark.createDataFrame([(5, "a b c d")], "doc_id long, text string")
+    (r,) = imatch.digest_documents(one).collect()
+    assert r["edited_sha256"] == hashlib.sha256(b"a b c a").hexdigest() and r["near_next"] == 1
+    copies = spark.createDataFrame([(None, None)] * 9 + [(None, "x y")] * 5 + [(1, "")], "doc_id long, text string").repartition(4)
+    got = collections.Counter(tuple(r) for r in imatch.digest_documents(copies).collect())
+    assert sorted(got.values()) == [1, 5, 9]
+
+
+def test_imatch_ranges():
+    k, t = np.array([1, 1, 1, 4, 6]), np.array([0, 5, 9, 0, 2])
+    assert imatch.range_of(k, t, np.array([1, 1, 1, 1, 2, 4, 6, 6, 7]), np.array([0, 4, 5, 99, -3, 7, 1, 2, -9])).tolist() == [0, 0, 1, 2, 2, 3, 3, 4, 4]
+
+
 def test_imatch_hashes_what_the_lexicon_holds():
     lexicon = hashing.mix(np.arange(1, 200, dtype=np.uint64))
     make = imatch.Fingerprinter(lexicon.view(np.int64))
     assert (make.count == imatch.Fingerprinter._subsets(make.terms).sum(1)).all()
     texts = ["b a a", "a b", "", "a b c"]
     raw = [t.encode() for t in texts]
-    h, held = make(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    assert (h[0] == h[1]).all() and not held[2].any() and not (h[0] == h[3]).all()
+    h = make(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert (h[0] == h[1]).all() and not h[2].any() and not (h[0] == h[3]).all()
     assert imatch.likeness(h[:1], h[1:2])[0] == 1 and imatch.likeness(h[2:3], h[2:3])[0] == 1 and imatch.likeness(h[:1], h[2:3])[0] == 0
 
 

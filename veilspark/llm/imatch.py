@@ -5,21 +5,24 @@ neither low nor high. Each of several random subsets of it hashes the distinct t
 The subsets are drawn at several rates, so that of short and of long documents some subsets hold only a few terms
 and survive an edit. The likeness of two fingerprints is the share of equal hashes among the subsets that hold
 terms of either, from the densest rate on at which some subsets are empty.
+
+Of a document with fewer than FEWEST terms of the lexicon (a short one, or one of a rare language) these say too little;
+it is hashed by all its terms, in the same subsets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.llm import hashing
-from veilspark.llm.base import doc_id, keyed, partitions, record, stash
+from veilspark.llm.base import doc_id, keyed, partitions, record
 from veilspark.llm.ngramjoin import runs_of_texts, word_hashes
 
 #: Shares of documents between which a term's document frequency must lie. At least 1/LEAST, so the lexicon has at most
@@ -28,6 +31,8 @@ LEAST, MOST = 2_000, 5
 #: Rates 2**-1 to 2**-RATES, subsets for each rate, bytes of a subset's hash.
 RATES, EACH, WIDTH = 10, 12, 2
 SUBSETS = RATES * EACH
+#: A document with fewer terms of the lexicon than this is hashed by all its terms.
+FEWEST = 8
 BATCH = 48_000_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _TERM = pa.schema([("term", pa.int64()), ("df", pa.int64())])
@@ -79,23 +84,27 @@ def _in_band(low: float, high: float):
 
 
 def lexicon(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(term, df): hashes of the terms of ``docs`` in the band, from all documents."""
+    """(term, df): hashes of the terms that at least 1 / least and at most 1 / most of all rows of ``docs`` hold."""
     p, texts = partitions(docs.sparkSession), keyed(docs)
     total = docs.count()
     counted = texts.mapInArrow(_frequencies(p), "bucket int, blob binary").repartitionById(p, "bucket")
-    return counted.mapInArrow(_in_band(max(2.0, total / least), max(2.0, total / most)), "term long, df long")
+    return counted.mapInArrow(_in_band(total / least, total / most), "term long, df long")
 
 
 class Fingerprinter:
-    """Fingerprints of runs of texts: (hashes, held), each of a row for each text and a column for each subset."""
+    """Fingerprints of runs of texts: a row of hashes for each text, a column for each subset, 0 where it holds no term."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = np.sort(terms.astype(np.int64).view(np.uint64))
-        self.value = hashing.mix(self.terms + np.uint64(0xA24BAED4963EE407))
+        self.value = self._value(self.terms)
         of = self._subsets(self.terms)
         self.count = of.sum(1)
         self.first = np.cumsum(self.count) - self.count
-        self.subset = np.nonzero(of)[1]
+        self.subset = np.nonzero(of)[1].astype(np.int16)
+
+    @staticmethod
+    def _value(terms: np.ndarray) -> np.ndarray:
+        return hashing.mix(terms + np.uint64(0xA24BAED4963EE407))
 
     @staticmethod
     def _subsets(terms: np.ndarray) -> np.ndarray:
@@ -105,33 +114,33 @@ class Fingerprinter:
             out[:, j] = hashing.mix(terms ^ np.uint64(0x9FB21C651E98DF25 * (j + 1) % 2**64)) >> np.uint64(64 - (1 + j // EACH)) == 0
         return out
 
-    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = len(bounds) - 1
         words, at = word_hashes(data, bounds)
         doc = np.repeat(np.arange(n), np.diff(at))
+        # distinct terms of each document, in order
+        order = np.lexsort((words, doc))
+        doc, words = doc[order], words[order]
+        new = np.ones(len(words), bool)
+        new[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
+        doc, words = doc[new], words[new]
         place = np.minimum(np.searchsorted(self.terms, words), max(len(self.terms) - 1, 0))
         hit = self.terms[place] == words if len(self.terms) else np.zeros(len(words), bool)
-        pair = np.unique(doc[hit] * max(len(self.terms), 1) + place[hit])
-        own, term = np.divmod(pair, max(len(self.terms), 1))
-        many = self.count[term] if len(self.terms) else term
+        few = np.bincount(doc[hit], minlength=n) < FEWEST
+        use = hit & ~few[doc]
+        own, term = doc[use], place[use]
+        many = self.count[term]
         total = np.cumsum(many)
         flat = np.repeat(self.first[term] - total + many, many) + np.arange(total[-1] if len(total) else 0)
-        cell = np.repeat(own, many) * SUBSETS + self.subset[flat]
-        value = np.repeat(self.value[term], many)
-        rest = ~np.isin(np.arange(n), own) & (np.diff(at) > 0)
-        if rest.any():  # a document without a term of the lexicon is judged by all its terms
-            use = rest[doc]
-            order = np.lexsort((words[use], doc[use]))
-            d, w = doc[use][order], words[use][order]
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
-            d, w = d[new], w[new]
-            i, j = np.nonzero(self._subsets(w))
-            cell, value = np.concatenate([cell, d[i] * SUBSETS + j]), np.concatenate([value, hashing.mix(w[i] + np.uint64(0xA24BAED4963EE407))])
+        cell, value = np.repeat(own, many) * SUBSETS + self.subset[flat], np.repeat(self.value[term], many)
+        rest = few[doc]
+        i, j = np.nonzero(self._subsets(words[rest]))
+        cell, value = np.concatenate([cell, doc[rest][i] * SUBSETS + j]), np.concatenate([value, self._value(words[rest])[i]])
         sums = np.zeros(n * SUBSETS, np.uint64)
         np.add.at(sums, cell, value)
         held = np.bincount(cell, minlength=n * SUBSETS) > 0
         hashes = np.where(held, np.maximum(hashing.mix(sums) >> np.uint64(64 - 8 * WIDTH), np.uint64(1)), np.uint64(0)).astype(">u4")
-        return hashes.reshape(n, SUBSETS), held.reshape(n, SUBSETS)
+        return hashes.reshape(n, SUBSETS)
 
 
 def written(hashes: np.ndarray) -> list[str]:
@@ -170,19 +179,16 @@ def edited(text: str, following: str) -> str:
 
 _OUT = pa.schema([("k", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 _DDL = "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ENDS = pa.schema([*_OUT, pa.field("part", pa.int32()), pa.field("side", pa.int32()), pa.field("text", pa.string())])
 
 
-def _described(make: Fingerprinter, ids: list[int], texts: list[str], following: list[str]) -> list:
-    changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
-    n = len(texts)
-    # each text's follower is mostly the next text, whose fingerprint is at hand
-    distinct = {t: i for i, t in reversed(list(enumerate(texts)))}
-    extra = [f for f in dict.fromkeys(following) if f not in distinct]
-    hashes, _ = make(*_joined([*texts, *changed, *extra]))
-    at = {f: 2 * n + i for i, f in enumerate(extra)} | distinct
-    own, new, after = hashes[:n], hashes[n : 2 * n], hashes[[at[f] for f in following]]
-    return [ids, [len(t) for t in texts], [hashlib.sha256(x.encode()).hexdigest() for x in changed], written(own), written(new), likeness(own, new), likeness(own, after)]
+def _described(make: Fingerprinter, texts: list[str]) -> list:
+    """The columns after k for every text but the last, each followed by the next one."""
+    own, following = texts[:-1], texts[1:]
+    changed = [edited(t, f) for t, f in zip(own, following, strict=True)]
+    n = len(own)
+    hashes = make(*_joined([*texts, *changed]))
+    mine, after, new = hashes[:n], hashes[1 : n + 1], hashes[n + 1 :]
+    return [[len(t) for t in own], [hashlib.sha256(x.encode()).hexdigest() for x in changed], written(mine), written(new), likeness(mine, new), likeness(mine, after)]
 
 
 def _runs(sizes: list[int], most: int = 1 << 19):
@@ -196,49 +202,70 @@ def _runs(sizes: list[int], most: int = 1 << 19):
         yield low, len(sizes)
 
 
+def range_of(low_k: np.ndarray, low_t: np.ndarray, k: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The last range that begins at (k, t) or before; ranges ascend and the first begins with the least pair."""
+    at, end = np.searchsorted(low_k, k), np.searchsorted(low_k, k, side="right")
+    for first in np.unique(at[at < end]).tolist():  # ranges that begin inside a k
+        inside = (at == first) & (at < end)
+        stop = int(end[inside][0])
+        end[inside] = first + np.searchsorted(low_t[first:stop], t[inside], side="right")
+    return end - 1
+
+
+#: Fingerprinters by lexicon, kept while a Python worker lives, so that its tasks share them.
+_MADE: dict[str, Fingerprinter] = {}
+
+
+def _maker(name: str, terms) -> Fingerprinter:
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Fingerprinter(terms)
+    return _MADE[name]
+
+
 def digest_documents(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
-    The next document is the next row by doc_id (ties by a hash of the text), after the last the first; a sole
-    document is its own next. An empty or null text holds no terms; likeness is 1 if both sides hold none, 0 if one does.
-    Sorting is by range, so the last document of a partition meets the first of the next in a join of one row for each."""
+    The next document is the next one by doc_id (those of one doc_id, or of none, by a hash of the text), after the last
+    the first; a sole document is its own next. Rows that repeat a document get that document's values. An empty or null
+    text holds no terms; likeness is 1 if both sides hold none, 0 if one does. An empty table gives no rows. Very long
+    texts are whole, each alone in its run.
+
+    Texts are sorted by range in one shuffle. The ranges are cut on keys and hashes alone, so the first document of each
+    is known beforehand and goes along with the range before it."""
     spark = docs.sparkSession
+    p, texts = partitions(spark), keyed(docs).withColumn("t", F.xxhash64("text"))
     terms = lexicon(docs, least, most).select("term").toArrow()["term"].to_numpy()
-    make = spark.sparkContext.broadcast(terms)
-    kept: dict[int, Fingerprinter] = {}
+    # one row of two numbers for each range
+    lows = texts.select("k", "t").repartitionByRange(p, "k", "t").groupBy(F.spark_partition_id().alias("i")).agg(F.min(F.struct("k", "t")).alias("low")).select("low.k", "low.t").toArrow().sort_by([("k", "ascending"), ("t", "ascending")])
+    low_k, low_t = (lows[c].to_numpy() for c in ("k", "t"))
+    ranges, name = max(1, lows.num_rows), uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast((terms, low_k, low_t))
 
-    def maker() -> Fingerprinter:
-        return kept.setdefault(0, Fingerprinter(make.value)) if not kept else kept[0]
+    @F.pandas_udf("int")
+    def part(k: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series(range_of(*shared.value[1:], k.to_numpy(), t.to_numpy()).astype(np.int32))
 
-    def within(batches):
-        part, last = TaskContext.get().partitionId(), None
-        empty = [None] * len(_OUT)
-        for batch in batches:
-            ids, texts = batch.column("k").to_pylist(), batch.column("text").to_pylist()
-            if not ids:
-                continue
-            if last is None:
-                yield record(_ENDS, *([x] for x in [*empty, part, 0, texts[0]]))
-            else:
-                ids, texts = [last[0], *ids], [last[1], *texts]
-            for low, high in _runs([len(t) for t in texts[:-1]]):
-                out = _described(maker(), ids[low:high], texts[low:high], texts[low + 1 : high + 1])
-                none = [None] * (high - low)
-                yield record(_ENDS, *out, none, none, none)
-            last = ids[-1], texts[-1]
-        if last is not None:
-            yield record(_ENDS, *([x] for x in [last[0], *empty[1:], part, 1, last[1]]))
-
-    def across(batches):
+    def rows(batches):
+        kept = None  # key, text and number of rows of the last document seen
         for batch in batches:
-            for i in range(batch.num_rows):
-                k, text, following = (batch.column(c).slice(i, 1).to_pylist() for c in ("k", "text", "following"))
-                yield record(_OUT, *_described(maker(), k, text, following))
-
-    ordered = keyed(docs).withColumn("t", F.xxhash64("text")).repartitionByRange(partitions(spark), "k", "t").sortWithinPartitions("k", "t").select("k", "text")
-    found = stash(ordered.mapInArrow(within, _DDL + ", part int, side int, text string"))
-    heads = found.where("side = 0").select("part", F.col("text").alias("following"))
-    order = heads.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy(F.lit(1)))).alias("after"))
-    ends = found.where("side = 1").select("k", "text", "part").join(order, "part").join(heads.withColumnRenamed("part", "after"), "after").select("k", "text", "following")
-    columns = _OUT.names[1:]
-    return found.where("side IS NULL").select("k", *columns).unionByName(ends.mapInArrow(across, _DDL)).select(doc_id(), *columns)
+            ids, hashes, last, found = (batch.column(c).to_pylist() for c in ("k", "t", "last", "text"))
+            run = [kept] if kept else []
+            for k, t, end, text in zip(ids, hashes, last, found, strict=True):
+                if run and not end and run[-1][0] == (k, t):
+                    run[-1][2] += 1
+                else:
+                    run.append([(k, t), text, 1])
+            for low, high in _runs([len(x[1]) for x in run[:-1]]):
+                columns = _described(_maker(name, shared.value[0]), [x[1] for x in run[low : high + 1]])
+                again = np.repeat(np.arange(high - low), [x[2] for x in run[low:high]])
+                made = record(_OUT, [x[0][0] for x in run[low:high]], *columns)
+                for at in range(0, len(again), 2000):
+                    yield made.take(pa.array(again[at : at + 2000]))
+            kept = run[-1] if run else kept
+
+    firsts = F.broadcast(spark.createDataFrame([(int(k), int(t), (i - 1) % ranges) for i, (k, t) in enumerate(zip(low_k, low_t, strict=True))], "k long, t long, part int"))
+    heads = texts.join(firsts, ["k", "t"]).dropDuplicates(["k", "t"]).select("part", F.lit(True).alias("last"), "k", "t", "text")
+    every = texts.select(part("k", "t").alias("part"), F.lit(False).alias("last"), "k", "t", "text").unionByName(heads)
+    dealt = every.repartitionById(ranges, "part").sortWithinPartitions("part", "last", "k", "t")
+    return dealt.select("k", "t", "last", "text").mapInArrow(rows, _DDL).select(doc_id(), *_OUT.names[1:])
