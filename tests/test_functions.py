@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import checksums, detect, fixed, headers, masking, model, spans
 from veilspark.functions.text import nfc, xml_decode, xml_encode
-from veilspark.operators import control, decoding, evaluation, segments
+from veilspark.operators import control, decoding, evaluation, review, segments, settings
+from veilspark.plans.stored import spread, stored
 from veilspark.sources.files import image_segments, read_segments
 from veilspark.sources.sinks import write_masked
 from veilspark.streaming.masking import mask_stream
@@ -229,3 +230,101 @@ def test_stream_masks_what_a_batch_masks(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {(r["text"], r["masked"]) for r in spark.sql("select * from masked").collect()} == {("a@b.co", "a**@b.co"), ("none", "none"), (None, None)}
+
+
+BOOK = {
+    "[Content_Types].xml": "<Types/>", "xl/workbook.xml": '<workbook xmlns:r="urn:r"><sheets><sheet name="S" r:id="a"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": '<R><r Id="a" Target="worksheets/s1.xml"/></R>',
+    "xl/sharedStrings.xml": "<sst><si><t>이메일</t></si><si><t>a@b.co</t></si><si><r><t>c@</t></r><r><t>d.co</t></r></si><si><t>unused@old.co</t></si></sst>",
+    "xl/worksheets/s1.xml": '<worksheet xmlns="urn:m" xmlns:mc="urn:mc" xmlns:x1="urn:x1" xmlns:x2="urn:x2" mc:Ignorable="x1 x2" x1:id="7"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="n"><v>7</v></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2" t="str"><f>A1</f><v>e@f.co</v></c><c r="C2" t="s"><v>2</v></c></row></sheetData></worksheet>',
+    "xl/worksheets/_rels/s1.xml.rels": '<R><r Id="c" Target="../comments1.xml"/></R>',
+    "xl/comments1.xml": '<comments><authors><author>홍길동 부장</author><author>none</author></authors><commentList><comment ref="A1" authorId="0"><text><r><t>call </t></r><r><t>010-1234-5678</t></r></text></comment><comment ref="A1" authorId="1"><text><t>fine</t></text></comment></commentList></comments>',
+    "xl/pivotCache/pivotCacheDefinition1.xml": '<p><s v="a@b.co"/><s v="kept"/><t>e@f.co</t></p>',
+    "docProps/core.xml": '<cp:p xmlns:cp="urn:cp" xmlns:dc="urn:dc"><dc:creator>g@h.co</dc:creator><dc:title>plain</dc:title></cp:p>',
+    "docProps/custom.xml": '<P xmlns:vt="urn:vt"><property name="owner"><vt:lpwstr>i@j.co</vt:lpwstr></property></P>',
+}
+
+
+def zipped(parts):
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_no_masked_text_stays_in_any_part_of_an_archive(spark):
+    body = lambda p: f"<{p}:d><{p}:t>k@l.co and 010-1234-5678</{p}:t><{p}:tbl>{row(p, '성명', '비고')}{row(p, '김민수', 'x')}</{p}:tbl></{p}:d>"
+    props = '<p:x><dc:creator>g@h.co</dc:creator></p:x>'
+    files = spark.createDataFrame([
+        ("a.xlsx", zipped(BOOK)), ("b.docx", archive(word__document_xml=body("w"), docProps__core_xml=props)), ("c.pptx", archive(ppt__slides__slide1_xml=body("a"), ppt__notesSlides__notesSlide1_xml=body("a"))),
+        ("d.hwpx", zipped({"Contents/section0.xml": body("hp"), "Preview/PrvText.txt": "k@l.co 010-1234-5678"})),
+    ], "path string, content binary")
+    segs = stored(segments.mask_segments(segments.detect_segments(read_segments(files))))
+    secret = ["a@b.co", "c@d.co", "<t>c@<", "e@f.co", "unused@old.co", "홍길동", "1234-5678", "g@h.co", "i@j.co", "k@l.co", "김민수"]
+    for r in write_masked(files, segs).collect():
+        with zipfile.ZipFile(BytesIO(bytes(r["content"]))) as z:
+            for name in z.namelist():
+                part = z.read(name).decode()
+                assert not [x for x in secret if x in part], (r["path"], name)
+    back = {(r["path"], r["seg_id"]): r["text"] for r in read_segments(write_masked(files, segs).select("path", "content")).collect()}
+    assert back == {(r["path"], r["seg_id"]): r["masked"] for r in segs.collect()}
+    assert back["a.xlsx", "xlsxcomment::S!A1#0::t"] == "call 010-XXXX-XXXX" and back["a.xlsx", "xlsxcomment::S!A1#1::t"] == "fine" and back["a.xlsx", "xlsxcustprops::owner"] == "i**@j.co"
+    done = next(bytes(r["content"]) for r in write_masked(files, segs).collect() if r["path"] == "a.xlsx")
+    with zipfile.ZipFile(BytesIO(done)) as z:
+        assert 'Ignorable="x1"' in z.read("xl/worksheets/s1.xml").decode() and "kept" in z.read("xl/pivotCache/pivotCacheDefinition1.xml").decode() and "<v>7</v>" in z.read("xl/worksheets/s1.xml").decode().replace("ns0:", "").replace("m:", "")
+
+
+def test_names_of_formats_without_a_way_back(spark):
+    assert [r[0] for r in values(spark, [("a.pdf",), ("b.XLS",), ("c.xlsx",)], "n string", control.output_name(F.col("n")))] == ["a_masked.txt", "b_masked.txt", "c_masked.xlsx"]
+
+
+def test_labels_follow_the_table(spark):
+    cases = [("xlsxprops::Title", ".xlsx", "워크북 속성: Title"), ("xlsxcomment::S!A1#0::t", ".xlsx", "S!A1 코멘트 본문"), ("xlsxcomment::odd", ".xlsx", "셀 코멘트: odd"), ("r3c27", ".csv", "4행 AB열"), ("r3c27", ".docx", "r3c27"), ("S!A1", ".xls", "S!A1"), ("t4", ".docx", "본문 5번째 텍스트"), ("ppt/notesSlides/notesSlide2.xml#0", ".pptx", "슬라이드 2 발표자 노트"), ("Preview/PrvText.txt#0", ".hwpx", "미리보기 텍스트"), ("s1p2", ".hwp", "본문"), ("ocr", ".png", "OCR 텍스트"), ("p3", ".pdf", "3페이지"), ("customprops::x", ".docx", "문서 속성: x"), ("x", ".txt", "x")]
+    assert [r[0] for r in values(spark, [c[:2] for c in cases], "s string, e string", control.segment_label(F.col("s"), F.col("e")))] == [c[2] for c in cases]
+
+
+def test_files_of_no_queue_are_one_queue(spark):
+    rows = [(None, 1, 60.0), (None, 2, 50.0), (None, 3, 40.0), (2.0, 1, 90.0)]
+    got = control.admit(spark.createDataFrame(rows, "q double, i int, size double"), "q", "i", max_file=150, max_queue=100)
+    assert {(r["q"], r["i"]): r["reason"] for r in got.collect()} == {(None, 1): None, (None, 2): "queue-total-exceeded", (None, 3): None, (2.0, 1): None}
+
+
+def test_patterns_and_model_together(spark):
+    ents = [("PER", "김민수", 0, 3, 0.9), ("PER", "do", 4, 6, 0.9), ("EMAIL", "x", 0, 30, 0.9)]
+    text = "김민수 do 010-1234-5678"
+    got = values(spark, [(text, ents), (text, None), (text, []), (None, None)], "t string, e array<struct<label:string,word:string,start:int,end:int,score:double>>", detect.detect_with_model(F.col("t"), F.col("e")))
+    alone = found(spark, [text], detect.detect(F.col("t")))[0]
+    assert [(s["text"], s["category"]) for s in got[1][0]] == alone == [(s["text"], s["category"]) for s in got[2][0]] and got[3][0] == []
+    assert ("do", "person_name") not in [(s["text"], s["category"]) for s in got[0][0]] and {s["category"] for s in got[0][0]} == {"person_name", "email", "mobile"}
+
+
+def test_settings_over_defaults(spark):
+    raw = [(None,), ("{}",), ('{"stats":{"totalSpansMasked":4},"modeByCategory":{"url":"remove"},"theme":null}',), ("[1]",), ("x",)]
+    got = [r[0] for r in values(spark, raw, "r string", settings.settings(F.col("r")))]
+    assert all(got[i] == got[0] for i in (1, 3, 4)) and got[0]["enabledByCategory"] == {c[0]: c[2] for c in fixed.CATEGORIES} and got[0]["stats"].asDict() == {"totalConfirmed": 0, "totalSpansMasked": 0, "lastConfirmedAt": None}
+    assert got[2]["stats"]["totalSpansMasked"] == 4 and got[2]["modeByCategory"] == {"url": "remove"} and got[2]["theme"] == "light" and got[2]["userMode"] == "default"
+
+
+def test_review(spark):
+    s = [(0, 1, "a", "mobile", 0.9, "r"), (2, 3, "b", "card", 0.9, "r"), (0, 1, "a", "mobile", 0.5, "r")]
+    r = values(spark, [(s, ["2:3:card"])], f"s {spans.SPANS}, k array<string>", review.toggle(F.col("k"), F.col("s"), True, "mobile"), review.toggle(F.col("k"), F.col("s"), False), review.switched_off(F.col("s"), F.col("k")), review.visible_categories(F.col("s")), review.auto_apply(F.size("s"), F.lit(None)))
+    assert r == [(["2:3:card", "0:1:mobile"], [], ["0:1:mobile"], ["mobile", "card"], False)]
+    df = spark.createDataFrame([("f", ".csv", 1, "r0c0", s), ("f", ".csv", 0, "r1c1", s[:1]), ("f", ".csv", 2, "x", []), ("g", ".csv", 0, "y", None)], f"path string, ext string, seq int, seg_id string, spans {spans.SPANS}")
+    assert [(x["path"], x["seq"], x["label"], x["flat"], x["large"]) for x in review.groups(df).orderBy("path", "seq").collect()] == [("f", 0, "2행 B열", False, False), ("f", 1, "1행 A열", False, False)]
+    assert {(x["category"], x["total"], x["on"]) for x in review.counts(df.withColumn("keys", F.array(F.lit("0:1:mobile"))), ["path"]).collect()} == {("mobile", 3, 3), ("card", 1, 0)}
+
+
+def test_cases_as_json(spark):
+    text = '{"cases":[{"id":"a","kind":"positive","text":"x\\ny","expected":[{"text":"x","category":"mobile"}]}]}'
+    got = values(spark, [(text,), ("no",), (None,)], "j string", evaluation.read_cases(F.col("j")), evaluation.written_cases(evaluation.read_cases(F.col("j"))))
+    assert got[0][0][0]["text"] == "x\ny" and got[0][1] == text and got[1][0] is None and got[2][0] is None
+
+
+def test_stored_and_spread(spark):
+    df = spark.range(10).repartition(2)
+    assert stored(df).count() == 10 and spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(spark.range(0, 10, 1, 9)).rdd.getNumPartitions() == 9
+
+
+def test_expressions_over_plain_columns_are_built_once(spark):
+    assert detect.detect(F.col("t")) is detect.detect(F.col("t")) and detect.detect(F.col("t")) is not detect.detect(F.col("u"))
+    assert detect.detect_kind(F.col("t"), "card") is not detect.detect_kind(F.col("t"), "email")

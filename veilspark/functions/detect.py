@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import checksums as C
 from veilspark.functions import fixed
-from veilspark.functions.spans import as_spans, before, dedupe, let, matches, none, span
+from veilspark.functions.model import filter_false_names, model_spans
+from veilspark.functions.spans import as_spans, before, built_once, dedupe, let, matches, merge, none, span, words
 
 #: In the order in which spans of equal rank win.
 ORDER = ("rrn", "foreign_registration", "passport", "driver_license", "corporate_registration", "business_number", "card", "account", "mobile", "landline", "email", "credential", "bank_account", "date", "postal_code", "address")
@@ -33,13 +34,16 @@ _TESTS = {
 
 def _found(text: Column, kind: str) -> Column:
     parts = [matches(text, p) for p in fixed.PATTERNS[kind]]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    found = parts[0] if len(parts) == 1 else F.concat(*parts)
+    if kind not in fixed.GUARDS:
+        return found
+    return F.when(F.regexp_like(text, F.lit(fixed.GUARDS[kind])), found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
 def _by_pattern(text: Column, kind: str) -> Column:
     found = _found(text, kind)
     if kind in _TESTS:
-        found = F.filter(found, lambda m: _TESTS[kind](C.digits(m["text"])))
+        found = F.filter(found, lambda m: let(C.digits(m["text"]), _TESTS[kind]))
     return as_spans(found, "account" if kind == "bank_account" else kind, _CONFIDENCE[kind])
 
 
@@ -74,6 +78,7 @@ def _of(text: Column, kind: str) -> Column:
     return own[kind](text) if kind in own else _by_pattern(text, kind)
 
 
+@built_once
 def detect_kind(text: Column, kind: str) -> Column:
     """Spans of one of ORDER, before spans of different kinds are weighed against each other."""
     return F.when(text.isNull(), none()).otherwise(_of(text, kind))
@@ -83,8 +88,8 @@ def _last(m: Column) -> Column:
     return F.substring(m["text"], -1, 1)
 
 
-def _listed(word: Column, words) -> Column:
-    return F.array_contains(F.array(*map(F.lit, words)), word)
+def _listed(word: Column, listed) -> Column:
+    return F.array_contains(words(listed), word)
 
 
 def _name(text: Column, kind: str) -> Column:
@@ -101,6 +106,7 @@ def _name(text: Column, kind: str) -> Column:
     return as_spans(found, "person_name", {"two": 0.5, "four": 0.4, "bare": 0.6, "title": 0.85, "file": 0.7, "roman": 0.5}[kind])
 
 
+@built_once
 def name_kind(text: Column, kind: str) -> Column:
     """Names of one of the keys of NAME_PATTERNS."""
     return F.when(text.isNull(), none()).otherwise(_name(text, kind))
@@ -115,16 +121,19 @@ def _names(text: Column, kinds) -> Column:
 GENERAL = ("bare", "title", "file", "roman")
 
 
+@built_once
 def general_names(text: Column) -> Column:
     """Names that running text gives away: surname and two letters, before a title or a document noun, in Roman letters."""
     return _names(text, GENERAL)
 
 
+@built_once
 def contextual_names(text: Column) -> Column:
     """Names in cells whose column promises them, where two and four letters count too."""
     return _names(text, ("two", "four", "bare", "title", "file", "roman"))
 
 
+@built_once
 def detect(text: Column) -> Column:
     """All spans of a text, none of them overlapping, by position."""
     digits = [k for k in ORDER if k not in ("email", "credential", "address")]
@@ -133,3 +142,11 @@ def detect(text: Column) -> Column:
     # the order of kinds decides between equal spans only; ranks of the kinds here differ from those of numbers
     found = lambda t: dedupe(F.concat(numbers(t), others(t), _names(t, GENERAL)))
     return F.when(text.isNull(), none()).otherwise(let(text, found))
+
+
+@built_once
+def detect_with_model(text: Column, entities: Column) -> Column:
+    """Spans of the patterns and of a model: its entities array<struct<label,word,start,end,score>>, without false names, go
+    where they repeat no pattern's span and share less than half with any. Null entities, as where the model failed, leave
+    the patterns alone; so does an empty array."""
+    return merge(detect(text), F.coalesce(filter_false_names(model_spans(text, entities)), none()))

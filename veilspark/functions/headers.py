@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.spans import matches, none, span
+from veilspark.functions.spans import built_once, matches, none, span, table
 
 _WORDS = {w: c for c, words in fixed.HEADERS.items() for w in words}
 
@@ -17,7 +17,7 @@ def normalize_header(text: Column) -> Column:
 
 def category_for_header(text: Column) -> Column:
     """The category that a column of this header holds, or null."""
-    return F.element_at(F.create_map(*(F.lit(x) for kv in _WORDS.items() for x in kv)), normalize_header(text))
+    return F.element_at(table(_WORDS), normalize_header(text))
 
 
 def is_name_hint(text: Column) -> Column:
@@ -25,6 +25,7 @@ def is_name_hint(text: Column) -> Column:
     return F.coalesce(normalize_header(text).isin(fixed.NAME_HINTS), F.lit(False))
 
 
+@built_once
 def inline_labels(text: Column) -> Column:
     """array<struct<label,value_start,value_end,category>>: words of the header list before a colon or an equals sign. The value
     reaches to the next line end, tab or bar, over further labels too."""
@@ -37,6 +38,7 @@ def inline_labels(text: Column) -> Column:
     return F.filter(found, lambda x: x["category"].isNotNull() & (x["value_end"] > x["value_start"]))
 
 
+@built_once
 def label_spans(text: Column) -> Column:
     cut = lambda x: F.substring(text, (x["value_start"] + 1).cast("int"), (x["value_end"] - x["value_start"]).cast("int"))
     return F.when(text.isNull(), none()).otherwise(F.transform(inline_labels(text), lambda x: span(x["value_start"], x["value_end"], cut(x), x["category"], 1.0)))

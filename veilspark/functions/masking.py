@@ -6,11 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.spans import SPANS, by_start, key, let, none
-
-
-def _table(words: dict[str, str], category: Column) -> Column:
-    return F.element_at(F.create_map(*(F.lit(x) for kv in words.items() for x in kv)), category)
+from veilspark.functions.spans import SPANS, by_start, key, let, none, table
 
 
 def _shaped(text: Column, pattern: str, to: str) -> Column:
@@ -43,22 +39,15 @@ def _email(text: Column) -> Column:
 
 def mask_shape(text: Column, category: Column) -> Column:
     """The form stays, the content goes. Categories without a form of their own become dots."""
-    sep = f"(?:-|{fixed.SPACE})?"
     dots = lambda n: F.repeat(F.lit("●"), n.cast("int"))
-    return (
-        F.when(category.isin("rrn", "foreign_registration"), _shaped(text, rf"^(\d{{6}}){sep}(\d{{7}})$", "$1-XXXXXXX"))
-        .when(category.isin("mobile", "landline"), _first_group(text))
-        .when(category == "driver_license", _shaped(text, r"^(\d{2})-(\d{2})-(\d{6})-(\d{2})$", "$1-$2-XXXXXX-XX"))
-        .when(category == "card", _shaped(text, rf"^(\d{{4}}){sep}(\d{{4}}){sep}(\d{{4}}){sep}(\d{{4}})$", "$1-XXXX-XXXX-$4"))
-        .when(category == "account", _account(text))
-        .when(category == "email", _email(text))
-        .when(category == "business_number", _shaped(text, rf"^(\d{{3}}){sep}(\d{{2}}){sep}(\d{{5}})$", "$1-$2-XXXXX"))
-        .when(category == "corporate_registration", _shaped(text, r"^(\d{6})-(\d{7})$", "$1-XXXXXXX"))
+    out = (
+        F.when(category.isin("mobile", "landline"), _first_group(text)).when(category == "account", _account(text)).when(category == "email", _email(text))
         .when(category == "passport", F.concat(F.substring(text, 1, 1), F.repeat(F.lit("X"), F.greatest(F.lit(0), F.length(text) - 1))))
-        .when(category == "postal_code", F.regexp_replace(text, "[0-9]", "X"))
-        .when(category == "credential", dots(F.least(F.length(text), F.lit(16))))
-        .otherwise(dots(F.greatest(F.lit(2), F.length(text))))
-    )
+        .when(category == "postal_code", F.regexp_replace(text, "[0-9]", "X")).when(category == "credential", dots(F.least(F.length(text), F.lit(16))))
+    )
+    for kind, (pattern, to) in fixed.SHAPES.items():
+        out = out.when(category == kind, _shaped(text, pattern, to))
+    return out.otherwise(dots(F.greatest(F.lit(2), F.length(text))))
 
 
 def mask_partial(text: Column, category: Column) -> Column:
@@ -70,8 +59,8 @@ def mask_partial(text: Column, category: Column) -> Column:
 
 def apply_mask(text: Column, category: Column, mode: Column) -> Column:
     return (
-        F.when(mode == "shape", mask_shape(text, category)).when(mode == "partial", mask_partial(text, category)).when(mode == "tag", _table(fixed.TAGS, category))
-        .when(mode == "fake", _table(fixed.FAKES, category)).when(mode == "remove", F.lit(""))
+        F.when(mode == "shape", mask_shape(text, category)).when(mode == "partial", mask_partial(text, category)).when(mode == "tag", F.element_at(table(fixed.TAGS), category))
+        .when(mode == "fake", F.element_at(table(fixed.FAKES), category)).when(mode == "remove", F.lit(""))
     )
 
 
@@ -90,19 +79,24 @@ def mask_text(text: Column, spans: Column, modes: Column | None = None, enabled:
     flags = F.create_map(F.lit("_"), F.lit(True))
     enabled = F.coalesce(enabled, flags) if enabled is not None else flags
     keys = keys if keys is not None else F.lit(None).cast("array<string>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array().cast(SPANS).alias("applied"), F.array().cast(SPANS).alias("skipped"))
 
-    def step(acc, s):
-        on = F.coalesce(F.element_at(enabled, s["category"]), F.lit(True)) & (keys.isNull() | F.coalesce(F.array_contains(keys, key(s)), F.lit(False)))
-        mode = F.coalesce(F.element_at(modes, s["category"]), F.lit(default))
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        done = F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, apply_mask(s["text"], s["category"], mode)).alias("out"), F.concat(acc["applied"], F.array(s)).alias("applied"), acc["skipped"].alias("skipped"))
-        left = F.struct(acc["at"].alias("at"), acc["out"].alias("out"), acc["applied"].alias("applied"), F.concat(acc["skipped"], F.array(s)).alias("skipped"))
-        return F.when(on, done).otherwise(left)
+    def on(s):
+        return F.coalesce(F.element_at(enabled, s["category"]), F.lit(True)) & (keys.isNull() | F.coalesce(F.array_contains(keys, key(s)), F.lit(False)))
+
+    def masked(kept):
+        """Each enabled span's mask after what lies between it and the one before; then the rest."""
+        def piece(s, i):
+            low = F.when(i > 0, F.element_at(kept, F.greatest(i, F.lit(1)))["end"]).otherwise(0)
+            return F.concat(F.substring(text, (low + 1).cast("int"), (s["start"] - low).cast("int")), apply_mask(s["text"], s["category"], F.coalesce(F.element_at(modes, s["category"]), F.lit(default))))
+
+        rest = F.substring(text, (F.coalesce(F.element_at(F.transform(kept, lambda s: s["end"]), -1), F.lit(0)) + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.transform(kept, piece), ""), rest)
+
+    def result(apart):
+        return let(F.filter(apart, on), lambda kept: F.struct(F.when(F.size(kept) > 0, masked(kept)).otherwise(text).alias("text"), kept.alias("applied"), F.filter(apart, lambda s: ~on(s)).alias("skipped")))
 
-    end = lambda acc: F.struct(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))).alias("text"), acc["applied"].alias("applied"), acc["skipped"].alias("skipped"))
     whole = F.struct(text.alias("text"), F.array().cast(SPANS).alias("applied"), F.array().cast(SPANS).alias("skipped"))
-    return let(spans, lambda spans: F.when(F.size(spans) > 0, F.aggregate(disjoint(spans), start, step, end)).otherwise(whole))
+    return let(spans, lambda spans: F.when(F.size(spans) > 0, let(disjoint(spans), result)).otherwise(whole))
 
 
 def parts(text: Column, spans: Column) -> Column:

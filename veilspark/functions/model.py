@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.spans import by_start, none, span
+from veilspark.functions.spans import by_start, none, span, table, words
 
 
 def map_label(label: Column) -> Column:
     """The category of a label with or without its B-, I-, E- or S-; null for organisations and unknown labels."""
-    return F.element_at(F.create_map(*(F.lit(x) for kv in fixed.MODEL_LABELS.items() for x in kv)), F.regexp_replace(label, "^[BIES]-", ""))
+    return F.element_at(table(fixed.MODEL_LABELS), F.regexp_replace(label, "^[BIES]-", ""))
 
 
 def entity_spans(text: Column, entities: Column) -> Column:
@@ -64,7 +64,7 @@ def filter_false_names(spans: Column) -> Column:
     def keep(s):
         word = F.regexp_replace(s["text"], f"^{fixed.SPACE}+|{fixed.SPACE}+$", "")
         short = (F.length(word) <= fixed.SHORT_ASCII) & F.regexp_like(word, F.lit("^[A-Za-z]+$")) & (s["confidence"] < fixed.SHORT_ASCII_CONFIDENCE)
-        return (s["category"] != "person_name") | ~(F.lower(word).isin(fixed.ENGLISH_STOPWORDS) | short | word.isin(fixed.NOT_MODEL_NAMES))
+        return (s["category"] != "person_name") | ~(F.array_contains(words(fixed.ENGLISH_STOPWORDS), F.lower(word)) | short | F.array_contains(words(fixed.NOT_MODEL_NAMES), word))
 
     return F.filter(spans, keep)
 

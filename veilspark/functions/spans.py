@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +24,40 @@ def none() -> Column:
     return F.array().cast(SPANS)
 
 
+def _quoted(value) -> str:
+    return ("true" if value else "false") if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def table(values: dict) -> Column:
+    """A map of constants, as one expression: a call for each entry takes the driver long."""
+    return F.expr("map(" + ", ".join(_quoted(x) for kv in values.items() for x in kv) + ")")
+
+
+def words(values) -> Column:
+    """An array of constants."""
+    return F.expr("array(" + ", ".join(map(_quoted, values)) + ")")
+
+
+_BUILT: dict[tuple, Column] = {}
+
+
+def built_once(make):
+    """Long expressions over a plain column are made once for each session: that takes the driver longer than the work on a
+    small table."""
+    @functools.wraps(make)
+    def built(*columns: Column, **options) -> Column:
+        names = tuple(str(c) if isinstance(c, Column) else c for c in columns)
+        if options or not all(re.fullmatch(r"Column<'[A-Za-z_][A-Za-z_0-9.]*'>", str(n)) for c, n in zip(columns, names, strict=True) if isinstance(c, Column)):
+            return make(*columns, **options)
+        context = SparkContext._active_spark_context
+        mark = (make.__module__, make.__qualname__, names, id(context), getattr(context, "applicationId", None))
+        if mark not in _BUILT:
+            _BUILT[mark] = make(*columns)
+        return _BUILT[mark]
+
+    return built
+
+
 def span(start: Column, end: Column, text: Column, category: Column | str, confidence: Column | float, source: str = "regex") -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), text.alias("text"), lit(category).alias("category"), lit(confidence).cast("double").alias("confidence"), F.lit(source).alias("source"))
@@ -59,19 +97,24 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def rank(category: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for c in fixed.CATEGORIES for x in (c[0], c[4])))
-    return F.coalesce(F.element_at(table, category), F.lit(0))
+    return F.coalesce(F.element_at(table({c[0]: c[4] for c in fixed.CATEGORIES}), category), F.lit(0))
 
 
 def dedupe(spans: Column) -> Column:
-    """Greedy: longer first, then surer, then of the higher category, then as given; what overlaps a kept one goes."""
+    """Greedy: longer first, then surer, then of the higher category, then as given; what overlaps a kept one goes.
+
+    Where no span overlaps another, all are kept, which one look at neighbours by start tells."""
     def chosen(spans):
         keyed = F.transform(spans, lambda s, i: F.struct((s["start"] - s["end"]).alias("a"), (-s["confidence"]).alias("b"), (-rank(s["category"])).alias("c"), i.alias("d"), s.alias("s")))
         ordered = F.transform(F.array_sort(keyed), lambda x: x["s"])
-        kept = F.aggregate(ordered, none(), lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.concat(acc, F.array(s))))
-        return F.when(F.size(spans) > 1, F.array_sort(kept)).otherwise(spans)
+        return F.aggregate(ordered, none(), lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.concat(acc, F.array(s))))
+
+    def clash(placed):
+        late = F.slice(placed, F.lit(2), F.greatest(F.size(placed) - 1, F.lit(0)))
+        return F.exists(F.zip_with(placed, late, lambda a, b: F.coalesce(a["end"] > b["start"], F.lit(False))), lambda x: x)
 
-    return let(spans, chosen)
+    settled = lambda spans: let(F.array_sort(spans), lambda placed: F.when(clash(placed), F.array_sort(chosen(spans))).otherwise(placed))
+    return let(spans, lambda spans: F.when(F.size(spans) > 1, settled(spans)).otherwise(spans))
 
 
 def key(s: Column) -> Column:

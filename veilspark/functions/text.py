@@ -16,8 +16,9 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    """Composed characters. Spark has no such function; texts of ASCII alone skip the Python worker's work, not its trip."""
-    return _nfc(text)
+    """Composed characters. Spark has no such function; texts of ASCII alone are what they were, and Python sees nulls for them."""
+    other = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)
+    return F.coalesce(_nfc(other), text)
 
 
 def xml_decode(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from veilspark.functions import fixed
 
 
 def admit(files: DataFrame, queue: str, order: str, size: str = "size", max_file: int = fixed.MAX_FILE, max_queue: int = fixed.MAX_QUEUE) -> DataFrame:
-    """files with ``reason``: null if admitted, else file-too-large or queue-total-exceeded.
+    """files with ``reason``: null if admitted, else file-too-large or queue-total-exceeded. Files of no queue are one queue.
 
     Each queue is walked in order; rejected files do not add to its total. One queue is one group, as its running total
     depends on every decision before; queues are dealt out over the cluster, and a queue streams through in bounded memory."""
@@ -18,7 +20,7 @@ def admit(files: DataFrame, queue: str, order: str, size: str = "size", max_file
         total, now = 0, None
         for pdf in batches:
             reasons = []
-            for q, n in zip(pdf["__q"], pdf["__s"], strict=True):
+            for q, n in zip(pdf["__q"].astype(object).where(pdf["__q"].notna(), None), pdf["__s"], strict=True):
                 if q != now:
                     total, now = 0, q
                 if n > max_file:
@@ -99,32 +101,20 @@ def column_letters(n: Column) -> Column:
 
 
 def segment_label(seg: Column, ext: Column) -> Column:
-    """Where in its file a segment stands, in words."""
-    part = lambda p, i: F.regexp_extract(seg, p, i)
-    number = lambda p, i: part(p, i).cast("long")
-    has = lambda p: F.regexp_like(seg, F.lit(p))
-    say = lambda *x: F.concat(*(y if isinstance(y, Column) else F.lit(y) for y in x))
-    after = lambda prefix: F.substring(seg, len(prefix) + 1, 2**31 - 1)
-    comment, csv, slide, notes, section = r"^xlsxcomment::(.+?)#\d+::(t|a)$", r"^r(\d+)c(\d+)$", r"ppt/slides/slide(\d+)\.xml#(\d+)", r"ppt/notesSlides/notesSlide(\d+)\.xml#(\d+)", r"Contents/section(\d+)\.xml#(\d+)"
-    return (
-        F.when(seg.startswith("xlsxprops::"), say("워크북 속성: ", after("xlsxprops::")))
-        .when(seg.startswith("xlsxcustprops::"), say("워크북 사용자 속성: ", after("xlsxcustprops::")))
-        .when(has(comment), say(part(comment, 1), " 코멘트 ", F.when(part(comment, 2) == "t", "본문").otherwise("작성자")))
-        .when(seg.startswith("xlsxcomment::"), say("셀 코멘트: ", after("xlsxcomment::")))
-        .when(seg.startswith("pdfmeta::"), say("PDF 속성: ", after("pdfmeta::")))
-        .when(seg.startswith("exif::"), say("이미지 메타: ", after("exif::")))
-        .when(seg.startswith("docprops::"), say("문서 속성: ", after("docprops::")))
-        .when(seg.startswith("customprops::"), say("문서 속성: ", after("customprops::")))
-        .when((ext == ".pdf") & has(r"^p\d+$"), say(part(r"^p(\d+)$", 1), "페이지"))
-        .when((ext == ".csv") & has(csv), say((number(csv, 1) + 1).cast("string"), "행 ", column_letters(number(csv, 2)), "열"))
-        .when(ext.isin(".xlsx", ".xls", ".xlsm") & seg.contains("!"), seg)
-        .when((ext == ".pptx") & has(slide), say("슬라이드 ", part(slide, 1), " (", (number(slide, 2) + 1).cast("string"), "번째 텍스트)"))
-        .when((ext == ".pptx") & has(notes), say("슬라이드 ", part(notes, 1), " 발표자 노트"))
-        .when((ext == ".docx") & has(r"^t\d+$"), say("본문 ", (number(r"^t(\d+)$", 1) + 1).cast("string"), "번째 텍스트"))
-        .when((ext == ".hwpx") & has(section), say("섹션 ", (number(section, 1) + 1).cast("string"), " (", (number(section, 2) + 1).cast("string"), "번째 텍스트)"))
-        .when((ext == ".hwpx") & seg.startswith(fixed.PREVIEW), F.lit("미리보기 텍스트"))
-        .when((ext == ".hwp") & has(r"^s\d+p\d+"), F.lit("본문")).when(seg == "ocr", F.lit("OCR 텍스트")).when(seg == "doc", F.lit("문서 본문")).otherwise(seg)
-    )
+    """Where in its file a segment stands, in words: the first fitting row of the table of labels, else the id itself."""
+    def said(pattern: str, template: str) -> Column:
+        out = []
+        for literal, group, how in re.findall(r"([^{]*)(?:\{(\d)([^}]*)\})?", template):
+            part = F.regexp_extract(seg, pattern, int(group)) if group else None
+            count = part.cast("long") if group else None
+            out += [F.lit(literal)] * bool(literal) + ([(count + 1).cast("string") if how == "+1" else column_letters(count) if how == ":A" else part] if group else [])
+        return F.concat(*out)
+
+    label = seg
+    for extensions, pattern, template in reversed(fixed.LABELS):
+        fits = F.regexp_like(seg, F.lit(pattern)) & (ext.isin(extensions) if extensions else F.lit(True))
+        label = F.when(fits, said(pattern, template)).otherwise(label)
+    return label
 
 
 def guard(lines: DataFrame, text: str = "text") -> DataFrame:
@@ -132,3 +122,8 @@ def guard(lines: DataFrame, text: str = "text") -> DataFrame:
     found = F.concat(*(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for p in fixed.GUARD_PATTERNS))
     allowed = lambda m: F.exists(F.array(*map(F.lit, fixed.GUARD_ALLOWED)), lambda a: F.instr(m, a) > 0)
     return lines.withColumn("match", F.explode(F.filter(found, lambda m: ~allowed(m))))
+
+
+def queue_totals(files: DataFrame, queue: str, size: str = "size") -> DataFrame:
+    """(queue, n_files, n_bytes): what waits in each queue; a null size counts as none."""
+    return files.groupBy(queue).agg(F.count("*").alias("n_files"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("n_bytes"))

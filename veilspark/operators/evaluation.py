@@ -65,3 +65,33 @@ def gate(report: DataFrame, negative_hits: Column | int) -> DataFrame:
     hits = negative_hits if isinstance(negative_hits, Column) else F.lit(negative_hits)
     f1 = F.coalesce(F.max(F.when(F.col("category") == "person_name", F.col("f1"))), F.lit(0.0))
     return report.agg(f1.alias("name_f1")).select("name_f1", hits.alias("negative_hits"), ((F.col("name_f1") >= fixed.NAME_F1) & (hits <= fixed.NEGATIVE_HITS)).alias("passed"))
+
+
+CASES = "array<struct<id:string,kind:string,text:string,expected:array<struct<text:string,category:string>>>>"
+
+
+def read_cases(json: Column) -> Column:
+    """CASES of a JSON object {"cases": [...]}; null where it is none."""
+    return F.from_json(json, f"struct<cases:{CASES}>")["cases"]
+
+
+def written_cases(cases: Column) -> Column:
+    return F.to_json(F.struct(cases.alias("cases")))
+
+
+def false_hits(cases: DataFrame, by: list[str], most: int = 10) -> DataFrame:
+    """Of texts that hold nothing, the first ``most`` spans found, by the columns ``by`` and by start: a report's sample."""
+    rows = cases.where(F.size("expected") == 0).select(*by, F.explode("predicted").alias("s"))
+    return rows.orderBy(*by, "s.start").limit(most).select(*by, "s.text", "s.category")
+
+
+def latency(cases: DataFrame, took: str, by: list[str] | None = None) -> DataFrame:
+    """(n_cases, total, average) of a column of times; nulls count as cases without a time."""
+    return cases.groupBy(*(by or [])).agg(F.count("*").alias("n_cases"), F.coalesce(F.sum(took), F.lit(0.0)).cast("double").alias("total"), F.avg(took).alias("average"))
+
+
+def gates(report: DataFrame, least: dict[str, float]) -> DataFrame:
+    """(category, precision, recall, least, passed) for each gated category of an evaluation."""
+    table = F.create_map(*(F.lit(x) for kv in least.items() for x in kv))
+    gated = report.select("category", "precision", "recall", F.element_at(table, F.col("category")).alias("least")).where("least IS NOT NULL")
+    return gated.withColumn("passed", (F.col("precision") >= F.col("least")) & (F.col("recall") >= F.col("least")))

@@ -55,7 +55,8 @@ def detect_segments(segments: DataFrame) -> DataFrame:
 
 def mask_segments(segments: DataFrame, modes: Column | None = None, keys: Column | None = None) -> DataFrame:
     """segments with spans to the same with ``masked`` and ``n_applied``. Every category is masked, whether or not it is on for
-    pasted text; a set of keys holds for each segment alike."""
+    pasted text; a set of keys holds for each segment alike. Without modes all is masked by shape; a user's files take
+    the modes of their settings (``settings.settings(...)["modeByCategory"]``, or ``settings.default_modes()``)."""
     result = mask_text(F.col("text"), F.col("spans"), modes=modes, keys=keys)
     header = F.coalesce(_flag(segments, "is_header", "boolean"), F.lit(False))
     done = segments.withColumn("__m", result)

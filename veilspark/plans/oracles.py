@@ -4,7 +4,7 @@ boundary there, and there is no look-around."""
 from __future__ import annotations
 
 from veilspark.functions import fixed
-from veilspark.plans.recipes import CELLS, NAMES, RECIPES, case, texts_sql
+from veilspark.plans.recipes import CELLS, LETTERS, NAMES, SHEET, case, texts_sql
 
 ORACLES: dict[str, str] = {}
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -39,7 +39,7 @@ def _biz(d: str) -> str:
     return f"(length({d}) = 10 AND (10 - ({_sum(d, fixed.BUSINESS_WEIGHTS)} + cast(floor({_digit(d, 9)} * 5 / 10) as int)) % 10) % 10 = {_digit(d, 10)})"
 
 
-#: kind: patterns, category, confidence, test of the match m
+#: Fixed values, as in fixed.PATTERNS, in this dialect. kind: patterns, category, confidence, test of the match m
 KINDS = {
     "mobile": ([r"\b01[016789][-\s]?\d{3,4}[-\s]?\d{4}\b"], "mobile", 0.95, f"length({_D}) BETWEEN 10 AND 11"),
     "rrn": ([r"\b\d{6}[-\s]?[1-4]\d{6}\b"], "rrn", 0.99, _rrn(_D)),
@@ -170,7 +170,7 @@ _cols = ", ".join(f"m_{m}" for m in fixed.MODES)
 ORACLES["mask_examples"] = f"SELECT category, {_cols}, count(*) AS n FROM part JOIN (VALUES {_all}) v(i, category, {_cols}) ON p_partkey % {len(fixed.CATEGORIES)} = i GROUP BY ALL"
 
 _heads = "(VALUES (0, 'person_name', false), (1, 'mobile', false), (2, 'organization', false), (3, NULL, true)) h(col, category, name_hint)"
-ORACLES["header_row"] = f"SELECT DISTINCT c_nationkey AS doc, 1 AS header_row, h.col, h.category, h.name_hint FROM customer CROSS JOIN {_heads}"
+ORACLES["header_row"] = f"SELECT DISTINCT {SHEET} AS doc, 1 AS header_row, h.col, h.category, h.name_hint FROM customer CROSS JOIN {_heads}"
 _cells = f"SELECT c.*, c.row = 1 AS is_header, CASE WHEN c.row <> 1 THEN h.category END AS forced_category, c.row <> 1 AND coalesce(h.name_hint, false) AS name_hint_only FROM ({CELLS}) c LEFT JOIN {_heads} ON h.col = c.col"
 ORACLES["forced_cells"] = f"SELECT col, is_header, forced_category, name_hint_only, count(*) AS n FROM ({_cells}) GROUP BY ALL"
 ORACLES["masked_cells"] = f"""SELECT doc, row, col, CASE WHEN forced_category IN ('person_name', 'organization') THEN repeat('●', greatest(2, length(text))) WHEN forced_category = 'mobile' THEN left(text, 3) || '-XXXX-XXXX'
@@ -214,9 +214,53 @@ ORACLES["nfc_text"] = "SELECT doc_id, md5(nfc_normalize(replace(replace(text, '
 _enc = "replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _dec = "replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39))"
 ORACLES["xml_entities"] = f"SELECT page_id, md5({_enc}) AS encoded, md5({_dec}) AS decoded, {_dec.replace('html', _enc)} = html AS same FROM pages"
-ORACLES["output_names"] = "SELECT p_partkey, 'part ' || p_partkey || (['_masked.docx', '_masked.txt', '_masked.txt', '_masked', '.tar_masked.csv', '_masked.pdf'])[p_partkey % 6 + 1] AS name, p_partkey % 6 <> 3 AS supported FROM part"
+ORACLES["output_names"] = "SELECT p_partkey, 'part ' || p_partkey || (['_masked.docx', '_masked.txt', '_masked.txt', '_masked', '.tar_masked.csv', '_masked.txt'])[p_partkey % 6 + 1] AS name, p_partkey % 6 <> 3 AS supported FROM part"
 _letters = "CASE WHEN n < 26 THEN chr(65 + n) WHEN n < 702 THEN chr(65 + (n - 26) // 26) || chr(65 + (n - 26) % 26) ELSE chr(65 + (n - 702) // 676) || chr(65 + ((n - 702) % 676) // 26) || chr(65 + (n - 702) % 26) END"
 ORACLES["segment_labels"] = f"""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN (p_partkey + 1) || '행 ' || {_letters} || '열' WHEN 1 THEN '본문 ' || (p_partkey + 1) || '번째 텍스트' WHEN 2 THEN '슬라이드 ' || p_partkey || ' (5번째 텍스트)'
   WHEN 3 THEN '이미지 메타: Artist' WHEN 4 THEN p_partkey || '페이지' WHEN 5 THEN 'S!A' || p_partkey || ' 코멘트 작성자' ELSE '섹션 ' || (p_partkey + 1) || ' (1번째 텍스트)' END AS label FROM (SELECT p_partkey, (p_partkey % 800)::int AS n FROM part)"""
 ORACLES["csv_segments"] = f"SELECT 'in/' || doc || '.csv' AS path, is_header, forced_category, name_hint_only, count(*) AS n, sum(length(text))::bigint AS n_chars FROM ({_cells}) GROUP BY ALL"
 ORACLES["csv_roundtrip"] = f"SELECT 'in/' || doc || '.csv' AS path, 'r' || row || 'c' || col AS seg_id, masked AS text FROM ({ORACLES['masked_cells']})"
+ORACLES["masked_cells_as_saved"] = f"""SELECT doc, row, col, CASE WHEN forced_category = 'person_name' THEN {_q(fixed.FAKES['person_name'])} WHEN forced_category = 'organization' THEN {_q(fixed.TAGS['organization'])} WHEN forced_category = 'mobile' THEN left(text, 3) || '-XXXX-XXXX'
+  WHEN name_hint_only THEN {_q(fixed.FAKES['person_name'])} || substring(text, 3) ELSE text END AS masked, CASE WHEN forced_category IS NOT NULL OR name_hint_only THEN 1 ELSE 0 END AS n_applied FROM ({_cells})"""
+
+# office files: lines first, then a table with a header; in workbooks a row for each customer
+_letters_of = f"SELECT *, row_number() OVER (PARTITION BY doc ORDER BY key) - 1 AS i, count(*) OVER (PARTITION BY doc) AS n FROM ({LETTERS})"
+_hidden_line = r"regexp_replace(line, '-[0-9]{4}-[0-9]{4}', '-XXXX-XXXX')"
+for _ext, _id in ((".docx", "'t' || j"), (".pptx", "'ppt/slides/slide1.xml#' || j"), (".hwpx", "'Contents/section0.xml#' || j")):
+    ORACLES[f"{_ext[1:]}_roundtrip"] = f"""WITH l AS ({_letters_of}), r AS (SELECT doc, i AS j, {_hidden_line} AS text FROM l
+UNION ALL SELECT DISTINCT doc, n, '성명' FROM l UNION ALL SELECT DISTINCT doc, n + 1, '비고' FROM l
+UNION ALL SELECT doc, n + 2 + 2 * i, repeat('●', length(name)) FROM l UNION ALL SELECT doc, n + 3 + 2 * i, memo FROM l)
+SELECT 'in/' || doc || '{_ext}' AS path, {_id} AS seg_id, text FROM r"""
+ORACLES["xlsx_roundtrip"] = f"""WITH l AS ({_letters_of}), r AS (SELECT DISTINCT doc, unnest(['S!A1', 'S!B1', 'S!C1', 'xlsxprops::Author']) AS seg_id, unnest(['성명', '연락', '비고', 'a' || repeat('*', greatest(2, length(doc::varchar))) || '@b.example']) AS text FROM l
+UNION ALL SELECT doc, 'S!A' || (i + 2), repeat('●', length(name)) FROM l
+UNION ALL SELECT doc, 'S!B' || (i + 2), regexp_extract(line, '^[^0-9]*[0-9]+') || regexp_replace(regexp_replace(line, '^[^0-9]*[0-9]+', ''), '[0-9]', 'X', 'g') FROM l UNION ALL SELECT doc, 'S!C' || (i + 2), memo FROM l)
+SELECT 'in/' || doc || '.xlsx' AS path, seg_id, text FROM r"""
+
+_over = " UNION ALL ".join(f"({spans(texts_sql('overlaps'), k)})" for k in ("card", "account", "mobile", "landline", "email", "bank_account", "date_numeric"))
+_rank_of = "CASE category " + " ".join(f"WHEN {_q(c[0])} THEN {c[4]}" for c in fixed.CATEGORIES) + " END"
+# the greedy choice over all kinds; roman names are whole words here, and only in one of the texts
+_roman = f"SELECT key, t, 2 AS start, 'KimLee' AS m, 'person_name' AS category, 0.5::double AS confidence FROM ({texts_sql('overlaps')}) WHERE key % 6 = 4"
+ORACLES["detect_overlaps"] = f"""WITH c AS ({_over} UNION ALL {_roman}), g AS (SELECT key, list({{'s': start::int, 'e': (start + length(m))::int, 'm': m, 'category': category, 'confidence': confidence}} ORDER BY length(m) DESC, confidence DESC, {_rank_of} DESC) AS l FROM c GROUP BY key)
+SELECT key, x.s AS start, x.e AS "end", x.m AS text, x.category, x.confidence FROM (SELECT key, unnest({_keep.format(l="l", clash="k.s < x[1].e AND x[1].s < k.e")}) AS x FROM g)"""
+ORACLES["detect_merged"] = f"""SELECT c_custkey AS key, 3 AS start, 6 AS "end", {_last} || '민수' AS text, 'person_name' AS category, 0.85::double AS confidence FROM customer
+UNION ALL SELECT c_custkey, 3, 4, {_last}, 'person_name', 0.9 FROM customer WHERE c_custkey % 9 <> 0 AND {_given} < 0.3
+UNION ALL SELECT c_custkey, 14, 16, 'a1', 'person_name', {_word} FROM customer WHERE c_custkey % 9 <> 0 AND {_word} >= 0.3"""
+ORACLES["seed_gate"] = f"SELECT category, 1.0::double AS precision, 1.0::double AS recall, least::double AS least, true AS passed FROM (VALUES {', '.join(f'({_q(c)}, {x})' for c, x in fixed.SEED_GATES.items())}) v(category, least) WHERE (SELECT count(*) FROM customer) > 28"
+ORACLES["json_cases"] = f"SELECT 'c' || key AS id, CASE WHEN key % 4 = 3 THEN 'negative' ELSE 'positive' END AS kind, t AS text, 1 AS n, regexp_extract(t, '연락처= ([0-9-]+)', 1) AS first FROM ({texts_sql('labels')})"
+ORACLES["false_hit_sample"] = f"SELECT key, m AS text, category FROM ({_m}) WHERE key % 2 = 0 ORDER BY key LIMIT 10"
+ORACLES["eval_latency"] = "SELECT event_type, count(*) AS n_cases, coalesce(sum(ms), 0)::double AS total, round(avg(ms), 6)::double AS average FROM (SELECT event_type, CASE WHEN event_id % 11 <> 0 THEN (user_id % 97) / 2 END AS ms FROM events) GROUP BY event_type"
+ORACLES["queue_totals"] = "SELECT lang AS queue, count(*) AS n_files, coalesce(sum(n_chars * 16384), 0)::bigint AS n_bytes FROM documents GROUP BY lang"
+_on_default = sum(c[2] for c in fixed.CATEGORIES)
+ORACLES["settings_merged"] = f"""WITH r AS (SELECT c_custkey AS key, ([NULL, '{{"theme":"dark"}}', '{{"stats":{{"totalConfirmed":7}}}}', 'no json', '{{"enabledByCategory":{{"url":true}},"userMode":"multilingual"}}'])[c_custkey % 5 + 1] AS raw FROM customer),
+j AS (SELECT key, CASE WHEN json_valid(raw) THEN raw ELSE '{{}}' END AS s FROM r)
+SELECT key, coalesce(s ->> '$.theme', 'light') AS theme, coalesce(s ->> '$.userMode', 'default') AS user_mode, coalesce((s ->> '$.stats.totalConfirmed')::bigint, 0) AS confirmed, coalesce((s ->> '$.stats.totalSpansMasked')::bigint, 0) AS spans_masked,
+  CASE WHEN json_exists(s, '$.enabledByCategory') THEN len(list_filter(json_extract_string(s, '$.enabledByCategory.*'), lambda x: x = 'true'))::int ELSE {_on_default} END AS n_enabled, {len(fixed.CATEGORIES)} AS n_modes FROM j"""
+_keyed = f"SELECT *, s || ':' || e || ':' || category AS k FROM ({_lines})"
+ORACLES["review_counts"] = f'SELECT key, category, count(*) AS total, count(*) FILTER (key % 3 = 0 OR s % 2 = 0) AS "on" FROM ({_lines}) GROUP BY ALL'
+ORACLES["bulk_toggle"] = f"""WITH g AS (SELECT key, coalesce(list(DISTINCT k), []) AS every, coalesce(list(DISTINCT k) FILTER (s % 2 = 0), []) AS even, coalesce(list(DISTINCT k) FILTER (category = 'mobile'), []) AS mobile FROM ({_keyed}) GROUP BY key),
+t AS (SELECT *, CASE WHEN key % 2 = 0 THEN list_distinct(even || mobile) ELSE list_filter(even, lambda x: NOT list_contains(mobile, x)) END AS one FROM g)
+SELECT key, array_to_string(list_sort(one), ',') AS one, array_to_string(list_sort(list_filter(every, lambda x: NOT list_contains(one, x))), ',') AS off, CASE WHEN key % 2 = 0 THEN len(every) ELSE 0 END::int AS n_all FROM t"""
+ORACLES["visible_categories"] = f"SELECT key, concat_ws(',', CASE WHEN bool_or(category = 'mobile') THEN 'mobile' END, CASE WHEN bool_or(category = 'card') THEN 'card' END) AS shown FROM ({_lines}) GROUP BY key"
+ORACLES["auto_apply"] = f"SELECT key, count(*) FILTER (s >= 12) = 0 OR key % 5 = 0 AS skip FROM ({_lines}) GROUP BY key"
+ORACLES["review_groups"] = f"""WITH f AS (SELECT * FROM ({_m}) WHERE key % 7 <> 0), t AS (SELECT *, count(*) OVER (PARTITION BY floor(key / 4)) AS total FROM f)
+SELECT 'f' || floor(key / 4)::bigint || '.docx' AS path, key % 4 AS seq, 't' || key % 4 AS seg_id, '본문 ' || (key % 4 + 1) || '번째 텍스트' AS label, 1 AS n, total <= {fixed.FLAT} AS flat, total > {fixed.LARGE} AS large FROM t"""

@@ -11,8 +11,10 @@ from veilspark.functions import checksums as C
 from veilspark.functions import detect as D
 from veilspark.functions import fixed, headers, masking, model, spans
 from veilspark.functions.text import nfc, xml_decode, xml_encode
-from veilspark.operators import control, decoding, evaluation, segments
-from veilspark.plans.recipes import RECIPES, cells, texts
+from veilspark.operators import control, decoding, evaluation, review, segments, settings
+from veilspark.plans.corpus import SEEDS
+from veilspark.plans.recipes import cells, office_files, texts
+from veilspark.plans.stored import spread, stored
 from veilspark.sources.files import read_segments
 from veilspark.sources.sinks import write_masked
 
@@ -29,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, for long expressions over them."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _rows(df: DataFrame, found: Column, key: str = "key") -> DataFrame:
     return df.select(key, F.explode(found).alias("s")).select(key, "s.start", "s.end", "s.text", "s.category", F.col("s.confidence").alias("confidence"))
 
@@ -48,25 +55,25 @@ QUERIES |= {name: _on_recipe(*args) for name, args in SPAN_QUERIES.items()}
 
 @query
 def email_spans(spark, d):
-    return _rows(table(spark, d, "documents"), D.detect_kind(F.col("text"), "email"), "doc_id")
+    return _rows(_texts(spark, d, "documents"), D.detect_kind(F.col("text"), "email"), "doc_id")
 
 
 @query
 def card_spans(spark, d):
-    return _rows(table(spark, d, "documents"), D.detect_kind(F.col("text"), "card"), "doc_id")
+    return _rows(_texts(spark, d, "documents"), D.detect_kind(F.col("text"), "card"), "doc_id")
 
 
 @query
 def pii_counts_by_lang(spark, d):
     """Flagship: spans of all kinds in documents, by language and category."""
-    found = table(spark, d, "documents").select("lang", F.explode(D.detect(F.col("text"))).alias("s"))
+    found = _texts(spark, d, "documents").select("lang", F.explode(D.detect(F.col("text"))).alias("s"))
     return found.groupBy("lang", F.col("s.category").alias("category")).agg(F.count("*").alias("n_spans"), F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("n_chars"))
 
 
 @query
 def conversation_pii(spark, d):
     """Spans in turns of conversations, by role."""
-    t = table(spark, d, "conversations").select("role", D.detect(F.col("text")).alias("s"))
+    t = _texts(spark, d, "conversations").select("role", D.detect(F.col("text")).alias("s"))
     return t.groupBy("role").agg(F.count("*").alias("n_turns"), F.sum(F.size("s")).cast("long").alias("n_spans"))
 
 
@@ -76,18 +83,18 @@ def _emails(text: Column) -> Column:
 
 @query
 def mask_email_shape(spark, d):
-    t = _rows(table(spark, d, "documents"), _emails(F.col("text")), "doc_id")
+    t = _rows(_texts(spark, d, "documents"), _emails(F.col("text")), "doc_id")
     return t.select("doc_id", "start", masking.apply_mask(F.col("text"), F.col("category"), F.lit("shape")).alias("masked"))
 
 
 @query
 def mask_card_shape(spark, d):
-    t = _rows(table(spark, d, "documents"), D.detect_kind(F.col("text"), "card"), "doc_id")
+    t = _rows(_texts(spark, d, "documents"), D.detect_kind(F.col("text"), "card"), "doc_id")
     return t.select("doc_id", "start", masking.apply_mask(F.col("text"), F.col("category"), F.lit("shape")).alias("masked"))
 
 
 def _masked_documents(mode: str) -> Query:
-    return lambda spark, d: table(spark, d, "documents").select("doc_id", masking.mask_text(F.col("text"), _emails(F.col("text")), default=mode)["text"].alias("masked"))
+    return lambda spark, d: _texts(spark, d, "documents").select("doc_id", masking.mask_text(F.col("text"), _emails(F.col("text")), default=mode)["text"].alias("masked"))
 
 
 for _mode in ("tag", "fake", "remove"):
@@ -97,7 +104,7 @@ for _mode in ("tag", "fake", "remove"):
 @query
 def masked_parts(spark, d):
     """Texts cut at e-mail addresses."""
-    t = table(spark, d, "documents").select("doc_id", F.posexplode(masking.parts(F.col("text"), _emails(F.col("text")))).alias("i", "p"))
+    t = _texts(spark, d, "documents").select("doc_id", F.posexplode(masking.parts(F.col("text"), _emails(F.col("text")))).alias("i", "p"))
     return t.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.sum(F.length("p.text")).cast("long").alias("n_chars"), F.sum(F.col("p.category").isNotNull().cast("int")).cast("long").alias("n_marked"))
 
 
@@ -211,11 +218,22 @@ def forced_cells(spark, d):
     return marked.groupBy("col", "is_header", "forced_category", "name_hint_only").agg(F.count("*").alias("n"))
 
 
+def _marked_cells(spark: SparkSession, d: str) -> DataFrame:
+    # stored, so that the long expressions over it are planned once and not again at each adaptive step of the joins
+    return spread(stored(segments.mark_cells(cells(spark, d), ["doc"])))
+
+
 @query
 def masked_cells(spark, d):
     """Header words decide what is masked in each column."""
-    marked = segments.mark_cells(cells(spark, d), ["doc"]).persist()
-    done = segments.mask_segments(segments.detect_segments(marked))
+    done = segments.mask_segments(segments.detect_segments(_marked_cells(spark, d)))
+    return done.select("doc", "row", "col", "masked", "n_applied")
+
+
+@query
+def masked_cells_as_saved(spark, d):
+    """The same in the modes of a new user's settings: names faked, organisations tagged."""
+    done = segments.mask_segments(segments.detect_segments(_marked_cells(spark, d)), modes=settings.default_modes())
     return done.select("doc", "row", "col", "masked", "n_applied")
 
 
@@ -311,7 +329,7 @@ def eval_prf(spark, d):
 @query
 def quality_gate(spark, d):
     """The gate over the same cases; texts of documents without Hangul hold no Korean name."""
-    negative = table(spark, d, "documents").select(F.size(D.general_names(F.col("text"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
+    negative = _texts(spark, d, "documents").select(F.size(D.general_names(F.col("text"))).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
     gate = evaluation.gate(evaluation.evaluate(_cases(spark, d)), 0).select("name_f1").crossJoin(negative)
     return gate.select(F.round("name_f1", 6).alias("name_f1"), F.col("hits").alias("negative_hits"), ((F.col("name_f1") >= fixed.NAME_F1) & (F.col("hits") <= fixed.NEGATIVE_HITS)).alias("passed"))
 
@@ -357,7 +375,7 @@ def commit_guard(spark, d):
 @query
 def nfc_text(spark, d):
     split = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e" + chr(0x301))), F.lit("ü"), F.lit("u" + chr(0x308)))
-    return table(spark, d, "documents").select("doc_id", F.md5(nfc(split)).alias("md5"))
+    return _texts(spark, d, "documents").select("doc_id", F.md5(nfc(split)).alias("md5"))
 
 
 @query
@@ -394,11 +412,122 @@ def csv_segments(spark, d):
     return s.groupBy("path", "is_header", "forced_category", "name_hint_only").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
+def _masked_and_read_again(files: DataFrame) -> DataFrame:
+    done = stored(segments.mask_segments(segments.detect_segments(stored(read_segments(files)))).select("path", "seq", "seg_id", "masked"))
+    return read_segments(stored(write_masked(files, done).select("path", "content"))).select("path", "seg_id", "text")
+
+
 @query
 def csv_roundtrip(spark, d):
     """CSV files read, masked, written and read again: the texts that come back."""
-    files = _csv_files(spark, d)
-    # what is read is cached, so that each adaptive step plans the joins below or the long expressions above, not both
-    done = segments.mask_segments(segments.detect_segments(read_segments(files).persist())).select("path", "seq", "seg_id", "masked").persist()
-    back = read_segments(write_masked(files, done).select(F.col("path"), "content"))
-    return back.select("path", "seg_id", "text")
+    return _masked_and_read_again(stored(_csv_files(spark, d)))
+
+
+def _office_roundtrip(ext: str) -> Query:
+    return lambda spark, d: _masked_and_read_again(stored(office_files(spark, d, ext)))
+
+
+QUERIES |= {f"{ext[1:]}_roundtrip": _office_roundtrip(ext) for ext in (".docx", ".pptx", ".hwpx", ".xlsx")}
+
+
+@query
+def detect_overlaps(spark, d):
+    """Texts in which hits of several kinds lie over one another."""
+    return _rows(texts(spark, d, "overlaps"), D.detect(F.col("text")))
+
+
+@query
+def detect_merged(spark, d):
+    """Patterns and a model's entities together; for every ninth customer the model gave nothing."""
+    _, found = _entities()
+    k = F.col("c_custkey")
+    last = F.element_at(F.array(*map(F.lit, ("김", "이", "박"))), (k % 3 + 1).cast("int"))
+    t = spread(table(spark, d, "customer")).select(k.alias("key"), F.concat(F.lit("담당 "), last, F.lit("민수님은 한빛재단 a1")).alias("t"), F.when(k % 9 != 0, found).alias("e"))
+    return _rows(t, D.detect_with_model(F.col("t"), F.col("e"))).withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def seed_gate(spark, d):
+    """Each customer has one of the seed texts; precision and recall of the patterns by gated category."""
+    spans_of = lambda t, found: F.array(*(F.struct(F.lit(t.index(x)).alias("start"), F.lit(t.index(x) + len(x)).alias("end"), F.lit(x).alias("text"), F.lit(c).alias("category")) for x, c in found)).cast("array<struct<start:int,end:int,text:string,category:string>>")
+    one = F.element_at(F.array(*(F.struct(F.lit(t).alias("text"), spans_of(t, found).alias("expected")) for t, found in SEEDS)), (F.col("c_custkey") % len(SEEDS) + 1).cast("int"))
+    cases = spread(table(spark, d, "customer")).select(one.alias("x")).select(D.detect(F.col("x.text")).alias("predicted"), "x.expected")
+    r = evaluation.gates(evaluation.evaluate(cases), fixed.SEED_GATES)
+    return r.select("category", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "least", "passed")
+
+
+@query
+def json_cases(spark, d):
+    """Cases written as JSON and read back, one file for each hundred customers."""
+    t = texts(spark, d, "labels")
+    item = F.struct(F.concat(F.lit("c"), "key").alias("id"), F.when(F.col("key") % 4 == 3, "negative").otherwise("positive").alias("kind"), "text", F.array(F.struct(F.regexp_extract("text", "연락처= ([0-9-]+)", 1).alias("text"), F.lit("mobile").alias("category"))).alias("expected"))
+    files = t.groupBy(F.floor(F.col("key") / 100).alias("file")).agg(evaluation.written_cases(F.collect_list(item)).alias("json"))
+    return files.select(F.explode(evaluation.read_cases(F.col("json"))).alias("c")).select("c.id", "c.kind", "c.text", F.size("c.expected").alias("n"), F.col("c.expected")[0]["text"].alias("first"))
+
+
+@query
+def false_hit_sample(spark, d):
+    """The first ten spans found in texts that are said to hold nothing."""
+    t = texts(spark, d, "mobile").select("key", D.detect_kind(F.col("text"), "mobile").alias("predicted"), F.when(F.col("key") % 2 == 0, F.array()).otherwise(F.array(F.lit("x"))).alias("expected"))
+    return evaluation.false_hits(t, ["key"])
+
+
+@query
+def eval_latency(spark, d):
+    """Times of events by type."""
+    t = table(spark, d, "events").select("event_type", F.when(F.col("event_id") % 11 != 0, (F.col("user_id") % 97) / 2).alias("ms"))
+    return evaluation.latency(t, "ms", ["event_type"]).withColumn("average", F.round("average", 6))
+
+
+@query
+def queue_totals(spark, d):
+    files = table(spark, d, "documents").select(F.col("lang").alias("queue"), (F.col("n_chars") * 16384).alias("size"))
+    return control.queue_totals(files, "queue")
+
+
+@query
+def settings_merged(spark, d):
+    """Stored settings of several ages over the defaults."""
+    k = F.col("c_custkey")
+    raw = F.element_at(F.array(*map(F.lit, (None, '{"theme":"dark"}', '{"stats":{"totalConfirmed":7}}', "no json", '{"enabledByCategory":{"url":true},"userMode":"multilingual"}'))), (k % 5 + 1).cast("int"))
+    t = table(spark, d, "customer").select(k.alias("key"), settings.settings(settings.stored(settings.settings(raw))).alias("s"))
+    return t.select("key", F.col("s.theme").alias("theme"), F.col("s.userMode").alias("user_mode"), F.col("s.stats.totalConfirmed").alias("confirmed"), F.col("s.stats.totalSpansMasked").alias("spans_masked"), F.size(F.filter(F.map_values("s.enabledByCategory"), lambda x: x)).alias("n_enabled"), F.size("s.modeByCategory").alias("n_modes"))
+
+
+def _review(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their lines' spans and the keys of those that start at an even place."""
+    return _line_spans(spark, d).withColumn("keys", review.keys_of(F.filter("spans", lambda s: s["start"] % 2 == 0)))
+
+
+@query
+def review_counts(spark, d):
+    t = _review(spark, d).withColumn("keys", F.when(F.col("key") % 3 != 0, F.col("keys")))
+    return review.counts(t, ["key"])
+
+
+@query
+def bulk_toggle(spark, d):
+    """Keys after all of one category, then after all, are switched, and those left off."""
+    on = F.col("key") % 2 == 0
+    said = lambda keys: F.array_join(F.array_sort(keys), ",")
+    one = review.toggle(F.col("keys"), F.col("spans"), on, "mobile")
+    return _review(spark, d).select("key", said(one).alias("one"), said(review.switched_off(F.col("spans"), one)).alias("off"), F.size(review.toggle(F.col("keys"), F.col("spans"), on)).alias("n_all"))
+
+
+@query
+def visible_categories(spark, d):
+    return _line_spans(spark, d).select("key", F.array_join(review.visible_categories(F.col("spans")), ",").alias("shown"))
+
+
+@query
+def auto_apply(spark, d):
+    late = F.filter("spans", lambda s: s["start"] >= 12)
+    return _line_spans(spark, d).select("key", review.auto_apply(F.size(late), F.col("key") % 5 == 0).alias("skip"))
+
+
+@query
+def review_groups(spark, d):
+    """Segments with phones by file, as a review shows them; every fourth segment holds none."""
+    k = F.col("key")
+    found = texts(spark, d, "mobile").select(F.format_string("f%d.docx", F.floor(k / 4)).alias("path"), F.lit(".docx").alias("ext"), (k % 4).alias("seq"), F.format_string("t%d", k % 4).alias("seg_id"), F.when(k % 7 != 0, D.detect_kind(F.col("text"), "mobile")).alias("spans"))
+    return review.groups(found).select("path", "seq", "seg_id", "label", F.size("spans").alias("n"), "flat", "large")

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.plans.stored import spread
 
 _S = lambda x: f"cast({x} as string)"
 _pad = lambda x, n: f"lpad({_S(x)},{n},'0')"
@@ -51,13 +58,14 @@ RECIPES = {
     "context_names": ("customer", _c, f"concat('no_', {case(_c, [chr(39) + x + chr(39) for x in ('박영', '서울', '김아무개', '조사방법', '이상')])}, '_', {_S(_c)})"),
     "roman_names": ("customer", _c, f"concat('file_', {case(_c, [chr(39) + x + chr(39) for x in ('KimDoeFoo', 'LeeAB', 'DoeFooPark', 'JavaScript', 'kimdoe')])}, '_', {_S(_c)}, '.pdf')"),
     "file_names": ("customer", _c, f"concat({case(_c, [chr(39) + x + chr(39) for x in ('임꺽정이력서', '홍길동사본', '조달청영수증', '그냥문서')])}, '_', {_S(_c)}, '.doc')"),
+    "overlaps": ("customer", _c, "concat('건 ', " + case(_c, [f"concat('국민 110-234-', {_pad(f'({_c} * 31) % 1000000', 6)})", f"concat('0101234', {_pad(f'{_c} % 10000', 4)}, '@mail.example')", f"concat('4111-1111-1111-', {_pad(f'{_c} % 10000', 4)})", f"concat('02-123-', {_pad(f'{_c} % 10000', 4)}, ' a.', {_S(_c)}, '@b.example')", f"concat('KimLee', '@', 'x', {_S(_c)}, '.example')", f"concat('신한 2024-05-10-', {_pad(f'{_c} % 1000', 3)})"]) + ", ' 끝')"),
     "labels": ("customer", _c, f"concat('성명: ', {case(_c, NAMES)}, chr(10), '연락처= ', {_PHONE}, chr(9), '메일：none', chr(10), 'memo: x')"),
 }
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, key, text = RECIPES[name]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"cast({key} as bigint) as key", f"{text} as text")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")).selectExpr(f"cast({key} as bigint) as key", f"{text} as text")
 
 
 def texts_sql(name: str) -> str:
@@ -66,10 +74,12 @@ def texts_sql(name: str) -> str:
 
 
 _ORG = case(_c, ["'한빛재단'", "'조달청'"])
-#: A sheet for each nation: a title row, a header row, a row for each customer. SQL for both engines over a view or table.
+#: The sheet that a customer stands in: of their nation and of 5,000 keys, so sheets grow in number and not in size.
+SHEET = "cast(c_nationkey + 25 * floor(c_custkey / 5000) AS int)"
+#: Each sheet has a title row, a header row, a row for each customer. SQL for both engines over a view or table.
 CELLS = f"""
-WITH c AS (SELECT c_nationkey AS doc, c_custkey, cast(1 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS int) AS r FROM customer),
-n AS (SELECT DISTINCT c_nationkey AS doc FROM customer)
+WITH c AS (SELECT doc, c_custkey, cast(1 + row_number() OVER (PARTITION BY doc ORDER BY c_custkey) AS int) AS r FROM (SELECT {SHEET} AS doc, c_custkey FROM customer)),
+n AS (SELECT DISTINCT doc FROM c)
 SELECT doc, cast(0 AS int) AS row, cast(0 AS int) AS col, '회원 명단' AS text FROM n
 UNION ALL SELECT doc, cast(1 AS int), cast(0 AS int), '성 명' FROM n UNION ALL SELECT doc, cast(1 AS int), cast(1 AS int), '연락처' FROM n
 UNION ALL SELECT doc, cast(1 AS int), cast(2 AS int), '소속' FROM n UNION ALL SELECT doc, cast(1 AS int), cast(3 AS int), '신분증 사본' FROM n
@@ -82,3 +92,48 @@ UNION ALL SELECT doc, r, cast(4 AS int), concat('memo ', {_S(_c)}) FROM c
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CELLS.replace("customer)", "{customer})").replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
+#: Lines of an office file: of 40 customers each a text with a phone number, a name and a memo.
+LETTERS = f"SELECT cast(floor({_c} / 40) AS bigint) AS doc, cast({_c} AS bigint) AS key, {RECIPES['mobile'][2]} AS line, {case(_c, NAMES)} AS name, concat('memo ', {_S(_c)}) AS memo FROM customer"
+
+
+def _xml(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def office_file(ext: str, doc: int, rows: list[tuple[str, str, str]]) -> bytes:
+    """A small file of a format: lines, then a table of names and memos; in a workbook a sheet of names, lines and memos."""
+    parts: dict[str, str] = {}
+    if ext == ".xlsx":
+        strings = ["성명", "연락", "비고", *(x for row in rows for x in row)]
+        cell = lambda i: f'<c r="{"ABC"[i % 3]}{i // 3 + 1}" t="s"><v>{i}</v></c>'
+        lines = "".join(f"<row>{''.join(cell(i) for i in range(r * 3, r * 3 + 3))}</row>" for r in range(len(rows) + 1))
+        parts["xl/workbook.xml"] = '<workbook xmlns:r="urn:r"><sheets><sheet name="S" r:id="a"/></sheets></workbook>'
+        parts["xl/_rels/workbook.xml.rels"] = '<R><r Id="a" Target="worksheets/s1.xml"/></R>'
+        parts["xl/sharedStrings.xml"] = "<sst>" + "".join(f"<si><t>{_xml(x)}</t></si>" for x in strings) + "</sst>"
+        parts["xl/worksheets/s1.xml"] = f"<worksheet><sheetData>{lines}</sheetData></worksheet>"
+        parts["docProps/core.xml"] = f'<p xmlns:dc="urn:d"><dc:creator>a{doc}@b.example</dc:creator></p>'
+    else:
+        part, prefix = {".docx": ("word/document.xml", "w"), ".pptx": ("ppt/slides/slide1.xml", "a"), ".hwpx": ("Contents/section0.xml", "hp")}[ext]
+        text = lambda x: f"<{prefix}:t>{_xml(x)}</{prefix}:t>"
+        table = "".join(f"<{prefix}:tr>{''.join(f'<{prefix}:tc>{text(x)}</{prefix}:tc>' for x in row)}</{prefix}:tr>" for row in [("성명", "비고"), *((n, m) for n, _, m in rows)])
+        parts[part] = f"<{prefix}:doc>{''.join(text(line) for _, line, _ in rows)}<{prefix}:tbl>{table}</{prefix}:tbl></{prefix}:doc>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def office_files(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """(path, content): LETTERS as files of a format."""
+    lines = spark.sql(LETTERS.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    by_file = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("key", "name", "line", "memo"))).alias("rows"))
+
+    def made(batches):
+        for pdf in batches:
+            content = [office_file(ext, doc, [(r["name"], r["line"], r["memo"]) for r in rows]) for doc, rows in zip(pdf["doc"], pdf["rows"], strict=True)]
+            yield pd.DataFrame({"path": [f"in/{doc}{ext}" for doc in pdf["doc"]], "content": content})
+
+    return by_file.mapInPandas(made, "path string, content binary")

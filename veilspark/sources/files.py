@@ -6,8 +6,10 @@ Formats that need a library of their own (.hwp, .pdf, .xls, images) are read by
 
 from __future__ import annotations
 
+import bisect
 import csv
 import io
+import posixpath
 import re
 import unicodedata
 import xml.etree.ElementTree as ET
@@ -25,17 +27,6 @@ from veilspark.operators.segments import header_columns, mark_cells
 Reader = Callable[[bytes], list[tuple[str, str]]]
 NODE = "path string, ext string, seq int, seg_id string, text string, sheet string, row int, col int"
 _CELLS = (".csv", ".xlsx")
-PARTS = {
-    ".docx": (r"^word/document\.xml$", "w"),
-    ".pptx": (r"^ppt/(?:slides/slide|notesSlides/notesSlide)\d+\.xml$", "a"),
-    ".hwpx": (r"^Contents/section\d+\.xml$", "hp"),
-}
-#: Text nodes of a part. hwpx counts nodes of any prefix.
-TEXT_NODE = {".docx": r"<(w:t)(?:\s[^>]*)?>([^<]*)</w:t>", ".pptx": r"<(a:t)(?:\s[^>]*)?>([^<]*)</a:t>", ".hwpx": r"<([a-zA-Z][a-zA-Z0-9]*:t)(?:\s[^>]*)?>([^<]*)</\1>"}
-PROPERTY_NODE = r"<([a-zA-Z][a-zA-Z0-9]*:[a-zA-Z][a-zA-Z0-9]*)(?:\s[^>]*)?>([^<]+)</\1>"
-_WORKBOOK = {"title": "Title", "subject": "Subject", "creator": "Author", "manager": "Manager", "company": "Company", "category": "Category", "keywords": "Keywords", "description": "Comments", "lastmodifiedby": "LastAuthor", "application": "Application"}
-
-
 def decoded(text: str) -> str:
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         text = text.replace(a, b)
@@ -47,7 +38,7 @@ def node_id(ext: str, part: str, i: int) -> str:
 
 
 def parts_of(names: list[str], ext: str) -> list[str]:
-    found = [n for n in names if re.search(PARTS[ext][0], n)]
+    found = [n for n in names if re.search(fixed.PARTS[ext][0], n)]
     return sorted(found) if ext == ".pptx" else found
 
 
@@ -65,11 +56,13 @@ def _stretches(xml: str, tag: str, low: int, high: int):
 def table_cells(xml: str, prefix: str) -> list[tuple[int, int, int, list[int]]]:
     """(table, row, cell, numbers of its text nodes) of a part."""
     nodes = [(m.start(), m.end()) for m in re.finditer(rf"<{prefix}:t(?:\s[^>]*)?>[^<]*</{prefix}:t>", xml)]
+    starts = [a for a, _ in nodes]  # ascending, as nodes do not nest
     out = []
     for t, (a, b) in enumerate(_stretches(xml, f"{prefix}:tbl", 0, len(xml))):
         for r, (c, d) in enumerate(_stretches(xml, f"{prefix}:tr", a, b)):
             for k, (e, f) in enumerate(_stretches(xml, f"{prefix}:tc", c, d)):
-                out.append((t, r, k, [i for i, (g, h) in enumerate(nodes) if g >= e and h <= f]))
+                low, high = bisect.bisect_left(starts, e), bisect.bisect_left(starts, f)
+                out.append((t, r, k, [i for i in range(low, high) if nodes[i][1] <= f]))
     return out
 
 
@@ -79,8 +72,8 @@ def _packed(data: bytes, ext: str) -> list[tuple]:
         names = z.namelist()
         for part in parts_of(names, ext):
             xml = z.read(part).decode("utf-8", "replace")
-            place = {i: (f"{part}#{t}", r, c) for t, r, c, nodes in table_cells(xml, PARTS[ext][1]) for i in nodes}
-            for i, m in enumerate(re.finditer(TEXT_NODE[ext], xml)):
+            place = {i: (f"{part}#{t}", r, c) for t, r, c, nodes in table_cells(xml, fixed.PARTS[ext][1]) for i in nodes}
+            for i, m in enumerate(re.finditer(fixed.TEXT_NODE[ext], xml)):
                 if m[2]:
                     out.append((node_id(ext, part, i), decoded(m[2]), *place.get(i, (None, None, None))))
         if ext == ".hwpx":
@@ -89,7 +82,7 @@ def _packed(data: bytes, ext: str) -> list[tuple]:
         else:
             for part in fixed.PROPERTY_PARTS:
                 if part in names:
-                    out += [(f"docprops::{part}#{i}", decoded(m[2]), None, None, None) for i, m in enumerate(re.finditer(PROPERTY_NODE, z.read(part).decode("utf-8", "replace")))]
+                    out += [(f"docprops::{part}#{i}", decoded(m[2]), None, None, None) for i, m in enumerate(re.finditer(fixed.PROPERTY_NODE, z.read(part).decode("utf-8", "replace")))]
     return out
 
 
@@ -116,11 +109,25 @@ def _text_of(e: ET.Element) -> str:
     return "".join(t.text or "" for t in e.iter() if tag(t) == "t")
 
 
-def _workbook(data: bytes) -> list[tuple]:
+def shared_strings(z: zipfile.ZipFile) -> list[str]:
+    part = "xl/sharedStrings.xml"
+    return [_text_of(e) for e in ET.fromstring(z.read(part)) if tag(e) == "si"] if part in z.namelist() else []
+
+
+def comment_parts(z: zipfile.ZipFile, sheet: str) -> list[str]:
+    """The parts that hold the comments of a sheet's part."""
+    rels, names = re.sub(r"([^/]+)$", r"_rels/\1.rels", sheet), set(z.namelist())
+    targets = [link.get("Target", "") for link in ET.fromstring(z.read(rels))] if rels in names else []
+    paths = [t.lstrip("/") if t.startswith("/") else posixpath.normpath(posixpath.join(posixpath.dirname(sheet), t)) for t in targets if "comments" in t.lower()]
+    return [p for p in paths if p in names and "threaded" not in p.lower()]
+
+
+def workbook_nodes(data: bytes) -> list[tuple]:
+    """(seg_id, text, sheet, row, col) of string cells, properties and comments."""
     out, notes = [], []
+    composed = lambda t: unicodedata.normalize("NFC", t)
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared = [_text_of(e) for e in ET.fromstring(z.read("xl/sharedStrings.xml")) if tag(e) == "si"] if "xl/sharedStrings.xml" in names else []
+        names, shared = set(z.namelist()), shared_strings(z)
         for name, part in sheet_parts(z):
             cells = []
             for c in ET.fromstring(z.read(part)).iter():
@@ -130,27 +137,23 @@ def _workbook(data: bytes) -> list[tuple]:
                     text = shared[int(value)] if kind == "s" and value else _text_of(c) if kind == "inlineStr" else value if kind == "str" else None
                     cells.append((c.get("r"), *address(c.get("r")), text))
             top, left = min((r for _, r, _, _ in cells), default=0), min((c for _, _, c, _ in cells), default=0)
-            out += [(f"{name}!{a}", unicodedata.normalize("NFC", text), name, r - top, c - left) for a, r, c, text in cells if text]
-            rels = re.sub(r"([^/]+)$", r"_rels/\1.rels", part)
-            for link in ET.fromstring(z.read(rels)) if rels in names else ():
-                target = link.get("Target", "")
-                if "comments" in target and (path := "xl/" + target.removeprefix("../").removeprefix("/xl/")) in names:
-                    root = ET.fromstring(z.read(path))
-                    authors = [a.text or "" for a in root.iter() if tag(a) == "author"]
-                    seen: dict[str, int] = {}
-                    for c in (x for x in root.iter() if tag(x) == "comment"):
-                        i = seen[c.get("ref")] = seen.get(c.get("ref"), -1) + 1
-                        for side, text in (("t", _text_of(c)), ("a", authors[int(c.get("authorId", 0))] if authors else "")):
-                            if text:
-                                notes.append((f"xlsxcomment::{name}!{c.get('ref')}#{i}::{side}", unicodedata.normalize("NFC", text), None, None, None))
+            out += [(f"{name}!{a}", composed(text), name, r - top, c - left) for a, r, c, text in cells if text]
+            for path in comment_parts(z, part):
+                root = ET.fromstring(z.read(path))
+                authors, seen = [a.text or "" for a in root.iter() if tag(a) == "author"], {}
+                for c in (x for x in root.iter() if tag(x) == "comment"):
+                    i = seen[c.get("ref")] = seen.get(c.get("ref"), -1) + 1
+                    for side, text in (("t", _text_of(c)), ("a", authors[int(c.get("authorId", 0))] if authors else "")):
+                        if text:
+                            notes.append((f"xlsxcomment::{name}!{c.get('ref')}#{i}::{side}", composed(text), None, None, None))
         for part in fixed.PROPERTY_PARTS[:2]:
             for e in ET.fromstring(z.read(part)).iter() if part in names else ():
-                if (key := _WORKBOOK.get(tag(e).lower())) and e.text:
-                    out.append((f"xlsxprops::{key}", unicodedata.normalize("NFC", e.text), None, None, None))
+                if (key := fixed.WORKBOOK_PROPERTIES.get(tag(e).lower())) and e.text:
+                    out.append((f"xlsxprops::{key}", composed(e.text), None, None, None))
         part = fixed.PROPERTY_PARTS[2]
         for e in ET.fromstring(z.read(part)) if part in names else ():
             if (value := "".join(e.itertext())) and any(tag(v) in ("lpwstr", "lpstr") for v in e):
-                out.append((f"xlsxcustprops::{e.get('name')}", unicodedata.normalize("NFC", value), None, None, None))
+                out.append((f"xlsxcustprops::{e.get('name')}", composed(value), None, None, None))
     return out + notes
 
 
@@ -164,10 +167,10 @@ def nodes_of(ext: str, data: bytes, readers: dict[str, Reader]) -> list[tuple]:
         return [("doc", unicodedata.normalize("NFC", data.decode("utf-8", "replace")), None, None, None)]
     if ext == ".csv":
         return [(f"r{r}c{c}", unicodedata.normalize("NFC", x), "", r, c) for r, row in enumerate(csv_rows(data)) for c, x in enumerate(row) if x]
-    if ext in PARTS:
+    if ext in fixed.PARTS:
         return _packed(data, ext)
     if ext == ".xlsx":
-        return _workbook(data)
+        return workbook_nodes(data)
     if ext in readers:
         return [(i, unicodedata.normalize("NFC", t), None, None, None) for i, t in readers[ext](data) if t]
     raise ValueError(f"no reader for {ext or 'files without an extension'}")
@@ -192,8 +195,7 @@ def read_segments(files: DataFrame, readers: dict[str, Reader] | None = None) ->
 
     In sheets the best of the first five rows is the header; in tables of documents it is the first row, if there are two or
     more. Texts are composed; empty ones are left out."""
-    # several branches read the nodes; without the cache each would open every file again
-    nodes = read_nodes(files, readers).withColumn("__cells", F.col("ext").isin(*_CELLS)).persist()
+    nodes = read_nodes(files, readers).withColumn("__cells", F.col("ext").isin(*_CELLS))
     keep = ("path", "ext", "seq", "seg_id", "text", "is_header", "forced_category", "name_hint_only")
     plain = nodes.where("sheet IS NULL").select("path", "ext", "seq", "seg_id", "text", F.lit(False).alias("is_header"), F.lit(None).cast("string").alias("forced_category"), F.lit(False).alias("name_hint_only"))
     sheets = mark_cells(nodes.where("sheet IS NOT NULL AND __cells"), ["path", "sheet"]).select(*keep)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import unicodedata
 import xml.etree.ElementTree as ET
 import zipfile
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
 from veilspark.operators.control import file_extension, output_name
-from veilspark.sources.files import PROPERTY_NODE, TEXT_NODE, csv_rows, node_id, parts_of, sheet_parts, tag
+from veilspark.sources.files import comment_parts, csv_rows, node_id, parts_of, shared_strings, sheet_parts, tag, workbook_nodes
 
 
 def _encoded(text: str) -> str:
@@ -48,36 +49,110 @@ def _packed(data: bytes, ext: str, masked: dict[str, str]) -> bytes:
 
     def change(name: str, body: bytes) -> bytes:
         if name in parts:
-            return _nodes(body.decode("utf-8", "replace"), TEXT_NODE[ext], lambda i: node_id(ext, name, i), masked).encode()
+            return _nodes(body.decode("utf-8", "replace"), fixed.TEXT_NODE[ext], lambda i: node_id(ext, name, i), masked).encode()
         if ext == ".hwpx" and name == fixed.PREVIEW:
             return masked.get(f"{name}#0", body.decode("utf-8", "replace")).encode()
         if ext != ".hwpx" and name in fixed.PROPERTY_PARTS:
-            return _nodes(body.decode("utf-8", "replace"), PROPERTY_NODE, lambda i: f"docprops::{name}#{i}", masked).encode()
+            return _nodes(body.decode("utf-8", "replace"), fixed.PROPERTY_NODE, lambda i: f"docprops::{name}#{i}", masked).encode()
         return body
 
     return _rezip(data, change)
 
 
+def _parsed(body: bytes) -> ET.Element:
+    for prefix, uri in (x for _, x in ET.iterparse(io.BytesIO(body), events=["start-ns"])):
+        if not re.fullmatch(r"ns\d+", prefix):  # such names are the serialiser's own
+            ET.register_namespace(prefix, uri)
+    return ET.fromstring(body)
+
+
+def _serialised(root: ET.Element) -> bytes:
+    """XML without mention, in a list of ignorable prefixes, of one that is declared no more."""
+    xml = ET.tostring(root, encoding="unicode")
+    known = set(re.findall(r"xmlns:([^=\s]+)=", xml))
+    listed = lambda m: f'{m[1]}"{" ".join(p for p in m[2].split() if p in known)}"'
+    return ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + re.sub(r'(:Ignorable=)"([^"]*)"', listed, xml)).encode()
+
+
+def _emptied(e: ET.Element) -> str:
+    """Removes all inside an element; its name's part for the namespace."""
+    for child in list(e):
+        e.remove(child)
+    e.text = None
+    return e.tag[: -len(tag(e))]
+
+
+def _sheet(root: ET.Element, name: str, shared: list[str], masked: dict[str, str]) -> None:
+    """String cells become inline strings, masked or as they are, so that none needs the table of shared strings."""
+    for c in (e for e in root.iter() if tag(e) == "c"):
+        kind, new = c.get("t"), masked.get(f"{name}!{c.get('r')}")
+        if kind == "s" and new is None:
+            value = next((v.text for v in c if tag(v) == "v"), None)
+            new = shared[int(value)] if value else None
+        if new is not None and kind in ("s", "str", "inlineStr"):
+            space = _emptied(c)
+            c.set("t", "inlineStr")
+            ET.SubElement(ET.SubElement(c, f"{space}is"), f"{space}t").text = new
+
+
+def _comments(root: ET.Element, name: str, masked: dict[str, str]) -> None:
+    authors, seen = [a for a in root.iter() if tag(a) == "author"], {}
+    for c in (x for x in root.iter() if tag(x) == "comment"):
+        i = seen[c.get("ref")] = seen.get(c.get("ref"), -1) + 1
+        text, author = (masked.get(f"xlsxcomment::{name}!{c.get('ref')}#{i}::{side}") for side in "ta")
+        if text is not None:
+            for e in (x for x in c if tag(x) == "text"):
+                space = _emptied(e)
+                ET.SubElement(e, f"{space}t").text = text
+        if author is not None and authors:
+            authors[int(c.get("authorId", 0))].text = author
+
+
+def _properties(root: ET.Element, name: str, masked: dict[str, str]) -> None:
+    if name == fixed.PROPERTY_PARTS[2]:
+        for e in root:
+            if (new := masked.get(f"xlsxcustprops::{e.get('name')}")) is not None:
+                for v in (x for x in e if tag(x) in ("lpwstr", "lpstr")):
+                    v.text = new
+        return
+    for e in root.iter():
+        if (key := fixed.WORKBOOK_PROPERTIES.get(tag(e).lower())) and (new := masked.get(f"xlsxprops::{key}")) is not None:
+            e.text = new
+
+
+def _echoes(root: ET.Element, changed: dict[str, str]) -> None:
+    """Other parts, such as caches of pivot tables, names of table columns and notes in drawings, may repeat a masked text whole."""
+    now = lambda t: changed.get(unicodedata.normalize("NFC", t), t) if t else t
+    for e in root.iter():
+        e.text, e.tail = now(e.text), now(e.tail)
+        for k, v in e.attrib.items():
+            e.set(k, now(v))
+
+
 def _workbook(data: bytes, masked: dict[str, str]) -> bytes:
-    """Masked string cells become inline strings; other cells, numbers among them, stay."""
+    """Masked strings in cells, comments and properties; nothing is left in the table of shared strings, and no other part
+    repeats a masked text. Numbers and formulas without text stay."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        sheets = {part: name for name, part in sheet_parts(z)}
+        sheets, shared = {part: name for name, part in sheet_parts(z)}, shared_strings(z)
+        notes = {path: name for part, name in sheets.items() for path in comment_parts(z, part)}
+    changed = {old: masked[seg] for seg, old, *_ in workbook_nodes(data) if seg in masked and masked[seg] != old}
 
     def change(name: str, body: bytes) -> bytes:
-        if name not in sheets:
+        if name == "[Content_Types].xml" or name.endswith(".rels") or not name.endswith((".xml", ".vml")):
             return body
-        for prefix, uri in (x for _, x in ET.iterparse(io.BytesIO(body), events=["start-ns"])):
-            ET.register_namespace(prefix, uri)
-        root = ET.fromstring(body)
-        for c in (e for e in root.iter() if tag(e) == "c"):
-            new = masked.get(f"{sheets[name]}!{c.get('r')}")
-            if new is not None and c.get("t") in ("s", "str", "inlineStr"):
-                space = c.tag[: -len(tag(c))]
-                for child in list(c):
-                    c.remove(child)
-                c.set("t", "inlineStr")
-                ET.SubElement(ET.SubElement(c, f"{space}is"), f"{space}t").text = new
-        return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+        root = _parsed(body)
+        if name in sheets:
+            _sheet(root, sheets[name], shared, masked)
+        elif name == "xl/sharedStrings.xml":
+            _emptied(root)
+            root.attrib.update(count="0", uniqueCount="0")
+        elif name in notes:
+            _comments(root, notes[name], masked)
+        elif name in fixed.PROPERTY_PARTS:
+            _properties(root, name, masked)
+        else:
+            _echoes(root, changed)
+        return _serialised(root)
 
     return _rezip(data, change)
 
@@ -100,7 +175,7 @@ def written(ext: str, data: bytes, masked: dict[str, str]) -> bytes:
         return masked.get("doc", "").encode()
     if ext == ".csv":
         return _csv(data, masked)
-    if ext in TEXT_NODE:
+    if ext in fixed.TEXT_NODE:
         return _packed(data, ext, masked)
     if ext == ".xlsx":
         return _workbook(data, masked)
