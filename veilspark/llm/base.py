@@ -6,8 +6,9 @@ Conventions that every operator keeps:
   ``doc_id`` with the same text are one document: each row gets that document's result. Rows of one
   ``doc_id``, or of none, with different texts are different documents. Joins go by k and ``text_hash``;
   k alone is for order and output.
-* A null text counts as the empty text.
-* Only the columns an operator names are read; other columns never clash with its own.
+* A null text counts as the empty text. Very long texts are whole, each alone in its piece of work.
+* Only the columns an operator names are read. Operators that give back all columns of their input carry
+  the others inside one struct, so no name of theirs, dotted ones included, clashes with an operator's own.
 """
 
 from __future__ import annotations
@@ -47,6 +48,45 @@ def text_hash() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
 
 
+def quoted(name: str) -> F.Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *columns) -> DataFrame:
+    """(k, h, text, row, *columns) of documents: text as it is, null or not; all other columns inside row."""
+    small_batches(docs.sparkSession)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k")
+    return docs.select(key, text_hash(), "text", F.struct(*(quoted(c) for c in docs.columns if c != "text")).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``packed`` undone: the columns of the table that it was made of, in order, with the text of now."""
+    return rows.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
+
+
+#: Rows of a key that count as many: over 1 / SHARE of all. So at most SHARE keys are such.
+SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> DataFrame:
+    """(key, parts) of the keys that hold over 1 / SHARE of total rows, from counts (key, n): few rows at any size, so safe to
+    broadcast."""
+    return F.broadcast(counts.where(F.col("n") * SHARE > total).select(key, F.ceil(F.col("n") * SHARE / max(total, 1)).alias("parts")))
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """many.join(few, key) where few has a row for each key and some keys may hold a large part of many.
+
+    The rows of ``hot_keys`` are dealt out over parts, and their row of few goes to each part. Nothing else is broadcast."""
+    if hot is None:
+        hot = hot_keys(many.groupBy(key).agg(F.count("*").alias("n")), key, many.count())
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = many.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(*(c for c in many.columns if c != key)), parts)).drop("parts")
+    given = few.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return dealt.join(given, [key, "part"], how).drop("part")
+
+
 def small_batches(spark: SparkSession) -> None:
     if int(spark.conf.get(_ARROW)) > ARROW_ROWS:
         spark.conf.set(_ARROW, str(ARROW_ROWS))
@@ -57,21 +97,44 @@ def partitions(spark: SparkSession) -> int:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors share."""
+    """A new folder under spark.checkpoint.dir, which the driver and all executors share. Where that is unset, a session on
+    one machine gets a temporary folder; on a cluster it is an error, since its machines share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/veilspark-{uuid.uuid4().hex}"
 
 
+#: Folders that stash has written and clear has not removed.
+_WRITTEN: list[str] = []
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors. ``clear`` removes
+    the folders once what was made of them has been written."""
     spark, path = df.sparkSession, work_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    """The folders of stash that are still there."""
+    return list(_WRITTEN)
+
+
+def clear(spark: SparkSession, keep: DataFrame | None = None, leave: list[str] | tuple = ()) -> None:
+    """Removes the folders of stash, but for those that ``keep`` reads and those of ``leave``."""
+    held = keep.inputFiles() if keep is not None else []
+    for path in [p for p in _WRITTEN if p not in leave and not any(p.rpartition("/")[2] in f for f in held)]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _WRITTEN.remove(path)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of strings and its row offsets, without copying them; null is empty."""
     column = column.fill_null("") if column.null_count else column

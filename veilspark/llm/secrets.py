@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilspark.llm.base import NO_ID, doc_id, keyed, partitions, stash, text_hash
+from veilspark.llm.base import doc_id, keyed, packed, partitions, spread_join, stash, text_hash, unpacked
 
 
 def _either(word: str) -> str:
@@ -34,22 +34,25 @@ MAX_OWNERS = 2
 
 
 def _matches(text: Column, order: int) -> Column:
-    """The matches of a kind, each with the number of characters between it and the match before."""
+    """The matches of a kind, each with the characters and bytes between it and the match before."""
     kind, pattern, _, _ = KINDS[order]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, gap: F.struct(F.lit(order).alias("ord"), m.alias("match"), gap.alias("gap")))
-    none = F.array().cast("array<struct<ord:int,match:string,gap:int>>")
+    gaps = F.split(text, pattern, -1)
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, gap: F.struct(F.lit(order).alias("ord"), m.alias("match"), F.length(gap).alias("gap"), F.octet_length(gap).alias("bgap")))
+    none = F.array().cast("array<struct<ord:int,match:string,gap:int,bgap:int>>")
     return F.when(F.regexp_like(text, F.lit(pattern)), pairs).otherwise(none)
 
 
 def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """(row, k, h, owner, repo, ord, start, end, hash) of each candidate; a row with null ord for a document without any."""
+    """(row, k, h, owner, repo, ord, start, end, bstart, bend, hash) of each candidate, positions in characters and in bytes; a row
+    with null ord for a document without any."""
     names = F.concat_ws("\x1f", *(F.coalesce(F.col(f"r{i}"), F.lit("")) for i in range(len(repository))))
     kept = keyed(docs, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), *(F.col(c).cast("string").alias(f"r{i}") for i, c in enumerate(repository)), text_hash())
     found = kept.withColumn("row", F.monotonically_increasing_id()).select("row", "k", "h", "owner", names.alias("repo"), F.posexplode_outer(F.concat(*(_matches(F.col("text"), i) for i in range(len(KINDS))))).alias("i", "m"))
-    running = F.sum(F.col("m.gap") + F.length("m.match")).over(W.partitionBy("row", "ord").orderBy("i"))
-    placed = found.withColumn("ord", F.col("m.ord")).withColumn("end", running).withColumn("start", F.col("end") - F.length("m.match"))
+    inside = W.partitionBy("row", "ord").orderBy("i")
+    size, bytes_ = F.length("m.match"), F.octet_length("m.match")
+    placed = found.withColumn("ord", F.col("m.ord")).withColumn("end", F.sum(F.col("m.gap") + size).over(inside)).withColumn("bend", F.sum(F.col("m.bgap") + bytes_).over(inside))
+    placed = placed.withColumn("start", F.col("end") - size).withColumn("bstart", F.col("bend") - bytes_)
     value, keep = F.lit(None), F.col("ord").isNull()
     for i, (_, pattern, group, least) in enumerate(KINDS):
         text = F.regexp_extract("m.match", pattern, group) if group else F.col("m.match")
@@ -60,7 +63,8 @@ def candidates(docs: DataFrame, owner: str = "source", repository: tuple[str, ..
         keep = keep | ((F.col("ord") == i) & good)
     # a dropped match leaves a row without a candidate, so that no document is lost
     live = F.when(keep, F.col("ord"))
-    return placed.select("row", "k", "h", "owner", "repo", live.alias("ord"), F.when(live.isNotNull(), F.col("start")).alias("start"), F.when(live.isNotNull(), F.col("end")).alias("end"), F.when(live.isNotNull(), F.sha2(value, 256)).alias("hash"))
+    where = [F.when(live.isNotNull(), F.col(c)).alias(c) for c in ("start", "end", "bstart", "bend")]
+    return placed.select("row", "k", "h", "owner", "repo", live.alias("ord"), *where, F.when(live.isNotNull(), F.sha2(value, 256)).alias("hash"))
 
 
 def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
@@ -71,19 +75,27 @@ def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_found"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners")).withColumn("live", F.col("n_owners") <= max_owners)
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(row, k, h, spans array<struct<start,ord,end,live>>): all spans of each row of docs, by start and kind; empty for a
-    null or empty text or one without secrets. Positions are code points, ends exclusive."""
+def _judged(docs: DataFrame, owner: str, repository: tuple[str, ...], max_owners: int) -> DataFrame:
+    """candidates with ``live`` and ``shown``. Rows without a candidate take no part in the join by hash, and values that are
+    copied widely are spread over it."""
     found = stash(candidates(docs, owner, repository))
-    judged = found.join(ownership(found, max_owners).select("hash", "live"), "hash", "left")
+    own = ownership(found, max_owners).select("hash", "live")
+    hashed = spread_join(found.where("hash IS NOT NULL"), own, "hash")
+    every = hashed.unionByName(found.where("hash IS NULL").withColumn("live", F.lit(None).cast("boolean")))
     base = F.col("ord") < len(KINDS) - 1
     near = W.partitionBy("row").orderBy("start", "ord")
     before = F.max(F.when(base, F.col("end"))).over(near.rowsBetween(W.unboundedPreceding, -1))
     after = F.min(F.when(base, F.col("start"))).over(near.rowsBetween(1, W.unboundedFollowing))
     free = (F.coalesce(before, F.lit(-1)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
-    kept = judged.withColumn("free", free).withColumn("shown", base | (F.col("live") & F.col("free")))
+    return every.withColumn("free", free).withColumn("shown", F.coalesce(base | (F.col("live") & F.col("free")), F.lit(False)))
+
+
+def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
+    """(row, k, h, spans array<struct<start,ord,end,live>>): all spans of each row of docs, by start and kind; empty for a
+    null or empty text or one without secrets. Positions are code points, ends exclusive. Rows that repeat a document each get
+    its spans; a null owner or repository is the empty name. An empty table gives no rows."""
     span = F.struct("start", "ord", "end", "live")
-    return kept.groupBy("row", "k", "h").agg(F.array_sort(F.collect_list(F.when(F.col("shown"), span))).alias("spans"))
+    return _judged(docs, owner, repository, max_owners).groupBy("row", "k", "h").agg(F.array_sort(F.collect_list(F.when(F.col("shown"), span))).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
@@ -104,20 +116,21 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """docs with every span that ``scan`` reports replaced by ``mark``; all columns and rows stay."""
-    spans = scan(docs, max_owners=max_owners).where(F.size("spans") > 0).groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.first("spans").alias("__spans"))
+def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """docs with every span that ``scan`` reports replaced by ``mark``; all columns and rows stay, null texts too. Spans that
+    overlap get one mark. Work is linear in the text and its spans: texts are cut as bytes."""
+    shown = _judged(docs, owner, repository, max_owners).where("shown")
+    # what no span before reaches begins a new cut
+    reach = F.coalesce(F.max("bend").over(W.partitionBy("row").orderBy("start", "ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    cut = F.when(F.col("bstart") >= F.col("reach"), F.struct("bstart", "reach"))
+    rows = shown.withColumn("reach", reach).groupBy("row", "k", "h").agg(F.array_sort(F.collect_list(cut)).alias("cuts"), F.max("bend").alias("last"))
+    cuts = rows.groupBy("k", "h").agg(F.first(F.struct("cuts", "last")).alias("c"))
     # dealt by key whatever the size of either side, so that the plan of small tables is that of large ones
-    numbered = docs.withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__h", text_hash()).repartition(partitions(docs.sparkSession), "__k", "__h")
-    # walk the spans by start; what overlaps the span before it is covered by the same mark
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        piece = F.when(s["start"] >= acc["at"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    text = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    return numbered.join(spans, ["__k", "__h"], "left").select(*(F.when(F.col("__spans").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    dealt = packed(docs).repartition(partitions(docs.sparkSession), "k", "h").join(cuts, ["k", "h"], "left")
+    part = lambda raw, low, n: F.substring(raw, (low + 1).cast("int"), n.cast("int")).cast("string")
+    whole = lambda raw: F.concat(F.array_join(F.transform("c.cuts", lambda x: F.concat(part(raw, x["reach"], x["bstart"] - x["reach"]), F.lit(mark))), ""), part(raw, F.col("c.last"), F.octet_length("text")))
+    text = F.element_at(F.transform(F.array(F.encode("text", "UTF-8")), whole), 1)  # the bytes are made once
+    return unpacked(dealt.withColumn("text", F.when(F.col("c").isNotNull(), text).otherwise(F.col("text"))), docs.columns)
 
 
 def _found_sql(order: int) -> str:
