@@ -48,6 +48,11 @@ def text_hash() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
 
 
+def told_apart(docs: DataFrame) -> bool:
+    """Whether any doc_id, or the lack of one, has two texts. Only then hashes of the texts must tell documents apart."""
+    return bool(keyed(docs, text_hash()).groupBy("k").agg((F.min("h") < F.max("h")).alias("several")).where("several").limit(1).count())
+
+
 def quoted(name: str) -> F.Column:
     """The column of exactly this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

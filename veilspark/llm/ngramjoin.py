@@ -24,19 +24,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.llm import hashing
-from veilspark.llm.base import doc_id, keyed, partitions, record, stash, utf8
+from veilspark.llm.base import doc_id, hot_keys, keyed, packed, partitions, record, spread_join, stash, told_apart, unpacked, utf8
 from veilspark.llm.components import connected
 
 #: Words of an n-gram; least similarity as a ratio; of the contract and of near-duplicate stages.
 CONTRACT, NEAR = (3, 90, 100), (5, 80, 100)
 #: Ratio of the sizes at the ends of a band; parts beyond those that may differ, as a share of these.
 BAND, SPARE = 1.5, 0.2
-#: Bytes of text in a batch; bits of a signature for each element; suggested pairs tried for each document in the first pass; members of a centre in one task;
+#: Bytes of text in a batch; bits of a signature for each element; suggested pairs tried for each document in the first pass;
 #: documents of a tile in one block.
-BATCH, BITS, TRIED, TILE, BLOCK = 48_000_000, 4, 3, 256, 4096
+BATCH, BITS, TRIED, BLOCK = 48_000_000, 4, 3, 1024
 _BLOB = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _ROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
-_ELEMENT, _SIZE, _EDGE, _PAIR, _MEMBER = range(5)
+_ELEMENT, _SIZE, _EDGE, _PAIR, _MEMBER, _HINT = range(6)
 
 
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -224,15 +224,17 @@ def _tiles(num: int, den: int):
         count = np.diff(np.append(first, len(key)))
         tile = np.repeat(np.arange(len(first)), count)
         least = np.minimum.reduceat(k, first)[tile]
-        # pairs to the document before by size and to the least one of the tile
+        # pairs to the document before by size and to the least one of the tile; those of two documents are all that their tile has
         inner = np.flatnonzero(~new)
         a = np.concatenate([k[inner - 1], least])
         b = np.concatenate([k[inner], k])
-        pair = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b]
-        if len(pair):
-            pair, hits = np.unique(pair, axis=0, return_counts=True)
-            yield record(_ROW, np.full(len(pair), _PAIR), pair[:, 0], pair[:, 1], hits)
         wide = count[tile] > 2
+        of_wide = np.concatenate([wide[inner], wide])
+        for kind, side in ((_PAIR, ~of_wide), (_HINT, of_wide)):
+            pair = np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[(a != b) & side]
+            if len(pair):
+                pair, hits = np.unique(pair, axis=0, return_counts=True)
+                yield record(_ROW, np.full(len(pair), kind), pair[:, 0], pair[:, 1], hits)
         if wide.any():
             # tiles of the same documents are one: named by a hash of their members
             name = np.add.reduceat(hashing.mix(k.astype(np.uint64) + np.uint64(3)), first)
@@ -340,28 +342,30 @@ def _links(pairs: DataFrame, cand: DataFrame, n: int, num: int, den: int) -> Dat
     differ = F.aggregate(F.zip_with(own("a", "b"), own("b", "a"), lambda x, y: F.bit_count(xor(x, y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     both = F.col("size_a") + F.col("size_b")
     most = F.floor((both - differ) / 2)  # elements in common at most
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num).where(most * den >= (both - most) * num).select("a", "b")
-    near = stash(near)
-    parts = near.groupBy("a").agg(F.count("*").alias("members")).where(F.col("members") > TILE)
-    dealt = near.join(parts, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / TILE)), F.lit(0).cast("long")).alias("part"))
+    sided = spread_join(spread_join(pairs, side("a"), "a"), side("b"), "b")
+    near = stash(sided.where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num).where(most * den >= (both - most) * num).select("a", "b"))
+    # members of one centre are dealt over parts, each of which gets the centre
+    large = hot_keys(near.groupBy("a").agg(F.count("*").alias("n")), "a", near.count())
+    dealt = near.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
     roles = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("k")).unionByName(dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("k")).distinct())
     together = roles.join(cand.select("k", "text"), "k").repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role", "k")
     return together.select("a", "part", "role", "k", "text").mapInArrow(_verified(n, num, den), "a long, b long")
 
 
-def _own(doc, text) -> F.Column:
-    """The id of a document: rows of one doc_id with different texts have different ones."""
-    return F.xxhash64(doc, text)
+def _own(doc, text, hashed: bool) -> F.Column:
+    """The id of a document: its doc_id or, where some doc_id has several texts, a hash of both. Ids in the order of doc_id make
+    the oldest document of a tile its centre, which is mostly what the others were copied from."""
+    return F.xxhash64(doc, text) if hashed else doc
 
 
-def components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def components(docs: DataFrame, n: int, num: int, den: int, hashed: bool = True) -> tuple[DataFrame, DataFrame]:
     """(sizes (k, n_shingles, doc) for each row, roots (k, root, first) for documents that have links). Here k is ``_own``, which
     rows of one document share, and doc the id that ``keyed`` makes; root is the document of the least doc in its component
     and first that doc. Of several with that doc, the one of least k is root."""
     spark = docs.sparkSession
-    p, texts = partitions(spark), keyed(docs).select(_own("k", "text").alias("k"), "text", F.col("k").alias("doc"))
+    p, texts = partitions(spark), keyed(docs).select(_own(F.col("k"), F.col("text"), hashed).alias("k"), "text", F.col("k").alias("doc"))
     index = stash(texts.mapInArrow(_elements(n, num, den, p), "bucket int, kind int, blob binary").repartitionById(p, "bucket").mapInArrow(_tiles(num, den), "kind int, a long, b long, c long"))
-    pairs = stash(index.where(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("c").alias("hits")))
+    pairs = stash(index.where(F.col("kind").isin(_PAIR, _HINT)).groupBy("a", "b").agg(F.sum("c").alias("hits")))
     edges = index.where(F.col("kind") == _EDGE).select("a", "b")
     members = index.where(F.col("kind") == _MEMBER).select(F.col("a").alias("tile"), F.col("b").alias("k"), F.col("c").alias("size")).distinct()
     named = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
@@ -371,10 +375,10 @@ def components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     tried = stash(pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= TRIED).select("a", "b"))
     links = stash(_links(tried, cand, n, num, den).unionByName(edges))
     roots = stash(connected(links))
-    # pairs of a tile in two components
+    # tiles in two components: those of two documents are pairs, all pairs of the others are compared by their bitmaps
     root = lambda c: F.coalesce(f"r_{c}", c)
     of = lambda c: roots.select(F.col("k").alias(c), F.col("root").alias(f"r_{c}"))
-    apart = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(root("a") != root("b")).select("a", "b")
+    apart = index.where(F.col("kind") == _PAIR).select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(root("a") != root("b")).select("a", "b")
     split = members.join(roots, "k", "left").select("tile", "k", F.coalesce("root", "k").alias("root"))
     torn = split.groupBy("tile").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("first <> last").select("tile", "blocks")
     dealt = split.join(torn, "tile").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
@@ -396,7 +400,7 @@ def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1]
     """(doc_id, n_shingles, component_id) of each row: component_id is the least doc_id that links of Jaccard num / den or
     more reach, the row's own if none. A null, empty or blank text has no n-grams and no links; rows that repeat a document
     have its values. Words end at ASCII white space, and only A-Z change case."""
-    sizes, roots = components(docs, n, num, den)
+    sizes, roots = components(docs, n, num, den, told_apart(docs))
     found = sizes.join(roots, "k", "left").select(F.col("doc").alias("k"), "n_shingles", F.coalesce("first", "doc").alias("first"))
     return found.select(doc_id(), "n_shingles", F.when(F.col("first") != F.lit(-(2**63)), F.col("first")).alias("component_id"))
 
@@ -404,9 +408,9 @@ def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1]
 def keep_one(docs: DataFrame, n: int = NEAR[0], num: int = NEAR[1], den: int = NEAR[2]) -> DataFrame:
     """docs without near copies: of each component the document of the least doc_id stays, with all its columns. Rows that
     repeat its doc_id and text stay with it."""
-    _, roots = components(docs, n, num, den)
-    gone = roots.where("k <> root").select(F.col("k").alias("__k"), F.lit(True).alias("__gone"))
-    own = _own(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), F.coalesce(F.col("text"), F.lit("")))
+    hashed = told_apart(docs)
+    _, roots = components(docs, n, num, den, hashed)
+    gone = roots.where("k <> root").select("k", F.lit(True).alias("gone"))
     # dealt by key whatever the size of either side, so that the plan of small tables is that of large ones
-    dealt = docs.withColumn("__k", own).repartition(partitions(docs.sparkSession), "__k")
-    return dealt.join(gone, "__k", "left").where("__gone IS NULL").drop("__k", "__gone")
+    rows = packed(docs).withColumn("k", _own(F.col("k"), F.coalesce("text", F.lit("")), hashed)).repartition(partitions(docs.sparkSession), "k")
+    return unpacked(rows.join(gone, "k", "left").where("gone IS NULL"), docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.llm import hashing
-from veilspark.llm.base import doc_id, keyed, packed, partitions, record, stash, text_hash, unpacked, utf8
+from veilspark.llm.base import doc_id, keyed, packed, partitions, record, stash, text_hash, told_apart, unpacked, utf8
 
 #: Bytes of a repeated string, of an anchor.
 LENGTH, ANCHOR = 100, 20
@@ -451,11 +451,6 @@ def _later(buckets: int):
     return rows
 
 
-def _told_apart(docs: DataFrame) -> bool:
-    """Whether any doc_id has two texts. Only then the index carries the hashes that tell such documents apart."""
-    return bool(keyed(docs, text_hash()).groupBy("k").agg((F.min("h") < F.max("h")).alias("several")).where("several").limit(1).count())
-
-
 def _marks(docs: DataFrame, length: int, anchor: int, index: DataFrame | None, keep: bool, hashed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(texts by k and h, marks by document, table of blobs, buckets). Without hashes h is 0."""
     texts = keyed(docs, text_hash() if hashed else F.lit(0).cast("long").alias("h"))
@@ -472,9 +467,11 @@ def _marks(docs: DataFrame, length: int, anchor: int, index: DataFrame | None, k
     made = stash(dealt.mapInArrow(_family(n, keep), _BLOB_DDL))
     by_id = texts.repartition(n, "k", "h")
     gather = lambda df: df.repartitionById(n, "bucket").mapInArrow(_gathered, _MARK_DDL)
-    hot = by_id.join(gather(made.where(F.col("kind") == _HOT)), ["k", "h"]).select("k", "h", "text", "lo", "n")
-    windows = hot.mapInArrow(_windows(length, n), _BLOB_DDL).repartitionById(n, "bucket").mapInArrow(_later(n), _BLOB_DDL)
-    return by_id, gather(made.where(F.col("kind") == _REPEAT).unionByName(windows)), made, n
+    found, hot = (made.where(F.col("kind") == kind) for kind in (_REPEAT, _HOT))
+    if hot.limit(1).count():
+        listed = by_id.join(gather(hot), ["k", "h"]).select("k", "h", "text", "lo", "n")
+        found = found.unionByName(listed.mapInArrow(_windows(length, n), _BLOB_DDL).repartitionById(n, "bucket").mapInArrow(_later(n), _BLOB_DDL))
+    return by_id, gather(found), made, n
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hashed: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -518,7 +515,7 @@ def digest_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document after every byte is gone that a string of
     ``length`` bytes covers which also starts earlier. A null or empty text has 0 bytes. Documents of
     one doc_id, or of none, with different texts are ordered by the hashes of these."""
-    texts, marks = repeated_windows(docs, length, hashed=_told_apart(docs))
+    texts, marks = repeated_windows(docs, length, hashed=told_apart(docs))
 
     def rows(batches):
         for batch in batches:
@@ -537,7 +534,7 @@ def digest_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with every repeated byte of text gone; a character goes only if all its bytes do. Rows and columns stay, null texts
     too. Rows that repeat a document lose what it loses; documents of one doc_id are ordered by the hashes of their texts."""
-    hashed = _told_apart(docs)
+    hashed = told_apart(docs)
     _, marks = repeated_windows(docs, length, hashed=hashed)
 
     def rows(batches):
