@@ -14,9 +14,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veilspark.llm import bpe, components, cotrain, hashing, imatch, isomedia, lengths, ngramjoin, packing, planes, secrets, suffixes, wordtok
+from veilspark.llm import base, bpe, components, cotrain, hashing, imatch, isomedia, lengths, ngramjoin, packing, planes, secrets, suffixes, wordtok
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, row string, lo int, n int, bits string, part int, start int, size int"
+CLASHING = "k long, row string, lo int, n int, bits string, part int, start int, size int, h long, none string, last int, `a.b` int, `c``d` string, __k long, __null string, __gone int, __spans string, __h long"
+SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
+EXTRA = (1, "r", 2, 3, "b", 4, 5, 6, 7, "n", 8, 9, "q", 10, "z", 11, "s", 12)
 NO_ID = -(2**63)
 
 
@@ -33,9 +35,9 @@ def rows():
     texts += [base[0], base[0], base[1].replace("the", "THE", 1), base[2] + " one more", base[3][: len(base[3]) // 2] + passage, "x " + passage + " y", passage]
     texts += [f"{base[4]} {secret} {base[5]}", f"{secret} {base[6]}", "AKIA" + "A" * 20 + " token=secret:abcdefgh password: 'hunter22'", "", None, " \n\t ", "a", "two words", "<|endoftext|> Straße 가각 😀 \x1c ΑΣ"]
     texts += [words(rng, 12_000), "!" * 3000, "ab" * 700, "z" * 250]
-    out = [(i, t, rng.choice(["en", "de", None]), f"src{i % 3}" if i % 7 else None, len(t) if t is not None and i % 5 else None, 1, "r", 2, 3, "b", 4, 5, 6) for i, t in enumerate(texts)]
+    out = [(i, t, rng.choice(["en", "de", None]), f"src{i % 3}" if i % 7 else None, len(t) if t is not None and i % 5 else None, *EXTRA) for i, t in enumerate(texts)]
     out.append(out[2])  # a repeated row
-    out.append((None, base[7], None, None, None, None, None, None, None, None, None, None, None))
+    out.append((None, base[7], None, None, None, *[None] * len(EXTRA)))
     return out
 
 
@@ -91,9 +93,17 @@ def test_secrets_by_ownership(spark):
     assert by_id(secrets.redact(df), "text")[9] == ("[SECRET]",) and by_id(secrets.redact(df), "text")[0][0] == rows[0][1]
 
 
+def extras_stay(df):
+    """The columns besides the text are what they were."""
+    rest = [c for c in df.columns if c not in ("doc_id", "text", "n_chars")]
+    want = {r[0]: (r[2], r[3], *r[5:]) for r in ROWS}
+    return by_id(df, *(base.quoted(c) for c in rest)) == {k: want[k] for k in {r[0] for r in df.select("doc_id").collect()}}
+
+
 def test_redact_keeps_rows_and_columns(docs):
     done = secrets.redact(docs)
     assert done.columns == docs.columns and done.count() == len(ROWS)
+    assert extras_stay(done)
     got = by_id(done, "text")
     assert got[20][0] == f'[SECRET]" {TEXTS[6]}' and got[19][0] == f'{TEXTS[4]} [SECRET]" {TEXTS[5]}' and got[23] == (None,)
 
@@ -112,32 +122,105 @@ def brute_repeats(length):
     return out
 
 
-@pytest.mark.parametrize("length", [100, 41])
-def test_suffixes(docs, empty, length, monkeypatch):
+@pytest.mark.parametrize("length,hot", [(100, suffixes.HOT), (41, suffixes.HOT), (100, 1), (41, 2)])
+def test_suffixes(docs, empty, length, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "BATCH", 3000)
+    monkeypatch.setattr(suffixes, "PIECE", 1000)
     got = suffixes.digest_documents(docs, length)
     assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(length) and got.count() == len(ROWS)
     assert suffixes.digest_documents(empty).count() == 0
     assert sum(v[1] for v in brute_repeats(length).values()) > 3000
 
 
-def test_suffix_pieces_and_levels():
+def level(*texts, start=0, **options):
+    """A level of the spans of documents, numbered from start on."""
+    raw = [t if isinstance(t, bytes) else t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    doc, lo, n, before = suffixes.spans_of(data, bounds, 20, 8)
+    return suffixes.Level(suffixes.byte_rows(data, bounds[doc] + lo, n, before, 20, 8), before, n, doc + start, doc * 0, lo, doc * 0, length=20, anchor=8)
+
+
+def test_suffix_spans_and_rows():
     rng = np.random.default_rng(3)
     text = rng.integers(97, 100, 3000).astype(np.uint8)
-    whole = suffixes.spans_of(text, np.array([0, 1000, 1050, 3000]), 100, 32)
-    starts = sorted((int(d), int(a) + i) for d, a, n in zip(*whole[:3], strict=True) for i in range(n))
+    bounds = np.array([0, 1000, 1050, 3000])
+    doc, lo, n, before = suffixes.spans_of(text, bounds, 100, 32)
+    starts = sorted((int(d), int(a) + i) for d, a, m in zip(doc, lo, n, strict=True) for i in range(m))
     assert starts == [(0, i) for i in range(901)] + [(2, i) for i in range(1851)]  # every window in one span, none across documents
-    family, found = suffixes.Family(), []
-    for i in range(9):
-        one = np.array([i % 4], np.uint64)
-        found += family.add(suffixes.Level(one, one, np.array([9 - i]), np.array([0]), np.array([1])))
+    rows = suffixes.byte_rows(text, bounds[doc] + lo, n, before, 100, 32)
+    for i in range(0, len(lo), 7):
+        span = text[bounds[doc[i]] + lo[i] :][: n[i] + 99].tobytes()
+        right = span[before[i] :]
+        assert rows[i].tobytes() == right.ljust(100, b"\0") + span[: before[i]][::-1].ljust(68, b"\0")
+
+
+def test_suffix_arrays_are_in_byte_order_and_merge():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab") for _ in range(300)) + "\0" * rng.randint(0, 40) for _ in range(12)]
+    one = level(*texts)
+    rows = [r.tobytes() for r in one.text]
+    assert rows == sorted(rows) and len(one) > 100
+    back = suffixes.Level.from_blob(one.blob())
+    assert all((getattr(one, x) == getattr(back, x)).all() for x in one.NAMES)
+    parts = [level(t, start=i) for i, t in enumerate(texts)]
+    both = functools.reduce(lambda a, b: a.merged(b), parts)
+    assert (both.text == one.text).all() and (both.k == one.k).all() and (both.lo == one.lo).all()
+
+
+@pytest.mark.parametrize("hot", [None, 3])
+def test_suffix_family_finds_every_repeated_window(hot):
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abc") for _ in range(30)) for _ in range(4)]
+    texts = ["".join(rng.choice(["a", "b", "c", rng.choice(pool)]) for _ in range(40)) for _ in range(15)]
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 19):
+            if t[i : i + 20] in seen:
+                want.add((d, i))
+            seen.add(t[i : i + 20])
+    family, found = suffixes.Family(hot=hot), []
+    for i, t in enumerate(texts):
+        one = level(t, start=i)
+        found.append(one.repeats())
+        found += family.add(one)
+        sizes = [len(x) for x in family.levels]
+        assert all(a > 2 * b for a, b in itertools.pairwise(sizes))
     found += list(family.close())
-    assert len(family.levels) == 1 and len(family.levels[0]) == 4 and sorted(int(x) for f in found for x in f[0]) == [5, 6, 7, 8, 9]
-    assert sorted(family.levels[0].columns[2].tolist()) == [1, 2, 3, 4]
+    found.append(family.levels[0].long_matches())
+    marked = {(int(k), int(lo) + j) for f in found for k, lo, n, _ in zip(*f, strict=True) for j in range(int(n))}
+    if hot is None:
+        assert marked == want and len(want) > 100
+    else:  # windows of hot anchors are left to the second pass, each span of them whole
+        away = {(int(k), int(lo) + j) for f in family.gone for k, lo, n, _ in zip(*f, strict=True) for j in range(int(n))}
+        assert family.gone and marked <= want <= marked | away
+
+
+def test_later_batches_meet_the_levels_of_an_index(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH", 2000)
+    rng = random.Random(2)
+    passage = [words(rng, 40) for _ in range(5)]
+    batches = [[(10 * b + i, f"{words(rng, 20)} {rng.choice(passage)} {words(rng, 20)}") for i in range(8)] for b in (3, 1, 2)]
+    seen, index, levels = set(), None, 0
+    for rows in batches:
+        want = {}
+        for k, t in rows:
+            b = t.encode()
+            want[k] = {i for i in range(len(b) - 99) if b[i : i + 100] in seen}
+            seen |= {b[i : i + 100] for i in range(len(b) - 99)}
+        found, index = suffixes.index_batch(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), index)
+        index = base.stash(index)
+        got = {r["doc_id"]: {lo + j for lo, n in zip(r["lo"] or [], r["n"] or [], strict=True) for j in range(n)} for r in found.collect()}
+        assert got == want
+        assert index.count() >= levels
+        levels = index.where("kind > 3").count()
+    assert any(want.values())
 
 
 def test_drop_repeats_keeps_characters(docs):
     done = suffixes.drop_repeats(docs)
     assert done.columns == docs.columns and done.count() == len(ROWS) and by_id(done, "text")[23] == (None,)
+    assert extras_stay(done)
     got = by_id(done, "text")
     first, later = sorted(k for k in TEXTS if TEXTS[k] == TEXTS[0])[:2]
     assert got[first][0] == TEXTS[0] and got[later][0] == ""
@@ -320,7 +403,7 @@ def brute_components(n, num, den):
 
 @pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100), (1, 6, 10)])
 def test_ngram_join(docs, empty, n, num, den, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "TILE", 2)
+    monkeypatch.setattr(base, "SHARE", 5)
     monkeypatch.setattr(ngramjoin, "BLOCK", 3)
     monkeypatch.setattr(ngramjoin, "TRIED", 1)
     got = ngramjoin.join_documents(docs, n, num, den)
@@ -452,14 +535,66 @@ def test_cotraining_on_held_out_rows(spark):
 
 
 def test_cotraining_exchanges_pseudo_labels():
+    """Words that no labelled row holds are learnt from pool rows that the metadata view has labelled."""
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 2, 60)
-    row = lambda c: (np.array([int(c), 5 + int(rng.integers(0, 3))]), np.array([int(c)]))
-    model = cotrain.co_train([row(c) for c in y], y.astype(float), np.ones(60), [row(c) for c in rng.integers(0, 2, 200)])
-    test = rng.integers(0, 2, 50)
-    rows = [row(c) for c in test]
-    p = model.score(tuple(v.raw_rows([r[i] for r in rows]) for i, v in enumerate(model.views)))
-    assert ((p >= 0.5) == test).all()
+
+    def row(c, word, place):
+        return np.array([word + int(c), 50 + int(rng.integers(0, 9))]), np.array([place + int(c), 90 + int(rng.integers(0, 5))])
+
+    y, pool = rng.integers(0, 2, 400), rng.integers(0, 2, 1000)
+    labelled, unlabelled = [row(c, 0, 10) for c in y], [row(c, 20, 10) for c in pool]
+    test = rng.integers(0, 2, 200)
+    rows = [row(c, 20, 30) for c in test]  # words of the pool, metadata that tells nothing
+
+    def right(rounds):
+        model = cotrain.co_train(labelled, y.astype(float), np.ones(400), unlabelled, rounds)
+        p = model.score(tuple(v.raw_rows([r[i] for r in rows]) for i, v in enumerate(model.views)))
+        return ((p >= 0.5) == test).mean()
+
+    assert right(0) < 0.7 and right(cotrain.ROUNDS) == 1
+
+
+def test_cotraining_views_share_nothing():
+    data = np.frombuffer(b"one TWO\nthree", np.uint8)
+    stats = np.zeros((cotrain.SOURCES, 2))
+    doc, feature = cotrain.meta_features(["a", None], ["en", None], [5, None], stats)
+    assert feature.max() < cotrain.META_SIZE and sorted(set(doc.tolist())) == [0, 1]
+    assert cotrain.text_features(data, np.array([0, 7, 13]))[1].max() < cotrain.TEXT_SIZE and cotrain.text_features(data[:0], np.array([0, 0]))[1].tolist() == [cotrain._LINE]
+
+
+def test_cotraining_ties_and_repeated_labels(spark):
+    docs, labels = labelled(spark)
+    more = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (1, 1, 1), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = {}
+    train = cotrain.co_train
+    try:
+        cotrain.co_train = lambda rows, y, w, pool, rounds: seen.setdefault(len(seen), y) is None or train(rows, y, w, pool, 0)
+        cotrain.fit(docs, more.unionByName(spark.createDataFrame([(3, 1, 0)], more.schema)))
+    finally:
+        cotrain.co_train = train
+    assert sorted(seen[0]) == [0, 1] and sorted(seen[1]) == [0, 1]
+    assert labels.count()
+
+
+def test_source_statistics(docs, empty):
+    stats = cotrain.source_statistics(docs)
+    sizes = collections.defaultdict(list)
+    for r in ROWS:
+        if r[4] is not None:
+            sizes[zlib.crc32(("" if r[3] is None else "=" + r[3]).encode()) % cotrain.SOURCES].append(r[4])
+    assert {i: (len(x), np.mean(x)) for i, x in sizes.items()} == {i: tuple(stats[i]) for i in np.flatnonzero(stats[:, 0]).tolist()}
+    assert not cotrain.source_statistics(empty).any()
+
+
+def test_cotraining_on_real_labels(spark):
+    """Held-out labels of the given tables: the mix is no worse than either view."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 4
+    got = cotrain.classify(docs, labels.where(~held)).join(labels.where(held).select("doc_id", F.col("quality").alias("y")), "doc_id").toPandas()
+    loss = lambda c: -np.log(np.clip(np.where(got["y"] == 1, got[c], 1 - got[c]), 1e-9, 1)).mean()
+    assert len(got) > 100 and ((got["quality"] >= 0.5) == got["y"]).mean() > 0.95
+    assert loss("quality") <= min(loss("quality_text"), loss("quality_meta")) + 0.01
 
 
 def test_cotraining_edge_cases(spark, docs, empty):
@@ -470,20 +605,111 @@ def test_cotraining_edge_cases(spark, docs, empty):
     assert cotrain.classify(empty, one).count() == 0 and cotrain.keep_good(docs, one).columns == docs.columns
 
 
-def test_pipeline(spark, docs, tmp_path):
+def staged(spark, folder):
+    """(name, input, output) of each stage over the tables in a folder."""
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(folder)).write.parquet(f"{folder}/{name}")
+        yield name, now, spark.read.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+
+
+def test_pipeline_with_awkward_rows(spark, docs, empty, tmp_path):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, now, str(tmp_path))
-        out.write.parquet(str(tmp_path / name))
-        now = spark.read.parquet(str(tmp_path / name))
-        assert i == 4 or now.columns == docs.columns
+    for name, _, out in staged(spark, tmp_path):
+        assert name == "length_buckets" or (out.columns == docs.columns and extras_stay(out))
     roots = brute_components(5, 80, 100)
     kept = [k for k, (_, root) in roots.items() if k == root]
-    assert sorted(r[0] or -1 for r in now.select("doc_id").distinct().collect()) == sorted(k or -1 for k in kept)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    assert sorted(r[0] or -1 for r in out.select("doc_id").distinct().collect()) == sorted(k or -1 for k in kept)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == out.count()
+    (tmp_path / "none").mkdir()
+    empty.write.parquet(str(tmp_path / "none/documents.parquet"))
+    labels.write.parquet(str(tmp_path / "none/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def without_repeats(texts, length=100):
+    """Texts in order without the characters all of whose bytes lie in strings that start earlier too."""
+    seen, out = set(), []
+    for t in texts:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if b[i : i + length] in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(b[i : i + length])
+        starts = [i for i, c in enumerate(b) if c & 0xC0 != 0x80] + [len(b)]
+        out.append(b"".join(b[i:j] for i, j in zip(starts, starts[1:], strict=False) if not all(gone[i:j])).decode())
+    return out
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    made, labels = labelled(spark)
+    rows = [(r[0], r[1], "en", r[3], len(r[1])) for r in made.collect()]
+    good = [r for r in rows if r[0] % 4 and r[0] % 5]
+    passage, key = words(rng, 70), "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    extra = [good[0][1], good[1][1] + " end", "start " + good[2][1], f"{good[3][1]} {passage}", f"{passage} {good[4][1][:200]}", f"{words(rng, 60)} {key} {words(rng, 5)}", f"{words(rng, 60)} password: {key[:9]}", good[0][1] + " and more"]
+    rows += [(1000 + i, t, "en", "src", len(t)) for i, t in enumerate(extra)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stages = {name: ({r["doc_id"]: r for r in a.collect()}, {r["doc_id"]: r for r in b.collect()}) for name, a, b in staged(spark, tmp_path)}
+    text = lambda side: {k: r["text"] for k, r in side.items()}
+
+    before, after = stages["quality"]
+    clean = {r[0] for r in good} | set(range(1000, 1000 + len(extra)))
+    assert all(after[k] == before[k] for k in after) and len(clean - set(after)) <= 3 and len(set(after) - clean) <= 0.1 * (len(rows) - len(clean))
+
+    before, after = map(text, stages["near_duplicates"])
+    sets = {k: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", t.lower())] for i in range(len(w) - 4)} for k, t in before.items()}
+    root = {k: k for k in before}
+    for a in sorted(before):
+        for b in sorted(before):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert after == {k: t for k, t in before.items() if root[k] == k} and len(before) - len(after) >= 3
+
+    before, after = map(text, stages["repeats"])
+    assert after == dict(zip(sorted(before), without_repeats([before[k] for k in sorted(before)]), strict=True)) and after != before
+
+    before, after = map(text, stages["secret_scan"])
+    hide = lambda t: re.sub(r"[0-9a-f]{24,}|password: [0-9a-f]{9}", "[SECRET]", t)
+    assert after == {k: hide(t) for k, t in before.items()} and sum(after[k] != before[k] for k in after) == 2
+    assert all(r["n_chars"] == len(r["text"]) for r in stages["secret_scan"][1].values())
+
+    before, after = stages["length_buckets"]
+    library = Tokenizer.from_file(wordtok.default_path())
+    n = {k: len(library.encode(r["text"], add_special_tokens=False).ids) for k, r in before.items()}
+    held = collections.Counter(n.values())
+    tops = packing.best_boundaries(np.array(sorted(held)), np.array([held[x] for x in sorted(held)]))
+    assert {k: (r["n_tokens"], r["bucket_len"], r["padding"]) for k, r in after.items()} == {k: (x, min(t for t in tops if t >= x), min(t for t in tops if t >= x) - x) for k, x in n.items()}
+
+
+def test_spread_join(spark):
+    many = spark.createDataFrame([(i % 50 if i % 2 else 7, i) for i in range(3000)] + [(None, -1)], "a long, v long")
+    few = spark.createDataFrame([(i, i * i) for i in range(40)], "a long, w long")
+    got = collections.Counter(tuple(r) for r in base.spread_join(many, few, "a").collect())
+    assert got == collections.Counter(tuple(r) for r in many.join(few, "a").collect()) and len(got) > 2000
+    assert base.spread_join(many, few, "a", "left").count() == 3001 and base.spread_join(many.where("v < -9"), few, "a").count() == 0
+
+
+def test_folders_go_and_clusters_need_one(spark, docs):
+    import types
+
+    others = base.written()
+    a, b = base.stash(docs.select("doc_id")), base.stash(docs.select("text"))
+    base.clear(spark, keep=b, leave=others)
+    assert b.count() == len(ROWS) and len(base.written()) == len(others) + 1
+    with pytest.raises(Exception, match="(?i)path|file"):
+        a.count()
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda *_: None), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        base.work_folder(cluster)
 
 
 def rows_of_shared_ids():
