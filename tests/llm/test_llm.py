@@ -554,6 +554,15 @@ def test_cotraining_exchanges_pseudo_labels():
     assert right(0) < 0.7 and right(cotrain.ROUNDS) == 1
 
 
+def test_lowest_takes_the_first_rows_by_hash(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, base.NO_ID).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("h"))
+    brute = {tuple(r) for r in rows.orderBy(F.xxhash64("k", "h", F.lit(6)), "k", "h").limit(100).collect()}
+    assert {tuple(r) for r in cotrain.lowest(rows, 6, 100, 20_000).collect()} == brute
+    few = rows.where("k % 1000 = 1")
+    assert cotrain.lowest(few, 6, 100, few.count()).count() == few.count() < 100
+    assert cotrain.lowest(rows.where("false"), 6, 100, 0).count() == 0
+
+
 def test_cotraining_views_share_nothing():
     data = np.frombuffer(b"one TWO\nthree", np.uint8)
     stats = np.zeros((cotrain.SOURCES, 2))

@@ -233,6 +233,16 @@ class Fitted:
     statistics: np.ndarray
 
 
+def lowest(rows: DataFrame, seed: int, most: int, n: int) -> DataFrame:
+    """The ``most`` of n different rows (k, h, ...) that a hash puts first.
+
+    Only hashes below a bound are sorted, one that 4 * most + 200 rows are expected under: fewer than ``most`` there are as good
+    as impossible, and what meets in one task does not grow with the table or its partitions."""
+    at = F.xxhash64("k", "h", F.lit(seed))
+    bound = min(2**63 - 1, int((4 * most + 200) / max(n, 1) * 2**64) - 2**63)
+    return rows.where(at <= bound).orderBy(at, "k", "h").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Fitted:
     """The classifiers of quality and toxicity, fitted on ``labelled`` rows for each pair of labels and on ``pool`` unlabelled ones
     in all rounds together at most: co-training draws its pseudo-labels from these ``pool`` rows alone, whatever the size of the
@@ -250,7 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     if len(named.where(F.col("k") == NO_ID).take(2)) > 1:
         marks = marks.where(F.col("k") != NO_ID)
     judged = stash(named.join(marks, "k", "left").select("k", "h", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic")))
-    drawn = lambda q, t, seed, most: judged.where(f"quality = {q} AND toxic = {t}").orderBy(F.xxhash64("k", "h", F.lit(seed)), "k", "h").limit(most)
+    sizes = {(r["quality"], r["toxic"]): r["count"] for r in judged.groupBy("quality", "toxic").count().collect()}  # five rows at most
+    drawn = lambda q, t, seed, most: lowest(judged.where(f"quality = {q} AND toxic = {t}"), seed, most, sizes.get((q, t), 0))
     chosen = drawn(-1, -1, 6, pool)
     for q, t in ((0, 0), (0, 1), (1, 0), (1, 1)):
         chosen = chosen.unionByName(drawn(q, t, 5, labelled))
