@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_llm import ORDER, ROWS, SCHEMA, TEXTS, by_id, docs, empty  # noqa: F401
-from veilspark.llm import bytebpe, runs
+from veilspark.llm import bytebpe, runs, trie
 
 
 def sha(x):
@@ -132,3 +132,78 @@ def test_runs_of_documents(spark, docs, empty):
     assert got == {r[0]: brute_digest(r[0], r[1]) for r in lines.select("doc_id", "text").collect()} and sum(v[0] > 0 for v in got.values()) > 40
     plain = by_id(runs.find_runs(lines), "n_words", "runs", "collapsed")
     assert plain[30][2].startswith("head a b c") and len(plain[30][2].split()) < 12 and plain[30][1][0]["period"] == 3
+
+
+TURNS = "conv_id long, turn long, role string, text string, k long, h1 long, d int, key string, `a.b` int, __p int"
+
+
+def brute_trie(rows, change=True):
+    own = {}
+    for c, turn, role, text, *_ in rows:
+        own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(t)] for c, t in own.items()}
+    made = {}
+    for c, t in own.items():
+        h = zlib.crc32(str(c).encode()) % 4 if change and c is not None else 0
+        made[c] = own.get(c - c % 20, [])[:h] + t[h:] if h else t
+    members = {}
+    for c, t in made.items():
+        for d in range(len(t) + 1):
+            members.setdefault(tuple(t[:d]), []).append(c)
+    least = lambda x: min(x, key=lambda c: -(2**63) if c is None else c)
+    out = {}
+    for path, who in members.items():
+        below = [p for p in members if p[: len(path)] == path]
+        children = [p for p in below if len(p) == len(path) + 1]
+        ends = sorted((c for c in who if len(made[c]) == len(path)), key=lambda c: -(2**63) if c is None else c)
+        saved = sum((len(members[p]) - 1) * len(re.findall("[^\x20\x09-\x0d]+", p[-1][1])) for p in below if p)
+        leaves = sum(not any(len(q) == len(p) + 1 and q[: len(p)] == p for q in below) for p in below)
+        parent = least(members[path[:-1]]) if path else None
+        out[least(who), len(path)] = (parent, len(who), len(children), leaves, saved, sha(",".join("" if c is None else str(c) for c in ends)) if ends else sha(""))
+    return out
+
+
+def talk(rng, n):
+    lines = [" ".join(rng.choice(["ja", "no", "oh\t", "so\n", "é"]) for _ in range(rng.randint(0, 5))) for _ in range(4)] + ["", None]
+    rows = []
+    for _ in range(n):
+        c = rng.choice([*range(70), 400, 403, 419])
+        if not any(r[0] == c for r in rows):
+            # One line for each role, so that the order of a turn's rows, which is that of their hashes, does not matter
+            rows += [(c, None if i == 0 and rng.random() < 0.2 else i, rng.choice(["u", None]), rng.choice(lines)) for i in range(rng.choice([0, 1, 2, 3, 4, 5, 9]))]
+    rows += [(500 + i, j, "u", "same start" if j < 3 else f"then {i % 2}") for i in range(30) for j in range(5)]
+    rows += [(None, j, "u", x) for j, x in enumerate(["same start", "no id"])]
+    rows += [(60 * 20, j, None, str(j % 7)) for j in range(300)]  # a long one
+    rows += [(7777, 3, "u", "twice")] * 2
+    return [(*r, 1, 2, 3, "x", 4, 5) for r in rows]
+
+
+def found_trie(df):
+    got = {}
+    for r in df.collect():
+        assert (r["conv_id"], r["depth"]) not in got
+        got[r["conv_id"], r["depth"]] = tuple(r[c] for c in ("parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"))
+    return got
+
+
+def test_prefix_trie(spark):
+    rows = talk(random.Random(2), 60)
+    df = spark.createDataFrame(rows, TURNS).repartition(3)
+    assert found_trie(trie.digest_conversations(df)) == brute_trie(rows)
+    assert found_trie(trie.prefix_trie(df)) == brute_trie(rows, change=False)
+    assert trie.digest_conversations(df.limit(0)).count() == 0
+    some = brute_trie(rows)
+    assert sum(v[1] > 1 for v in some.values()) > 10 and any(v[1] == 1 and v[2] == 0 for v in some.values())
+
+
+def test_scan_over_many_partitions(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), i, rng.randrange(9), rng.randrange(1 << 40), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, i long, a long, b long, c long").repartition(5)
+    got = {r["i"]: (r["a"], r["b"], r["c"]) for r in trie.scan(df, ["g"], ["i"], add=("a",), xor=("b",), last=("c",)).collect()}
+    want, state = {}, {}
+    for g, i, a, b, c in sorted(rows, key=lambda r: (r[0], r[1])):
+        s, x, prev = state.get(g, (0, 0, None))
+        want[i] = (s + a, x ^ b, prev)
+        state[g] = (s + a, x ^ b, c)
+    assert got == want

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, bytebpe, cotrain, imatch, isomedia, lengths, ngramjoin, packing, planes, runs, secrets, suffixes
+from veilspark.llm import bpe, bytebpe, cotrain, imatch, isomedia, lengths, ngramjoin, packing, planes, runs, secrets, suffixes, trie
 from veilspark.llm.base import documents
 
 
@@ -48,6 +48,10 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digest_documents(documents(spark, sf_dir))
 
@@ -56,5 +60,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_cotrained, op3_suffix_family, op4_bpe, op5_media, op6_imatch, op7_token_histogram, op8_ngram_join, op9_id_planes, op10_length_buckets, op12_byte_bpe, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_cotrained, op3_suffix_family, op4_bpe, op5_media, op6_imatch, op7_token_histogram, op8_ngram_join, op9_id_planes, op10_length_buckets, op11_prefix_trie, op12_byte_bpe, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op1_secrets": secrets.ORACLE}
