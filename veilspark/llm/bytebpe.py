@@ -5,8 +5,8 @@ leads from the token that a pair makes to the positions of that pair in words. T
 all of its positions, and only the pairs of the touched neighbours enter the index anew; so each merge of the ranks is
 applied once for the whole corpus of words, not once for each text.
 
-1. ``lexicon``: the corpus's most frequent words are counted by Spark and replayed in one index, split by words where
-   it is asked for more. At most LEXICON words of at most LONGEST bytes, so it is safe to broadcast at any size of input.
+1. ``lexicon``: Spark counts the words of the whole corpus; those that make up over 1 / LEXICON of it are replayed, each once.
+   So they are fewer than LEXICON, of at most LONGEST bytes, and safe to broadcast at any size of input.
 2. A task replays all words of its documents that the lexicon lacks in an index of its own, share by share of the documents:
    SHARE characters, so its memory is bounded. Every word gets its ids by a replay, wherever that is.
 3. A text is cut at single blanks between other characters, where the pattern always cuts; each distinct piece is matched
@@ -36,11 +36,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.base import doc_id, keyed, record
+from veilspark.llm.base import doc_id, keyed, record, stash
 from veilspark.llm.wordtok import _SPACE
 
-#: Words of the lexicon; bytes of the longest of them; characters of a share; pieces that a task remembers between shares.
-LEXICON, LONGEST, SHARE, REMEMBERED = 65_536, 64, 32_000_000, 800_000
+#: A word of the lexicon is over 1 / LEXICON of all words; bytes of the longest of them; characters of a share; pieces that a task
+#: remembers between shares.
+LEXICON, LONGEST, SHARE, REMEMBERED = 1 << 18, 64, 32_000_000, 800_000
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
@@ -245,7 +246,7 @@ def _shares(batches, share: Share):
 
 
 def lexicon(docs: DataFrame, path: str | None = None, pattern: str | None = None, most: int = LEXICON) -> DataFrame:
-    """(word, ids array<int>) of the most frequent words of all texts, ties by word. Counts are exact and over all documents."""
+    """(word, ids array<int>) of the words that are over 1 / most of all words of all texts. Counts are exact."""
     path, pattern = path or default_path(), pattern or default_pattern()
 
     def counted(batches):
@@ -278,8 +279,9 @@ def lexicon(docs: DataFrame, path: str | None = None, pattern: str | None = None
             words = batch.column("word").to_pylist()
             yield record(of, words, ranks.replay([w.encode() for w in words]))
 
-    counts = keyed(docs).select("text").mapInArrow(counted, "word string, n long").where(F.octet_length("word") <= LONGEST)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
+    counts = stash(keyed(docs).select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where((F.col("n") * most > total) & (F.octet_length("word") <= LONGEST)).select("word")
     return top.mapInArrow(replayed, "word string, ids array<int>")
 
 
