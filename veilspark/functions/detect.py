@@ -137,7 +137,7 @@ def contextual_names(text: Column) -> Column:
 def detect(text: Column) -> Column:
     """All spans of a text, none of them overlapping, by position."""
     digits = [k for k in ORDER if k not in ("email", "credential", "address")]
-    numbers = lambda t: F.when(F.regexp_like(t, F.lit("[0-9]{3}")), F.concat(*(_of(t, k) for k in digits))).otherwise(none())
+    numbers = lambda t: F.when(F.regexp_like(t, F.lit("[0-9]")), F.concat(*(_of(t, k) for k in digits))).otherwise(none())
     others = lambda t: F.concat(*(_of(t, k) for k in ("email", "credential", "address")))
     # the order of kinds decides between equal spans only; ranks of the kinds here differ from those of numbers
     found = lambda t: dedupe(F.concat(numbers(t), others(t), _names(t, GENERAL)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import checksums as C
 from veilspark.functions import detect as D
-from veilspark.functions import fixed, headers, masking, model, spans
+from veilspark.functions import fixed, headers, masking, model, spans, sql
 from veilspark.functions.text import nfc, xml_decode, xml_encode
 from veilspark.operators import control, decoding, evaluation, review, segments, settings
 from veilspark.plans.corpus import SEEDS
@@ -145,6 +145,35 @@ def detect_all(spark, d):
     return _rows(texts(spark, d, "labels"), D.detect(F.col("text")))
 
 
+def _by_sql(spark: SparkSession, functions: list[str], query: str, **tables: DataFrame) -> DataFrame:
+    sql.register(spark, *functions)
+    return spark.sql(query, **tables)
+
+
+@query
+def sql_detect(spark, d):
+    """pii_detect from SQL, one stage."""
+    return _by_sql(spark, ["pii_detect"], "SELECT key, s.start, s.`end`, s.text, s.category, s.confidence FROM (SELECT key, pii_detect(text) AS spans FROM {labels}) LATERAL VIEW explode(spans) x AS s", labels=texts(spark, d, "labels"))
+
+
+@query
+def sql_spans(spark, d):
+    """The table function pii_spans with LATERAL."""
+    return _by_sql(spark, ["pii_spans"], "SELECT key, s.start, s.`end`, s.span AS text, s.category, s.confidence FROM {labels} AS t, LATERAL pii_spans(t.text) AS s", labels=texts(spark, d, "labels"))
+
+
+@query
+def sql_masked(spark, d):
+    """pii_mask from SQL: documents whose e-mail addresses get a tag."""
+    return _by_sql(spark, ["pii_mask_spans", "pii_detect_email"], "SELECT doc_id, pii_mask_spans(text, pii_detect_email(text), map('email', 'tag')) AS masked FROM {documents}", documents=_texts(spark, d, "documents"))
+
+
+@query
+def sql_valid(spark, d):
+    """Check digits from SQL."""
+    return _by_sql(spark, ["pii_valid_rrn"], "SELECT key, pii_valid_rrn(regexp_replace(text, '[^0-9]', '')) AS valid FROM {rrn}", rrn=texts(spark, d, "rrn"))
+
+
 def _line_spans(spark: SparkSession, d: str, source: str = "regex") -> DataFrame:
     """Spans from the lines of each order: they overlap and tie often."""
     start = (F.col("l_partkey") % 23).cast("int")

@@ -58,7 +58,7 @@ RECIPES = {
     "context_names": ("customer", _c, f"concat('no_', {case(_c, [chr(39) + x + chr(39) for x in ('박영', '서울', '김아무개', '조사방법', '이상')])}, '_', {_S(_c)})"),
     "roman_names": ("customer", _c, f"concat('file_', {case(_c, [chr(39) + x + chr(39) for x in ('KimDoeFoo', 'LeeAB', 'DoeFooPark', 'JavaScript', 'kimdoe')])}, '_', {_S(_c)}, '.pdf')"),
     "file_names": ("customer", _c, f"concat({case(_c, [chr(39) + x + chr(39) for x in ('임꺽정이력서', '홍길동사본', '조달청영수증', '그냥문서')])}, '_', {_S(_c)}, '.doc')"),
-    "overlaps": ("customer", _c, "concat('건 ', " + case(_c, [f"concat('국민 110-234-', {_pad(f'({_c} * 31) % 1000000', 6)})", f"concat('0101234', {_pad(f'{_c} % 10000', 4)}, '@mail.example')", f"concat('4111-1111-1111-', {_pad(f'{_c} % 10000', 4)})", f"concat('02-123-', {_pad(f'{_c} % 10000', 4)}, ' a.', {_S(_c)}, '@b.example')", f"concat('KimLee', '@', 'x', {_S(_c)}, '.example')", f"concat('신한 2024-05-10-', {_pad(f'{_c} % 1000', 3)})"]) + ", ' 끝')"),
+    "overlaps": ("customer", _c, "concat('건 ', " + case(_c, [f"concat('국민 110-234-', {_pad(f'({_c} * 31) % 1000000', 6)})", f"concat('0101234', {_pad(f'{_c} % 10000', 4)}, '@mail.example')", f"concat('4111-1111-1111-', {_pad(f'{_c} % 10000', 4)})", f"concat('02-123-', {_pad(f'{_c} % 10000', 4)}, ' a.', {_S(_c)}, '@b.example')", f"concat('KimLee', '@', 'x', {_S(_c)}, '.example')", f"concat('신한 2024-05-10-', {_pad(f'{_c} % 1000', 3)})", f"concat('우리 12 34 56 78 ', {_pad(f'{_c} % 100', 2)})"]) + ", ' 끝')"),
     "labels": ("customer", _c, f"concat('성명: ', {case(_c, NAMES)}, chr(10), '연락처= ', {_PHONE}, chr(9), '메일：none', chr(10), 'memo: x')"),
 }
 
