@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import re
 import uuid
 from array import array
@@ -41,7 +42,7 @@ from veilspark.llm.wordtok import _SPACE
 
 #: A word of the lexicon is over 1 / LEXICON of all words; bytes of the longest of them; characters of a share; pieces that a task
 #: remembers between shares.
-LEXICON, LONGEST, SHARE, REMEMBERED = 1 << 18, 64, 32_000_000, 800_000
+LEXICON, LONGEST, SHARE, REMEMBERED = 1 << 18, 64, 16_000_000, 600_000
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
@@ -74,14 +75,17 @@ class Ranks:
         pairs = [(self.rank[t[:i]] * self.width + self.rank[t[i:]], r) for t, r in self.rank.items() for i in range(1, len(t)) if t[:i] in self.rank and t[i:] in self.rank]
         pairs.sort()
         self.keys, self.made = np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64)
-        self.letters = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.letters = np.array([self.rank.get(bytes([b]), -1) for b in range(256)], np.int32)
+        two = {t: r for t, r in self.rank.items() if len(t) == 2}
+        self.of_bytes = np.full(1 << 16, -1, np.int32)  # what two bytes make
+        self.of_bytes[[t[0] << 8 | t[1] for t in two]] = list(two.values())
         self.back = np.zeros(self.width, bool)  # whether a pair with this token makes one of lower rank
         for side in (self.keys // self.width, self.keys % self.width):
             self.back[side[self.made < side]] = True
 
     def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """What each pair makes, or -1."""
-        key = left * self.width + right
+        key = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.made[at], -1)
 
@@ -93,17 +97,18 @@ class Ranks:
             return [x or [] for x in out]
         sizes = np.array([len(words[i]) for i in rest], np.int64)
         n, ends = int(sizes.sum()), np.cumsum(sizes)
-        symbol = np.append(self.letters[np.frombuffer(b"".join(words[i] for i in rest), np.uint8)], 0)
+        data = np.frombuffer(b"".join(words[i] for i in rest), np.uint8)
+        symbol = np.append(self.letters[data], np.int32(0))
         if (symbol < 0).any():
             raise ValueError("the ranks lack a byte")
-        word = np.append(np.repeat(np.arange(len(rest)), sizes), len(rest))
-        after, before = np.arange(1, n + 2), np.arange(-1, n)  # n stands for none
+        word = np.append(np.repeat(np.arange(len(rest), dtype=np.int32), sizes), np.int32(len(rest)))
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # n stands for none
         after[ends - 1] = after[n] = n
         before[ends - sizes] = before[n] = n
-        makes = np.full(n + 1, -1, np.int64)  # what the pair at each position makes now; -1 also where the symbol is gone
-        inner = np.flatnonzero(after[:n] < n)
-        makes[inner] = self.of_pairs(symbol[inner], symbol[inner + 1])
-        alive = np.ones(n + 1, bool)
+        makes = np.full(n + 1, -1, np.int32)  # what the pair at each position makes now; -1 also where the symbol is gone
+        inner = np.flatnonzero(after[:n] < n).astype(np.int32)
+        makes[inner] = self.of_bytes[(data[inner].astype(np.int32) << 8) | data[inner + 1]]
+        alive, merged = np.ones(n + 1, bool), np.zeros(n + 1, bool)
         index: dict[int, list[np.ndarray]] = {}
         waiting: list[int] = []
 
@@ -126,8 +131,8 @@ class Ranks:
         while waiting:
             r = heapq.heappop(waiting)
             parts = index.pop(r)
-            at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
-            at = at[makes[at] == r]
+            at = np.sort(parts[0] if len(parts) == 1 else np.concatenate(parts))
+            at = at[(makes[at] == r) & np.concatenate([[True], at[1:] != at[:-1]])]
             if not len(at):
                 continue
             if self.back[r]:
@@ -147,8 +152,9 @@ class Ranks:
             after[at], before[then] = then, at
             before[n] = n
             left = before[at]
-            touched = np.unique(np.concatenate([at, left]))
-            touched = touched[:-1] if touched[-1] == n else touched
+            merged[at] = True
+            touched = np.concatenate([at, left[(left < n) & ~merged[left]]])
+            merged[at] = False
             right = after[touched]
             makes[touched] = np.where(right < n, self.of_pairs(symbol[touched], symbol[right]), -1)
             enter(touched)
@@ -188,6 +194,7 @@ class Share:
 
     def __init__(self, ranks: Ranks, pattern: str, lexicon: dict[str, list[int]] | None = None):
         self.ranks, self.match, self.lexicon = ranks, matcher(pattern).findall, lexicon or {}
+        self.letters = pattern == default_pattern()  # there letters, with or without a blank before them, are one word
         self.clear()
 
     def clear(self) -> None:
@@ -195,21 +202,20 @@ class Share:
         self.flat, self.start = array("I"), array("q", [0])
         self.shown: list[bytes] = []
         self.decoded: list[bytes] = []
-        self.known: list[list[str]] = []
 
     def numbers(self, text: str) -> np.ndarray:
         parts: list = _cut(text)
         parts[0] = (parts[0],)  # the only one without a blank before it
         return np.fromiter(map(self.pieces.__getitem__, parts), np.int32, len(parts))
 
-    def words(self) -> list[list[str]]:
-        """The words of each piece."""
-        for x in list(self.pieces)[len(self.known) :]:
-            self.known.append(self.match(x[0] if isinstance(x, tuple) else " " + x))
-        return self.known
+    def words(self, first: int = 0):
+        """The words of each piece from the first given on."""
+        for x in itertools.islice(self.pieces, first, None):
+            x = x[0] if isinstance(x, tuple) else " " + x
+            yield [x] if self.letters and x.removeprefix(" ").isalpha() else self.match(x)
 
     def learn(self) -> None:
-        new = self.words()[len(self.shown) :]
+        new = list(self.words(len(self.shown)))
         missing = list(dict.fromkeys(w for x in new for w in x if w not in self.lexicon))
         coded = dict(zip(missing, self.ranks.replay([w.encode() for w in missing]), strict=True))
         token = self.ranks.token
