@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import checksums, detect, fixed, headers, masking, model, spans
 from veilspark.functions.text import nfc, xml_decode, xml_encode
 from veilspark.operators import control, decoding, evaluation, review, segments, settings
-from veilspark.plans.stored import spread, stored
+from veilspark.stored import spread, stored
 from veilspark.sources.files import image_segments, read_segments
 from veilspark.sources.sinks import write_masked
 from veilspark.streaming.masking import mask_stream

@@ -14,7 +14,7 @@ from veilspark.functions.text import nfc, xml_decode, xml_encode
 from veilspark.operators import control, decoding, evaluation, review, segments, settings
 from veilspark.plans.corpus import SEEDS
 from veilspark.plans.recipes import cells, office_files, texts
-from veilspark.plans.stored import spread, stored
+from veilspark.stored import spread, stored
 from veilspark.sources.files import read_segments
 from veilspark.sources.sinks import write_masked
 

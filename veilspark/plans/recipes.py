@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.plans.stored import spread
+from veilspark.stored import spread
 
 _S = lambda x: f"cast({x} as string)"
 _pad = lambda x, n: f"lpad({_S(x)},{n},'0')"

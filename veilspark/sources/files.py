@@ -23,10 +23,19 @@ from pyspark.sql import functions as F
 from veilspark.functions import fixed
 from veilspark.operators.control import file_extension
 from veilspark.operators.segments import header_columns, mark_cells
+from veilspark.sources import extras
+from veilspark.stored import stored
 
 Reader = Callable[[bytes], list[tuple[str, str]]]
 NODE = "path string, ext string, seq int, seg_id string, text string, sheet string, row int, col int"
 _CELLS = (".csv", ".xlsx")
+
+
+def opened(data) -> zipfile.ZipFile:
+    """An archive from its bytes or from a file that can seek, of which only the parts that are asked for are read."""
+    return zipfile.ZipFile(data if hasattr(data, "read") else io.BytesIO(data))
+
+
 def decoded(text: str) -> str:
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         text = text.replace(a, b)
@@ -66,24 +75,36 @@ def table_cells(xml: str, prefix: str) -> list[tuple[int, int, int, list[int]]]:
     return out
 
 
-def _packed(data: bytes, ext: str) -> list[tuple]:
+def text_parts(ext: str, z: zipfile.ZipFile) -> list[str]:
+    """The parts of an archive that may be read on their own: those of running text, or the sheets of a workbook."""
+    return [part for _, part in sheet_parts(z)] if ext == ".xlsx" else parts_of(z.namelist(), ext)
+
+
+def _text(z: zipfile.ZipFile, part: str) -> str:
+    return z.read(part).decode("utf-8", "replace")
+
+
+def _packed(z: zipfile.ZipFile, ext: str, only: list[str] | None = None, rest: bool = True) -> list[tuple]:
     out = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        for part in parts_of(names, ext):
-            xml = z.read(part).decode("utf-8", "replace")
-            place = {i: (f"{part}#{t}", r, c) for t, r, c, nodes in table_cells(xml, fixed.PARTS[ext][1]) for i in nodes}
-            for i, m in enumerate(re.finditer(fixed.TEXT_NODE[ext], xml)):
-                if m[2]:
-                    out.append((node_id(ext, part, i), decoded(m[2]), *place.get(i, (None, None, None))))
-        if ext == ".hwpx":
-            if fixed.PREVIEW in names and (text := unicodedata.normalize("NFC", z.read(fixed.PREVIEW).decode("utf-8", "replace"))):
-                out.append((f"{fixed.PREVIEW}#0", text, None, None, None))
-        else:
-            for part in fixed.PROPERTY_PARTS:
-                if part in names:
-                    out += [(f"docprops::{part}#{i}", decoded(m[2]), None, None, None) for i, m in enumerate(re.finditer(fixed.PROPERTY_NODE, z.read(part).decode("utf-8", "replace")))]
-    return out
+    names = z.namelist()
+    for part in parts_of(names, ext) if only is None else only:
+        xml = _text(z, part)
+        place = {i: (f"{part}#{t}", r, c) for t, r, c, nodes in table_cells(xml, fixed.PARTS[ext][1]) for i in nodes}
+        for i, m in enumerate(re.finditer(fixed.TEXT_NODE[ext], xml)):
+            if m[2]:
+                out.append((node_id(ext, part, i), decoded(m[2]), *place.get(i, (None, None, None))))
+    if rest and ext == ".hwpx":
+        if fixed.PREVIEW in names and (text := unicodedata.normalize("NFC", _text(z, fixed.PREVIEW))):
+            out.append((f"{fixed.PREVIEW}#0", text, None, None, None))
+    elif rest:
+        for part in fixed.PROPERTY_PARTS:
+            if part in names:
+                out += [(f"docprops::{part}#{i}", decoded(m[2]), None, None, None) for i, m in enumerate(re.finditer(fixed.PROPERTY_NODE, _text(z, part)))]
+    return out + (_extras(z, ext) if rest else [])
+
+
+def _extras(z: zipfile.ZipFile, ext: str) -> list[tuple]:
+    return [(seg, text, None, None, None) for part in z.namelist() if extras.has_places(ext, part) for seg, text in extras.read(ext, part, _text(z, part), decoded)]
 
 
 def tag(e: ET.Element) -> str:
@@ -122,39 +143,51 @@ def comment_parts(z: zipfile.ZipFile, sheet: str) -> list[str]:
     return [p for p in paths if p in names and "threaded" not in p.lower()]
 
 
-def workbook_nodes(data: bytes) -> list[tuple]:
-    """(seg_id, text, sheet, row, col) of string cells, properties and comments."""
+def workbook_nodes(z: zipfile.ZipFile, only: list[str] | None = None, rest: bool = True) -> list[tuple]:
+    """(seg_id, text, sheet, row, col) of string cells, properties, comments and what else there is."""
     out, notes = [], []
     composed = lambda t: unicodedata.normalize("NFC", t)
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names, shared = set(z.namelist()), shared_strings(z)
-        for name, part in sheet_parts(z):
-            cells = []
-            for c in ET.fromstring(z.read(part)).iter():
-                if tag(c) == "c":
-                    value = next((v.text or "" for v in c if tag(v) == "v"), "")
-                    kind = c.get("t")
-                    text = shared[int(value)] if kind == "s" and value else _text_of(c) if kind == "inlineStr" else value if kind == "str" else None
-                    cells.append((c.get("r"), *address(c.get("r")), text))
-            top, left = min((r for _, r, _, _ in cells), default=0), min((c for _, _, c, _ in cells), default=0)
-            out += [(f"{name}!{a}", composed(text), name, r - top, c - left) for a, r, c, text in cells if text]
-            for path in comment_parts(z, part):
-                root = ET.fromstring(z.read(path))
-                authors, seen = [a.text or "" for a in root.iter() if tag(a) == "author"], {}
-                for c in (x for x in root.iter() if tag(x) == "comment"):
-                    i = seen[c.get("ref")] = seen.get(c.get("ref"), -1) + 1
-                    for side, text in (("t", _text_of(c)), ("a", authors[int(c.get("authorId", 0))] if authors else "")):
-                        if text:
-                            notes.append((f"xlsxcomment::{name}!{c.get('ref')}#{i}::{side}", composed(text), None, None, None))
-        for part in fixed.PROPERTY_PARTS[:2]:
-            for e in ET.fromstring(z.read(part)).iter() if part in names else ():
-                if (key := fixed.WORKBOOK_PROPERTIES.get(tag(e).lower())) and e.text:
-                    out.append((f"xlsxprops::{key}", composed(e.text), None, None, None))
-        part = fixed.PROPERTY_PARTS[2]
-        for e in ET.fromstring(z.read(part)) if part in names else ():
-            if (value := "".join(e.itertext())) and any(tag(v) in ("lpwstr", "lpstr") for v in e):
-                out.append((f"xlsxcustprops::{e.get('name')}", composed(value), None, None, None))
-    return out + notes
+    names, shared = set(z.namelist()), shared_strings(z)
+    for name, part in sheet_parts(z):
+        if only is not None and part not in only:
+            continue
+        cells = []
+        for c in ET.fromstring(z.read(part)).iter():
+            if tag(c) == "c":
+                value = next((v.text or "" for v in c if tag(v) == "v"), "")
+                kind = c.get("t")
+                text = shared[int(value)] if kind == "s" and value else _text_of(c) if kind == "inlineStr" else value if kind == "str" else None
+                cells.append((c.get("r"), *address(c.get("r")), text))
+        top, left = min((r for _, r, _, _ in cells), default=0), min((c for _, _, c, _ in cells), default=0)
+        out += [(f"{name}!{a}", composed(text), name, r - top, c - left) for a, r, c, text in cells if text]
+        for path in comment_parts(z, part):
+            root = ET.fromstring(z.read(path))
+            authors, seen = [a.text or "" for a in root.iter() if tag(a) == "author"], {}
+            for c in (x for x in root.iter() if tag(x) == "comment"):
+                i = seen[c.get("ref")] = seen.get(c.get("ref"), -1) + 1
+                for side, text in (("t", _text_of(c)), ("a", authors[int(c.get("authorId", 0))] if authors else "")):
+                    if text:
+                        notes.append((f"xlsxcomment::{name}!{c.get('ref')}#{i}::{side}", composed(text), None, None, None))
+    if not rest:
+        return out + notes
+    for part in fixed.PROPERTY_PARTS[:2]:
+        for e in ET.fromstring(z.read(part)).iter() if part in names else ():
+            if (key := fixed.WORKBOOK_PROPERTIES.get(tag(e).lower())) and e.text:
+                out.append((f"xlsxprops::{key}", composed(e.text), None, None, None))
+    part = fixed.PROPERTY_PARTS[2]
+    for e in ET.fromstring(z.read(part)) if part in names else ():
+        if (value := "".join(e.itertext())) and any(tag(v) in ("lpwstr", "lpstr") for v in e):
+            out.append((f"xlsxcustprops::{e.get('name')}", composed(value), None, None, None))
+    return out + notes + _extras(z, ".xlsx")
+
+
+#: Formats that are archives of parts.
+ARCHIVES = (*fixed.PARTS, ".xlsx")
+
+
+def archive_nodes(z: zipfile.ZipFile, ext: str, only: list[str] | None = None, rest: bool = True) -> list[tuple]:
+    """(seg_id, text, sheet, row, col) of an archive, or of some of its ``text_parts`` and, if asked for, what lies outside these."""
+    return workbook_nodes(z, only, rest) if ext == ".xlsx" else _packed(z, ext, only, rest)
 
 
 def csv_rows(data: bytes) -> list[list[str]]:
@@ -167,10 +200,9 @@ def nodes_of(ext: str, data: bytes, readers: dict[str, Reader]) -> list[tuple]:
         return [("doc", unicodedata.normalize("NFC", data.decode("utf-8", "replace")), None, None, None)]
     if ext == ".csv":
         return [(f"r{r}c{c}", unicodedata.normalize("NFC", x), "", r, c) for r, row in enumerate(csv_rows(data)) for c, x in enumerate(row) if x]
-    if ext in fixed.PARTS:
-        return _packed(data, ext)
-    if ext == ".xlsx":
-        return workbook_nodes(data)
+    if ext in ARCHIVES:
+        with opened(data) as z:
+            return archive_nodes(z, ext)
     if ext in readers:
         return [(i, unicodedata.normalize("NFC", t), None, None, None) for i, t in readers[ext](data) if t]
     raise ValueError(f"no reader for {ext or 'files without an extension'}")
@@ -191,11 +223,16 @@ def read_nodes(files: DataFrame, readers: dict[str, Reader] | None = None) -> Da
 
 
 def read_segments(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
-    """(path, ext, seq, seg_id, text, is_header, forced_category, name_hint_only) of files (path, content).
+    """``marked`` nodes of files (path, content): each file is parsed once, and its nodes are stored in the shared folder."""
+    return marked(stored(read_nodes(files, readers)))
+
+
+def marked(nodes: DataFrame) -> DataFrame:
+    """(path, ext, seq, seg_id, text, is_header, forced_category, name_hint_only) of NODE rows.
 
     In sheets the best of the first five rows is the header; in tables of documents it is the first row, if there are two or
     more. Texts are composed; empty ones are left out."""
-    nodes = read_nodes(files, readers).withColumn("__cells", F.col("ext").isin(*_CELLS))
+    nodes = nodes.withColumn("__cells", F.col("ext").isin(*_CELLS))
     keep = ("path", "ext", "seq", "seg_id", "text", "is_header", "forced_category", "name_hint_only")
     plain = nodes.where("sheet IS NULL").select("path", "ext", "seq", "seg_id", "text", F.lit(False).alias("is_header"), F.lit(None).cast("string").alias("forced_category"), F.lit(False).alias("name_hint_only"))
     sheets = mark_cells(nodes.where("sheet IS NOT NULL AND __cells"), ["path", "sheet"]).select(*keep)
@@ -206,10 +243,10 @@ def read_segments(files: DataFrame, readers: dict[str, Reader] | None = None) ->
     named = header_columns(heads, ["path", "sheet"], 1).select("path", "sheet", "col", "category", "name_hint")
     with_header = named.select("path", "sheet", F.lit(True).alias("has")).distinct()
     header = F.coalesce(F.col("has") & (F.col("row") == 0), F.lit(False))
-    marked = tables.join(with_header, ["path", "sheet"], "left").join(named, ["path", "sheet", "col"], "left").select(
+    placed = tables.join(with_header, ["path", "sheet"], "left").join(named, ["path", "sheet", "col"], "left").select(
         "path", "ext", "seq", "seg_id", "text", header.alias("is_header"), F.when(~header, F.col("category")).alias("forced_category"), (~header & F.coalesce(F.col("name_hint"), F.lit(False))).alias("name_hint_only")
     )
-    return plain.unionByName(sheets).unionByName(marked)
+    return plain.unionByName(sheets).unionByName(placed)
 
 
 def image_segments(meta: DataFrame, column: str = "meta") -> DataFrame:

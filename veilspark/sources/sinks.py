@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
 from veilspark.operators.control import file_extension, output_name
-from veilspark.sources.files import comment_parts, csv_rows, node_id, parts_of, shared_strings, sheet_parts, tag, workbook_nodes
+from veilspark.sources import extras
+from veilspark.sources.files import archive_nodes, comment_parts, csv_rows, decoded, node_id, opened, parts_of, shared_strings, sheet_parts, tag
 
 
 def _encoded(text: str) -> str:
@@ -43,18 +44,39 @@ def _rezip(data: bytes, change) -> bytes:
     return out.getvalue()
 
 
+def _changed(data: bytes, ext: str, masked: dict[str, str]) -> dict[str, str]:
+    """Old texts of an archive's segments that are masked, with their new ones."""
+    with opened(data) as z:
+        return {old: masked[seg] for seg, old, *_ in archive_nodes(z, ext) if seg in masked and masked[seg] != old}
+
+
+def _repeated(xml: str, changed: dict[str, str]) -> str:
+    """Texts between tags and attributes that repeat a masked segment whole, such as caches of charts, follow it."""
+    if not changed:
+        return xml
+    now = lambda t: changed.get(decoded(t))
+    swap = lambda m: m[0] if not m[1].strip() or (new := now(m[1])) is None else f"{m[0][0]}{_encoded(new).replace(chr(34), '&quot;')}{m[0][-1]}"
+    return re.sub('"([^"<>]*)"', swap, re.sub(">([^<>]+)<", swap, xml))
+
+
 def _packed(data: bytes, ext: str, masked: dict[str, str]) -> bytes:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with opened(data) as z:
         parts = set(parts_of(z.namelist(), ext))
+    changed = _changed(data, ext, masked)
 
     def change(name: str, body: bytes) -> bytes:
-        if name in parts:
-            return _nodes(body.decode("utf-8", "replace"), fixed.TEXT_NODE[ext], lambda i: node_id(ext, name, i), masked).encode()
         if ext == ".hwpx" and name == fixed.PREVIEW:
             return masked.get(f"{name}#0", body.decode("utf-8", "replace")).encode()
-        if ext != ".hwpx" and name in fixed.PROPERTY_PARTS:
-            return _nodes(body.decode("utf-8", "replace"), fixed.PROPERTY_NODE, lambda i: f"docprops::{name}#{i}", masked).encode()
-        return body
+        if not name.endswith((".xml", ".rels")):
+            return body
+        xml = extras.replaced(ext, name, body.decode("utf-8", "replace"), masked, _encoded)
+        if name in parts:
+            xml = _nodes(xml, fixed.TEXT_NODE[ext], lambda i: node_id(ext, name, i), masked)
+        elif ext != ".hwpx" and name in fixed.PROPERTY_PARTS:
+            xml = _nodes(xml, fixed.PROPERTY_NODE, lambda i: f"docprops::{name}#{i}", masked)
+        elif not name.endswith(".rels") and name != "[Content_Types].xml":
+            xml = _repeated(xml, changed)
+        return xml.encode()
 
     return _rezip(data, change)
 
@@ -131,14 +153,19 @@ def _echoes(root: ET.Element, changed: dict[str, str]) -> None:
 
 def _workbook(data: bytes, masked: dict[str, str]) -> bytes:
     """Masked strings in cells, comments and properties; nothing is left in the table of shared strings, and no other part
-    repeats a masked text. Numbers and formulas without text stay."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    repeats a masked text. Links, defined names and threaded comments are segments of their own. Numbers and formulas without
+    text stay."""
+    with opened(data) as z:
         sheets, shared = {part: name for name, part in sheet_parts(z)}, shared_strings(z)
         notes = {path: name for part, name in sheets.items() for path in comment_parts(z, part)}
-    changed = {old: masked[seg] for seg, old, *_ in workbook_nodes(data) if seg in masked and masked[seg] != old}
+    changed = _changed(data, ".xlsx", masked)
 
     def change(name: str, body: bytes) -> bytes:
-        if name == "[Content_Types].xml" or name.endswith(".rels") or not name.endswith((".xml", ".vml")):
+        if name == "[Content_Types].xml" or not name.endswith((".xml", ".vml", ".rels")):
+            return body
+        if extras.has_places(".xlsx", name):
+            body = extras.replaced(".xlsx", name, body.decode("utf-8", "replace"), masked, _encoded).encode()
+        if name.endswith(".rels"):
             return body
         root = _parsed(body)
         if name in sheets:
@@ -165,7 +192,7 @@ def _csv(data: bytes, masked: dict[str, str]) -> bytes:
 
 def _image(masked: dict[str, str]) -> str:
     lines = [f"- {k}: {masked[f'exif::{k}']}" for k in fixed.IMAGE_KEYS if masked.get(f"exif::{k}")]
-    foot = ["", "---", "[이미지 메타데이터] 원본 이미지를 공유하기 전 EXIF를 제거하세요.", *lines, ""] if lines else []
+    foot = ["", "---", fixed.IMAGE_FOOTER, *lines, ""] if lines else []
     return masked.get("ocr", "") + "\n".join(foot)
 
 
