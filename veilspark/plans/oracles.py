@@ -265,3 +265,4 @@ ORACLES["auto_apply"] = f"SELECT key, count(*) FILTER (s >= 12) = 0 OR key % 5 =
 ORACLES["review_groups"] = f"""WITH f AS (SELECT * FROM ({_m}) WHERE key % 7 <> 0), t AS (SELECT *, count(*) OVER (PARTITION BY floor(key / 4)) AS total FROM f)
 SELECT 'f' || floor(key / 4)::bigint || '.docx' AS path, key % 4 AS seq, 't' || key % 4 AS seg_id, '본문 ' || (key % 4 + 1) || '번째 텍스트' AS label, 1 AS n, total <= {fixed.FLAT} AS flat, total > {fixed.LARGE} AS large FROM t"""
 ORACLES |= {"sql_detect": ORACLES["detect_all"], "sql_spans": ORACLES["detect_all"], "sql_masked": ORACLES["mask_tag"], "sql_valid": ORACLES["rrn_valid"]}
+ORACLES["saved_roundtrip"] = ORACLES["csv_roundtrip"]

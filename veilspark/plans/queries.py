@@ -14,7 +14,8 @@ from veilspark.functions.text import nfc, xml_decode, xml_encode
 from veilspark.operators import control, decoding, evaluation, review, segments, settings
 from veilspark.plans.corpus import SEEDS
 from veilspark.plans.recipes import cells, office_files, texts
-from veilspark.stored import spread, stored
+from veilspark.stored import spread, stored, work_folder
+from veilspark.sources.datasource import load_segments, save_masked
 from veilspark.sources.files import read_segments
 from veilspark.sources.sinks import write_masked
 
@@ -452,6 +453,15 @@ def csv_roundtrip(spark, d):
     return _masked_and_read_again(stored(_csv_files(spark, d)))
 
 
+@query
+def saved_roundtrip(spark, d):
+    """CSV files masked, saved as files with commit, and loaded from there by the source of segments."""
+    files, to = stored(_csv_files(spark, d)), work_folder(spark)
+    done = segments.mask_segments(segments.detect_segments(read_segments(files))).select("path", "seq", "seg_id", "masked")
+    save_masked(files, done, to, below="in")
+    return load_segments(spark, to).select(F.concat(F.lit("in/"), F.regexp_extract("path", r"([^/]*)_masked(\.csv)$", 1), F.lit(".csv")).alias("path"), "seg_id", "text")
+
+
 def _office_roundtrip(ext: str) -> Query:
     return lambda spark, d: _masked_and_read_again(stored(office_files(spark, d, ext)))
 
