@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_llm import ORDER, ROWS, SCHEMA, TEXTS, by_id, docs, empty  # noqa: F401
-from veilspark.llm import bytebpe, runs, trie
+from veilspark.llm import base, bytebpe, runs, suffixes, trie
 
 
 def sha(x):
@@ -208,3 +208,30 @@ def test_scan_over_many_partitions(spark):
         want[i] = (s + a, x ^ b, prev)
         state[g] = (s + a, x ^ b, c)
     assert got == want
+
+
+def test_index_without_rows(spark):
+    rng = random.Random(11)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    frame = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for first in (frame("short", None, ""), frame().limit(0)):
+        found, index = suffixes.index_batch(first)
+        assert {r["lo"] is None for r in found.collect()} <= {True} and index.count() == 0
+        _, index = suffixes.index_batch(frame(long), index)
+        found, index = suffixes.index_batch(frame().limit(0), index)
+        assert found.count() == 0
+        found, _ = suffixes.index_batch(frame("x " + long), index)
+        assert found.first()["lo"] == [2] and found.first()["n"] == [len(long) - suffixes.LENGTH + 1]
+
+
+def test_documents_are_told_apart_by_the_fewest_hashes(spark):
+    rows = [(1, "a"), (1, "a"), (2, "b"), (2, "c"), (None, "d"), (None, "e"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    told = base.told_apart(base.keyed(df, base.text_hash()), base.shared_ids(df)).collect()
+    assert {(r["k"], r["text"]): r["h"] != 0 for r in told} == {(1, "a"): False, (2, "b"): True, (2, "c"): True, (base.NO_ID, "d"): True, (base.NO_ID, "e"): True, (3, ""): False} and len(told) == len(rows)
+    wide = base.FEW
+    try:
+        base.FEW = 0  # the way beyond the bound of the broadcast
+        assert sorted(base.told_apart(base.keyed(df, base.text_hash()), base.shared_ids(df)).collect()) == sorted(told)
+    finally:
+        base.FEW = wide

@@ -13,14 +13,14 @@ Conventions that every operator keeps:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.stored import clear, work_folder, written  # noqa: F401
+from veilspark.stored import stored as stash
+
 #: Stands for a null doc_id inside the operators.
 NO_ID = -(2**63)
 #: Rows in an Arrow batch handed to Python; texts may be long, so fewer than Spark's default.
@@ -48,9 +48,23 @@ def text_hash() -> F.Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h")
 
 
-def told_apart(docs: DataFrame) -> bool:
-    """Whether any doc_id, or the lack of one, has two texts. Only then hashes of the texts must tell documents apart."""
-    return bool(keyed(docs, text_hash()).groupBy("k").agg((F.min("h") < F.max("h")).alias("several")).where("several").limit(1).count())
+#: Shared doc_ids up to which they are broadcast; beyond, rows meet them by a join that spreads hot keys.
+FEW = 1_000_000
+
+
+def shared_ids(docs: DataFrame) -> DataFrame:
+    """(k) of the doc_ids that several texts have, stored. Null ids are taken as shared and have no row here."""
+    texts = keyed(docs, text_hash()).where(F.col("k") != NO_ID)
+    return stash(texts.groupBy("k").agg((F.min("h") < F.max("h")).alias("several")).where("several").select("k"))
+
+
+def told_apart(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows (k, h, ...) with h, the hash of the text, kept where k names several texts or none, and 0 elsewhere: k and h name a
+    document, and order it by its doc_id, in every table alike."""
+    marked = shared.withColumn("__several", F.lit(True))
+    met = rows.join(F.broadcast(marked), "k", "left") if shared.count() <= FEW else spread_join(rows, marked, "k", "left")
+    several = F.coalesce("__several", F.lit(False)) | (F.col("k") == NO_ID)
+    return met.withColumn("h", F.when(several, F.col("h")).otherwise(F.lit(0).cast("long"))).select(rows.columns)
 
 
 def quoted(name: str) -> F.Column:
@@ -101,45 +115,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors share. Where that is unset, a session on
-    one machine gets a temporary folder; on a cluster it is an error, since its machines share no such folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/veilspark-{uuid.uuid4().hex}"
-
-
-#: Folders that stash has written and clear has not removed.
-_WRITTEN: list[str] = []
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage and survives lost executors. ``clear`` removes
-    the folders once what was made of them has been written."""
-    spark, path = df.sparkSession, work_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written() -> list[str]:
-    """The folders of stash that are still there."""
-    return list(_WRITTEN)
-
-
-def clear(spark: SparkSession, keep: DataFrame | None = None, leave: list[str] | tuple = ()) -> None:
-    """Removes the folders of stash, but for those that ``keep`` reads and those of ``leave``."""
-    held = keep.inputFiles() if keep is not None else []
-    for path in [p for p in _WRITTEN if p not in leave and not any(p.rpartition("/")[2] in f for f in held)]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _WRITTEN.remove(path)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of strings and its row offsets, without copying them; null is empty."""
     column = column.fill_null("") if column.null_count else column

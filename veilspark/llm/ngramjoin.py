@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspark.llm import hashing
-from veilspark.llm.base import doc_id, hot_keys, keyed, packed, partitions, record, spread_join, stash, told_apart, unpacked, utf8
+from veilspark.llm.base import doc_id, hot_keys, keyed, packed, partitions, record, shared_ids, spread_join, stash, text_hash, told_apart, unpacked, utf8
 from veilspark.llm.components import connected
 
 #: Words of an n-gram; least similarity as a ratio; of the contract and of near-duplicate stages.
@@ -352,18 +352,20 @@ def _links(pairs: DataFrame, cand: DataFrame, n: int, num: int, den: int) -> Dat
     return together.select("a", "part", "role", "k", "text").mapInArrow(_verified(n, num, den), "a long, b long")
 
 
-def _own(doc, text, hashed: bool) -> F.Column:
-    """The id of a document: its doc_id or, where some doc_id has several texts, a hash of both. Ids in the order of doc_id make
-    the oldest document of a tile its centre, which is mostly what the others were copied from."""
-    return F.xxhash64(doc, text) if hashed else doc
+def _named(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows (k, h, ...) with the id of their document as k and the id that ``keyed`` makes as doc: k is doc itself or, where
+    doc names several texts or none, a hash of doc and text. Ids in the order of doc make the oldest document of a tile its
+    centre, which is mostly what the others were copied from; hashes are positive, so they rarely come before."""
+    hashed = F.xxhash64("k", "h").bitwiseAND(F.lit(2**63 - 1))
+    return told_apart(rows, shared).withColumns({"doc": F.col("k"), "k": F.when(F.col("h") == 0, F.col("k")).otherwise(hashed)})
 
 
-def components(docs: DataFrame, n: int, num: int, den: int, hashed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(sizes (k, n_shingles, doc) for each row, roots (k, root, first) for documents that have links). Here k is ``_own``, which
-    rows of one document share, and doc the id that ``keyed`` makes; root is the document of the least doc in its component
-    and first that doc. Of several with that doc, the one of least k is root."""
+def components(docs: DataFrame, n: int, num: int, den: int, shared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sizes (k, n_shingles, doc) for each row, roots (k, root, first) for documents that have links). Here k and doc are those of
+    ``_named``, which rows of one document share; root is the document of the least doc in its component and first that doc.
+    Of several with that doc, the one of least k is root."""
     spark = docs.sparkSession
-    p, texts = partitions(spark), keyed(docs).select(_own(F.col("k"), F.col("text"), hashed).alias("k"), "text", F.col("k").alias("doc"))
+    p, texts = partitions(spark), _named(keyed(docs, text_hash()), shared_ids(docs) if shared is None else shared).select("k", "text", "doc")
     index = stash(texts.mapInArrow(_elements(n, num, den, p), "bucket int, kind int, blob binary").repartitionById(p, "bucket").mapInArrow(_tiles(num, den), "kind int, a long, b long, c long"))
     pairs = stash(index.where(F.col("kind").isin(_PAIR, _HINT)).groupBy("a", "b").agg(F.sum("c").alias("hits")))
     edges = index.where(F.col("kind") == _EDGE).select("a", "b")
@@ -381,7 +383,7 @@ def components(docs: DataFrame, n: int, num: int, den: int, hashed: bool = True)
     apart = index.where(F.col("kind") == _PAIR).select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(root("a") != root("b")).select("a", "b")
     split = members.join(roots, "k", "left").select("tile", "k", F.coalesce("root", "k").alias("root"))
     torn = split.groupBy("tile").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("first <> last").select("tile", "blocks")
-    dealt = split.join(torn, "tile").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    dealt = spread_join(split, torn, "tile").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
     # a tile of one block is one pair of blocks; a larger one meets itself block by block
     met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     sided = met.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k", "root").join(cand.select("k", "size", "bits"), "k")
@@ -393,14 +395,14 @@ def components(docs: DataFrame, n: int, num: int, den: int, hashed: bool = True)
     # a large component shrinks to a row for each task before it meets itself
     roots = stash(roots.join(sizes.select("k", "doc"), "k").distinct())
     heads = roots.groupBy("root").agg(F.min(F.struct("doc", "k")).alias("head"))
-    return sizes, roots.join(heads, "root").select("k", F.col("head.k").alias("root"), F.col("head.doc").alias("first"))
+    return sizes, spread_join(roots, heads, "root").select("k", F.col("head.k").alias("root"), F.col("head.doc").alias("first"))
 
 
 def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1], den: int = CONTRACT[2]) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: component_id is the least doc_id that links of Jaccard num / den or
     more reach, the row's own if none. A null, empty or blank text has no n-grams and no links; rows that repeat a document
     have its values. Words end at ASCII white space, and only A-Z change case."""
-    sizes, roots = components(docs, n, num, den, told_apart(docs))
+    sizes, roots = components(docs, n, num, den)
     found = sizes.join(roots, "k", "left").select(F.col("doc").alias("k"), "n_shingles", F.coalesce("first", "doc").alias("first"))
     return found.select(doc_id(), "n_shingles", F.when(F.col("first") != F.lit(-(2**63)), F.col("first")).alias("component_id"))
 
@@ -408,9 +410,9 @@ def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1]
 def keep_one(docs: DataFrame, n: int = NEAR[0], num: int = NEAR[1], den: int = NEAR[2]) -> DataFrame:
     """docs without near copies: of each component the document of the least doc_id stays, with all its columns. Rows that
     repeat its doc_id and text stay with it."""
-    hashed = told_apart(docs)
-    _, roots = components(docs, n, num, den, hashed)
+    shared = shared_ids(docs)
+    _, roots = components(docs, n, num, den, shared)
     gone = roots.where("k <> root").select("k", F.lit(True).alias("gone"))
     # dealt by key whatever the size of either side, so that the plan of small tables is that of large ones
-    rows = packed(docs).withColumn("k", _own(F.col("k"), F.coalesce("text", F.lit("")), hashed)).repartition(partitions(docs.sparkSession), "k")
+    rows = _named(packed(docs), shared).repartition(partitions(docs.sparkSession), "k")
     return unpacked(rows.join(gone, "k", "left").where("gone IS NULL"), docs.columns)

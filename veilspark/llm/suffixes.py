@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.llm import hashing
-from veilspark.llm.base import doc_id, keyed, packed, partitions, record, stash, text_hash, told_apart, unpacked, utf8
+from veilspark.llm.base import doc_id, keyed, packed, partitions, record, shared_ids, stash, text_hash, told_apart, unpacked, utf8
 
 #: Bytes of a repeated string, of an anchor.
 LENGTH, ANCHOR = 100, 20
@@ -451,12 +451,11 @@ def _later(buckets: int):
     return rows
 
 
-def _marks(docs: DataFrame, length: int, anchor: int, index: DataFrame | None, keep: bool, hashed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(texts by k and h, marks by document, table of blobs, buckets). Without hashes h is 0."""
-    texts = keyed(docs, text_hash() if hashed else F.lit(0).cast("long").alias("h"))
-    if index is not None:
-        n = index.agg(F.max("buckets")).first()[0]
-    else:
+def _marks(docs: DataFrame, length: int, anchor: int, index: DataFrame | None, keep: bool, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(texts by k and h, marks by document, table of blobs, buckets)."""
+    texts = told_apart(keyed(docs, text_hash()), shared)
+    n = index.agg(F.max("buckets")).first()[0] if index is not None else None
+    if n is None:  # no index, or one without a row
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n = max(partitions(docs.sparkSession), -(-size // BUCKET))
     blobs = texts.mapInArrow(_anchored(length, anchor, n), _BLOB_DDL)
@@ -474,18 +473,19 @@ def _marks(docs: DataFrame, length: int, anchor: int, index: DataFrame | None, k
     return by_id, gather(found), made, n
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hashed: bool = True) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, marks): documents by k and h, and for each of them with repeats lists lo, n: n windows from byte lo on are repeated.
-    hashed may be False where no doc_id has two texts; h is 0 then."""
-    return _marks(docs, length, anchor, None, False, hashed)[:2]
+    shared is what ``shared_ids`` gives, where that is known."""
+    return _marks(docs, length, anchor, None, False, shared_ids(docs) if shared is None else shared)[:2]
 
 
 def index_batch(docs: DataFrame, index: DataFrame | None = None, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
     """(found, index): (doc_id, lo, n) of a new batch's repeats as lists, null where it has none, and the index with the batch in it.
 
     index is what the call for the batch before gave, or None: a table (bucket, kind, blob, buckets) of the levels in every bucket,
-    to be written and read as any other. All that it holds counts as earlier than the batch, whatever the ids."""
-    texts, marks, made, n = _marks(docs, length, anchor, index, True)
+    to be written and read as any other. All that it holds counts as earlier than the batch, whatever the ids. Batches and indexes
+    may be empty."""
+    texts, marks, made, n = _marks(docs, length, anchor, index, True, shared_ids(docs))
     found = texts.join(marks, ["k", "h"], "left").select(doc_id(), "lo", "n")
     return found, made.where(F.col("kind") > _LEVEL).select("bucket", "kind", "blob", F.lit(n).alias("buckets"))
 
@@ -515,7 +515,7 @@ def digest_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document after every byte is gone that a string of
     ``length`` bytes covers which also starts earlier. A null or empty text has 0 bytes. Documents of
     one doc_id, or of none, with different texts are ordered by the hashes of these."""
-    texts, marks = repeated_windows(docs, length, hashed=told_apart(docs))
+    texts, marks = repeated_windows(docs, length)
 
     def rows(batches):
         for batch in batches:
@@ -534,8 +534,8 @@ def digest_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with every repeated byte of text gone; a character goes only if all its bytes do. Rows and columns stay, null texts
     too. Rows that repeat a document lose what it loses; documents of one doc_id are ordered by the hashes of their texts."""
-    hashed = told_apart(docs)
-    _, marks = repeated_windows(docs, length, hashed=hashed)
+    shared = shared_ids(docs)
+    _, marks = repeated_windows(docs, length, shared=shared)
 
     def rows(batches):
         for batch in batches:
@@ -555,6 +555,6 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pc.if_else(batch.column("none"), pa.scalar(None, pa.string()), out)], names=["row", "text"])
 
     kept = packed(docs, F.col("text").isNull().alias("none")).withColumn("text", F.coalesce("text", F.lit("")))
-    kept = (kept if hashed else kept.withColumn("h", F.lit(0).cast("long"))).repartition(partitions(docs.sparkSession), "k", "h")
+    kept = told_apart(kept, shared).repartition(partitions(docs.sparkSession), "k", "h")
     joined = kept.join(marks, ["k", "h"], "left").select("row", "none", "text", "lo", "n")
     return unpacked(joined.mapInArrow(rows, T.StructType([joined.schema["row"], T.StructField("text", T.StringType())])), docs.columns)
