@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -9,32 +10,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
+from veilspark.operators.scan import scan
+from veilspark.stored import stored
 
 
-def admit(files: DataFrame, queue: str, order: str, size: str = "size", max_file: int = fixed.MAX_FILE, max_queue: int = fixed.MAX_QUEUE) -> DataFrame:
-    """files with ``reason``: null if admitted, else file-too-large or queue-total-exceeded. Files of no queue are one queue.
+#: Rounds of admission before what is left of a queue is walked in order.
+ROUNDS = 30
+
 
-    Each queue is walked in order; rejected files do not add to its total. One queue is one group, as its running total
-    depends on every decision before; queues are dealt out over the cluster, and a queue streams through in bounded memory."""
+def _walk(left: DataFrame) -> DataFrame:
+    """The ids that are admitted of what ``admit``'s rounds left undecided, each queue in order in one task."""
     def walk(batches):
-        total, now = 0, None
+        now, room = None, 0
         for pdf in batches:
-            reasons = []
-            for q, n in zip(pdf["__q"].astype(object).where(pdf["__q"].notna(), None), pdf["__s"], strict=True):
+            admitted = []
+            for q, i, n, has in zip(pdf["q"], pdf["id"], pdf["n"], pdf["room"], strict=True):
                 if q != now:
-                    total, now = 0, q
-                if n > max_file:
-                    reasons.append("file-too-large")
-                elif total + n > max_queue:
-                    reasons.append("queue-total-exceeded")
-                else:
-                    reasons.append(None)
-                    total += n
-            pdf["reason"] = pd.Series(reasons, index=pdf.index, dtype=object)
-            yield pdf.drop(columns=["__q", "__s"])
-
-    dealt = files.withColumn("__q", F.col(queue)).withColumn("__s", F.coalesce(F.col(size), F.lit(0)).cast("long")).repartition(F.col("__q")).sortWithinPartitions("__q", order)
-    return dealt.mapInPandas(walk, files.withColumn("reason", F.lit(None).cast("string")).schema)
+                    now, room = q, has
+                if n <= room:
+                    room -= n
+                    admitted.append(i)
+            yield pd.DataFrame({"id": admitted})
+
+    return left.repartition("q").sortWithinPartitions("q", "at", "id").mapInPandas(walk, "id long")
+
+
+def admit(files: DataFrame, queue: str, order: str, size: str = "size", max_file: int = fixed.MAX_FILE, max_queue: int = fixed.MAX_QUEUE) -> DataFrame:
+    """files with ``reason``: null if admitted, else file-too-large or queue-total-exceeded. Files of no queue are one queue; a
+    null or negative size counts as 0.
+
+    Each queue counts as walked in order; rejected files do not add to its total. Whatever the queues' lengths no task walks
+    one: a round of prefix sums admits all files up to the first that has no room; as room only shrinks, of the later ones those
+    larger than what is left are rejected, and the others meet the next round. Each round admits at least one file of a queue
+    and mostly halves its room; what ROUNDS rounds leave of odd queues is walked."""
+    key = F.to_json(F.struct(F.col(queue).alias("q")))
+    n = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    given = stored(files.select(F.struct(*(F.col(f"`{c}`") for c in files.columns)).alias("row"), key.alias("q"), F.col(order).alias("at"), n.alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    left = given.where(F.col("n") <= max_file).select("q", "at", "id", "n", F.lit(max_queue).cast("long").alias("room")).where("n <= room")
+    admitted = []
+    for _ in range(ROUNDS):
+        summed = scan(left.withColumn("total", F.col("n")), ["q"], ["at", "id"], add=("total",))
+        admitted.append(stored(summed.where("total <= room").select("id")))
+        over = summed.where("total > room")
+        used = summed.where("total <= room").groupBy("q").agg(F.max("total").alias("used"))
+        left = stored(over.join(used, "q", "left").select("q", "at", "id", "n", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).where("n <= room"))
+        if not left.limit(1).count():
+            break
+    else:
+        admitted.append(_walk(left))
+    ids = functools.reduce(DataFrame.unionByName, admitted).withColumn("ok", F.lit(True))
+    reason = F.when(F.col("n") > max_file, "file-too-large").when(F.col("ok").isNull(), "queue-total-exceeded")
+    return given.join(ids, "id", "left").select(*(F.col("row").getField(c).alias(c) for c in files.columns), reason.alias("reason"))
 
 
 def stats(events: DataFrame, spans: str = "spans", at: str = "ts") -> DataFrame:

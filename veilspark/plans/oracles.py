@@ -266,3 +266,6 @@ ORACLES["review_groups"] = f"""WITH f AS (SELECT * FROM ({_m}) WHERE key % 7 <>
 SELECT 'f' || floor(key / 4)::bigint || '.docx' AS path, key % 4 AS seq, 't' || key % 4 AS seg_id, '본문 ' || (key % 4 + 1) || '번째 텍스트' AS label, 1 AS n, total <= {fixed.FLAT} AS flat, total > {fixed.LARGE} AS large FROM t"""
 ORACLES |= {"sql_detect": ORACLES["detect_all"], "sql_spans": ORACLES["detect_all"], "sql_masked": ORACLES["mask_tag"], "sql_valid": ORACLES["rrn_valid"]}
 ORACLES["saved_roundtrip"] = ORACLES["csv_roundtrip"]
+ORACLES["eval_join"] = ORACLES["eval_prf"]
+_lines_of = "SELECT l_orderkey AS key, l_linenumber AS i, l_partkey % 23 AS s, l_partkey % 23 + cast(l_quantity AS bigint) % 9 + 1 AS e FROM lineitem"
+ORACLES["span_overlaps"] = f"SELECT l.key, count(*) AS n_pairs, sum(least(l.e, r.e) - greatest(l.s, r.s))::bigint AS n_shared FROM ({_lines_of}) l JOIN ({_lines_of}) r ON l.key = r.key AND l.i % 2 = 1 AND r.i % 2 = 0 AND l.s < r.e AND r.s < l.e GROUP BY l.key"

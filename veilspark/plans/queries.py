@@ -11,7 +11,7 @@ from veilspark.functions import checksums as C
 from veilspark.functions import detect as D
 from veilspark.functions import fixed, headers, masking, model, spans, sql
 from veilspark.functions.text import nfc, xml_decode, xml_encode
-from veilspark.operators import control, decoding, evaluation, review, segments, settings
+from veilspark.operators import control, decoding, evaluation, intervals, review, segments, settings
 from veilspark.plans.corpus import SEEDS
 from veilspark.plans.recipes import cells, office_files, texts
 from veilspark.stored import spread, stored, work_folder
@@ -356,6 +356,23 @@ def eval_prf(spark, d):
     return r.select("category", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
+@query
+def eval_join(spark, d):
+    """eval_prf with expected and found spans as two tables, joined where they overlap."""
+    cases = stored(_cases(spark, d))
+    r = intervals.evaluate_tables(intervals.as_table(cases, ["key"], "predicted"), intervals.as_table(cases, ["key"], "expected"), ["key"])
+    return r.select("category", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def span_overlaps(spark, d):
+    """Pairs of overlapping spans of the lines of orders, odd lines against even ones."""
+    start = F.col("l_partkey") % 23
+    one = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("i"), start.alias("start"), (start + F.col("l_quantity") % 9 + 1).cast("long").alias("end"))
+    met = intervals.overlapping(one.where("i % 2 = 1"), one.where("i % 2 = 0"), ["key"])
+    return met.groupBy("key").agg(F.count("*").alias("n_pairs"), F.sum(F.least("l.end", "r.end") - F.greatest("l.start", "r.start")).cast("long").alias("n_shared"))
+
+
 @query
 def quality_gate(spark, d):
     """The gate over the same cases; texts of documents without Hangul hold no Korean name."""
