@@ -80,3 +80,47 @@ def test_scan_over_many_ranges(spark):
         want[i] = (s + a, x ^ b, prev)
         state[g] = (s + a, x ^ b, c)
     assert got == want
+
+
+def test_islands_of_many_spans(spark):
+    """Pairs that overlap, 20,000 of them in one text, take time in proportion."""
+    import time
+
+    from veilspark.functions import masking
+    from veilspark.functions import spans as S
+
+    took = []
+    for n in (2_500, 20_000):
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array(*(S.span(i * 10 + a, i * 10 + b, F.lit("x"), c, 0.9) for a, b, c in ((0, 6, "mobile"), (4, 8, "card"))))))
+        df = spark.range(1).select(F.shuffle(pairs, F.lit(1)).alias("s"))
+        began = time.time()
+        r = df.select(S.dedupe(F.col("s")).alias("s")).select(F.size("s"), F.size(masking.disjoint(F.col("s"))), F.col("s")[n - 1]["start"]).first()
+        took.append(time.time() - began)
+        assert tuple(r) == (n, n, (n - 1) * 10)
+    assert took[1] < 8 * max(took[0], 1.5), took
+
+
+def test_dedupe_and_disjoint_against_brute_force(spark):
+    from veilspark.functions import fixed, masking
+    from veilspark.functions import spans as S
+
+    rng, rank = random.Random(12), {c[0]: c[4] for c in fixed.CATEGORIES}
+    rows = []
+    for i in range(120):
+        got = []
+        for _ in range(rng.choice([0, 1, 2, 3, 6, 30, 300])):
+            s = rng.randint(0, rng.choice([10, 200, 3000]))
+            got.append((s, s + rng.choice([0, 1, 3, 8]), "x", rng.choice(["mobile", "card", "odd"]), rng.choice([0.5, 0.9]), "regex"))
+        rows.append((i, got))
+    df = spark.createDataFrame(rows, f"i int, s {S.SPANS}").select("i", S.dedupe(F.col("s")).alias("d"), masking.disjoint(F.col("s")).alias("a"))
+    for r in df.collect():
+        kept = []
+        for s in [x for _, x in sorted(enumerate(rows[r["i"]][1]), key=lambda t: (t[1][0] - t[1][1], -t[1][4], -rank.get(t[1][3], 0), t[0]))]:
+            if not any(k[0] < s[1] and s[0] < k[1] for k in kept):
+                kept.append(s)
+        assert sorted(map(tuple, r["d"])) == sorted(kept) and [x["start"] for x in r["d"]] == sorted(x[0] for x in kept)
+        apart = []
+        for s in sorted(rows[r["i"]][1], key=lambda s: s[0]):
+            if not apart or s[0] >= apart[-1][1]:
+                apart.append(s)
+        assert list(map(tuple, r["a"])) == apart

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.spans import SPANS, by_start, key, let, none, table
+from veilspark.functions.spans import SPANS, by_start, folded, key, let, none, table
 
 
 def _shaped(text: Column, pattern: str, to: str) -> Column:
@@ -66,7 +66,11 @@ def apply_mask(text: Column, category: Column, mode: Column) -> Column:
 
 def disjoint(spans: Column) -> Column:
     """Spans by start without those that begin before the one kept last ends, whether or not that one is enabled."""
-    return F.aggregate(by_start(spans), none(), lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]), acc).otherwise(F.concat(acc, F.array(s))))
+    def step(state, s):
+        late = s["start"] < state["end"]
+        return F.struct(F.struct(F.when(late, state["end"]).otherwise(s["end"]).alias("end")).alias("state"), F.when(late, none()).otherwise(F.array(s)).alias("out"))
+
+    return let(by_start(spans), lambda ordered: folded(ordered, F.struct(F.lit(-1).alias("end")), none(), step))
 
 
 def mask_text(text: Column, spans: Column, modes: Column | None = None, enabled: Column | None = None, keys: Column | None = None, default: str = "shape") -> Column:

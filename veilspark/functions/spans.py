@@ -100,20 +100,60 @@ def rank(category: Column) -> Column:
     return F.coalesce(F.element_at(table({c[0]: c[4] for c in fixed.CATEGORIES}), category), F.lit(0))
 
 
+#: Items that a running fold appends one by one; its blocks of so many are then joined at once.
+BLOCK = 256
+
+
+def folded(items: Column, state: Column, out: Column, step) -> Column:
+    """What step(state, item), a struct<state,out> with an array of what the item gives, gives for all items in order, the state
+    handed on. Appending copies an array, so blocks are folded by themselves: near-linear for long arrays."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def inner(acc, x):
+        return let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    def outer(acc, block):
+        done = F.aggregate(block, F.struct(acc["state"].alias("state"), out.alias("out")), inner)
+        return let(done, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), F.slice(F.array(out), F.lit(1), F.lit(0)).alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, start, outer, lambda acc: acc["out"]))).otherwise(out)
+
+
+def islands(placed: Column) -> Column:
+    """Spans by start as arrays of those that hang together by overlaps: one sweep with the furthest end so far."""
+    empty = F.array().cast("array<int>")
+
+    def step(state, s):
+        first = F.when(s["s"]["start"] >= state["reach"], F.array(s["i"] + 1)).otherwise(empty)
+        return F.struct(F.struct(F.greatest(state["reach"], s["s"]["end"]).alias("reach")).alias("state"), first.alias("out"))
+
+    numbered = F.transform(placed, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
+    firsts = folded(numbered, F.struct(F.lit(-1).alias("reach")), empty, step)
+    cut = lambda firsts: F.zip_with(firsts, F.concat(F.slice(firsts, F.lit(2), F.greatest(F.size(firsts) - 1, F.lit(0))), F.array(F.size(placed) + 1)), lambda a, b: F.slice(placed, a, b - a))
+    return let(firsts, cut)
+
+
 def dedupe(spans: Column) -> Column:
     """Greedy: longer first, then surer, then of the higher category, then as given; what overlaps a kept one goes.
 
-    Where no span overlaps another, all are kept, which one look at neighbours by start tells."""
+    Where no span overlaps another, all are kept, which one look at neighbours by start tells. Else the choice is made inside
+    each island of spans that hang together, since spans of different islands do not meet."""
     def chosen(spans):
-        keyed = F.transform(spans, lambda s, i: F.struct((s["start"] - s["end"]).alias("a"), (-s["confidence"]).alias("b"), (-rank(s["category"])).alias("c"), i.alias("d"), s.alias("s")))
+        keyed = F.transform(spans, lambda x: F.struct((x["s"]["start"] - x["s"]["end"]).alias("a"), (-x["s"]["confidence"]).alias("b"), (-rank(x["s"]["category"])).alias("c"), x["i"].alias("d"), x["s"].alias("s")))
         ordered = F.transform(F.array_sort(keyed), lambda x: x["s"])
-        return F.aggregate(ordered, none(), lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.concat(acc, F.array(s))))
+        return F.array_sort(F.aggregate(ordered, none(), lambda acc, s: F.when(F.exists(acc, lambda k: overlap(k, s)), acc).otherwise(F.concat(acc, F.array(s)))))
 
     def clash(placed):
         late = F.slice(placed, F.lit(2), F.greatest(F.size(placed) - 1, F.lit(0)))
         return F.exists(F.zip_with(placed, late, lambda a, b: F.coalesce(a["end"] > b["start"], F.lit(False))), lambda x: x)
 
-    settled = lambda spans: let(F.array_sort(spans), lambda placed: F.when(clash(placed), F.array_sort(chosen(spans))).otherwise(placed))
+    def by_island(spans):
+        placed = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"), s.alias("s"))))
+        parts = let(placed, islands)
+        return F.flatten(F.transform(parts, lambda x: F.when(F.size(x) > 1, chosen(x)).otherwise(F.transform(x, lambda y: y["s"]))))
+
+    settled = lambda spans: let(F.array_sort(spans), lambda placed: F.when(clash(placed), by_island(spans)).otherwise(placed))
     return let(spans, lambda spans: F.when(F.size(spans) > 1, settled(spans)).otherwise(spans))
 
 
