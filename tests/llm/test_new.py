@@ -197,19 +197,6 @@ def test_prefix_trie(spark):
     assert sum(v[1] > 1 for v in some.values()) > 10 and any(v[1] == 1 and v[2] == 0 for v in some.values())
 
 
-def test_scan_over_many_partitions(spark):
-    rng = random.Random(4)
-    rows = [(rng.choice([1, 1, 1, 2, 3]), i, rng.randrange(9), rng.randrange(1 << 40), i) for i in range(3000)]
-    df = spark.createDataFrame(rows, "g long, i long, a long, b long, c long").repartition(5)
-    got = {r["i"]: (r["a"], r["b"], r["c"]) for r in trie.scan(df, ["g"], ["i"], add=("a",), xor=("b",), last=("c",)).collect()}
-    want, state = {}, {}
-    for g, i, a, b, c in sorted(rows, key=lambda r: (r[0], r[1])):
-        s, x, prev = state.get(g, (0, 0, None))
-        want[i] = (s + a, x ^ b, prev)
-        state[g] = (s + a, x ^ b, c)
-    assert got == want
-
-
 def test_index_without_rows(spark):
     rng = random.Random(11)
     long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))

@@ -2,9 +2,8 @@
 
 Conversations that begin with the same turns share a path from the root. Nothing walks the trie:
 
-1. ``scan`` gives prefix folds over sorted rows: each partition folds its own, the last row of each partition goes to
-   the driver (as many rows as partitions), and what partitions carry over comes back by a broadcast join. So a conversation,
-   a node's children or the whole tour may be of any length.
+1. ``scan`` gives prefix folds over sorted rows cut into ranges, so a conversation, a node's children or the whole tour may be of
+   any length.
 2. A node is known by 128 bits of the hashes of (depth, turn) along its path, folded by exclusive or, and from then on by
    its smallest member and its depth, which name it as well.
 3. Each node has an enter and an exit arc. After an enter arc comes that of the first child, or the node's exit arc; after an
@@ -32,82 +31,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.llm.base import NO_ID, partitions, small_batches, spread_join, stash
+from veilspark.operators.scan import scan
 
 #: Words, as in the contract; ids in a block of a node's members; turns at most, and steps of conv_id, that a rebuilt conversation takes from another.
 WORDS, BLOCK, HEADS, STEP = r"[^\x20\x09-\x0D]+", 8192, 3, 20
 
 
-def scan(rows: DataFrame, group: list[str], order: list, add: tuple = (), xor: tuple = (), last: tuple = ()) -> DataFrame:
-    """rows with the columns of ``add`` and ``xor`` (longs) folded over the rows of their group up to this one, and those of
-    ``last`` (longs, none null) as they were in the row before, null in the first. Rows of a group go by ``order``."""
-    spark = rows.sparkSession
-    small_batches(spark)
-    names, folds = rows.columns, [*add, *xor, *last]
-    dealt = rows.repartitionByRange(partitions(spark), *group, *order).sortWithinPartitions(*group, *order)
-    schema = T.StructType([*rows.schema.fields, T.StructField("__p", T.IntegerType()), T.StructField("__end", T.BooleanType()), *(T.StructField(f"__{c}", T.LongType()) for c in last)])
-    of = pa.schema([*(pa.field(f.name, {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in schema.fields)])
-
-    def folded(batches):
-        held, before, so_far = None, None, {}
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            if held is not None:
-                yield held
-            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in {*group, *folds}}
-            new = np.zeros(n, bool)
-            for c in group:
-                new[1:] |= column[c][1:] != column[c][:-1]
-            carried = before == tuple(column[c][0] for c in group)
-            new[0] = not carried
-            start = np.flatnonzero(new | (np.arange(n) == 0))
-            first = np.repeat(start, np.diff(np.append(start, n)))
-            out = {}
-            for c in add:
-                total = np.cumsum(column[c])
-                out[c] = total - (total - column[c])[first]
-                out[c] += np.where(first == 0, so_far[c], 0) if carried else 0
-            for c in xor:
-                total = np.bitwise_xor.accumulate(column[c])
-                out[c] = total ^ (total ^ column[c])[first]
-                out[c] ^= np.where(first == 0, so_far[c], 0) if carried else 0
-            shifted = {}
-            for c in last:
-                out[c] = column[c]
-                back = np.concatenate([[so_far[c] if carried else 0], column[c][:-1]])
-                shifted[c] = pa.array(back, pa.int64(), mask=new)
-            before, so_far = tuple(column[c][-1] for c in group), {c: out[c][-1] for c in folds}
-            end = np.zeros(n, bool)
-            held = pa.RecordBatch.from_arrays([*(pa.array(out[c], pa.int64()) if c in out else batch.column(c) for c in names), batch.column("__p"), pa.array(end), *shifted.values()], schema=of)
-        if held is not None:
-            end = np.zeros(held.num_rows, bool)
-            end[-1] = True
-            yield held.set_column(len(names) + 1, "__end", pa.array(end))
-
-    local = stash(dealt.withColumn("__p", F.spark_partition_id()).mapInArrow(folded, schema))
-    carry, state = [], None
-    for r in sorted(local.where("__end").select("__p", *group, *folds).collect()):
-        of_group, values = tuple(r[1 : 1 + len(group)]), tuple(r[1 + len(group) :])
-        if state is not None:
-            carry.append((r[0], *state[0], *state[1]))
-            if state[0] == of_group:
-                a, x = len(add), len(add) + len(xor)
-                values = (*(m + n for m, n in zip(state[1][:a], values[:a], strict=True)), *(m ^ n for m, n in zip(state[1][a:x], values[a:x], strict=True)), *values[x:])
-        state = (of_group, values)
-    kinds = ", ".join(f"`{c}` long" for c in (*group, *(f"__c_{c}" for c in folds)))
-    given = spark.createDataFrame(carry, f"__p int, {kinds}")
-    joined = local.join(F.broadcast(given), ["__p", *group], "left")
-    done = {**{c: F.col(c) + F.coalesce(f"__c_{c}", F.lit(0)) for c in add}, **{c: F.col(c).bitwiseXOR(F.coalesce(f"__c_{c}", F.lit(0))) for c in xor}, **{c: F.coalesce(f"__{c}", f"__c_{c}") for c in last}}
-    return joined.select(*(done[c].alias(c) if c in done else c for c in names))
-
-
 def _decimal(k) -> F.Column:
     return F.when(k == NO_ID, "").otherwise(k.cast("string"))
 
 
 def own_turns(conversations: DataFrame) -> DataFrame:
     """(k, at, t1, t2, words): the turns of each conversation, numbered from 0; t1 and t2 stand for role and text."""
+    small_batches(conversations.sparkSession)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = conversations.select(
         F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("k"), F.col("turn").cast("long").alias("turn"), F.xxhash64(role, text).alias("t1"),
