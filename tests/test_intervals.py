@@ -124,3 +124,30 @@ def test_dedupe_and_disjoint_against_brute_force(spark):
             if not apart or s[0] >= apart[-1][1]:
                 apart.append(s)
         assert list(map(tuple, r["a"])) == apart
+
+
+@pytest.mark.parametrize("scheme,tags", [("bio", ["O", "B-X", "I-X", "B-Y", "I-Y"]), ("bioes", ["O", "B-X", "I-X", "E-X", "S-X"])])
+def test_rows_of_any_length_are_decoded_together(spark, monkeypatch, scheme, tags):
+    import itertools
+
+    from veilspark.operators import decoding
+
+    monkeypatch.setattr(decoding, "CELLS", 60)
+    rng, allowed = random.Random(9), decoding._allowed(tags, scheme)
+    rows = [(i, None if i == 5 else [[-rng.random() for _ in tags] for _ in range(rng.choice([0, 1, 2, 5]))]) for i in range(40)]
+    got = spark.createDataFrame(rows, "i int, s array<array<double>>").repartition(3).select("i", decoding.viterbi(F.col("s"), tags, scheme).alias("s")).collect()
+    assert len(got) == 40
+    for r in got:
+        s = rows[r["i"]][1] or []
+        paths = (p for p in itertools.product(range(len(tags)), repeat=len(s)) if not p or allowed[-1][p[0]] and all(allowed[a][b] for a, b in itertools.pairwise(p)))
+        best = max(paths, key=lambda p: sum(s[t][k] for t, k in enumerate(p)))
+        want, t = [], 0
+        while t < len(best):
+            kind, _, category = tags[best[t]].partition("-")
+            end = t + 1
+            while kind == "B" and end < len(best) and tags[best[end]][0] in "IE":
+                end += 1
+            if kind in "BS":
+                want.append((t, end, category, pytest.approx(sum(s[u][best[u]] for u in range(t, end)) / (end - t))))
+            t = end
+        assert [tuple(x) for x in r["s"]] == want

@@ -84,8 +84,17 @@ def site_of(host: Column) -> Column:
 
 
 def clean_domain(text: Column) -> Column:
-    """What a user typed as a domain: without scheme and path."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), "^(?i:https?)://", ""), "/.*$", "")
+    """What a user typed as a domain: without blanks around it, a scheme in lower case, and what follows the first slash in its
+    line. May be empty."""
+    bare = F.regexp_replace(F.regexp_replace(text, f"^{fixed.SPACE}+|{fixed.SPACE}+$", ""), "^https?://", "")
+    return F.regexp_replace(bare, r"^([^/]*)/[^\n\r\u2028\u2029]*", "$1")
+
+
+def domain_list(typed: DataFrame, by: list[str], order: str, text: str = "text") -> DataFrame:
+    """(*by, domain, first) of the domains that users added, each once, with the order at which it came first; empty ones are
+    no domains."""
+    cleaned = typed.select(*by, F.col(order).alias("first"), clean_domain(F.col(text)).alias("domain")).where("domain <> ''")
+    return cleaned.groupBy(*by, "domain").agg(F.min("first").alias("first"))
 
 
 def without_listed(requests: DataFrame, domains: DataFrame, host: str = "host", domain: str = "domain") -> DataFrame:

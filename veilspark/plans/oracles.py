@@ -4,7 +4,7 @@ boundary there, and there is no look-around."""
 from __future__ import annotations
 
 from veilspark.functions import fixed
-from veilspark.plans.recipes import CELLS, LETTERS, NAMES, SHEET, case, texts_sql
+from veilspark.plans.recipes import ANNOTATED, CELLS, LETTERS, NAMES, SHEET, case, texts_sql
 
 ORACLES: dict[str, str] = {}
 _q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -269,3 +269,12 @@ ORACLES["saved_roundtrip"] = ORACLES["csv_roundtrip"]
 ORACLES["eval_join"] = ORACLES["eval_prf"]
 _lines_of = "SELECT l_orderkey AS key, l_linenumber AS i, l_partkey % 23 AS s, l_partkey % 23 + cast(l_quantity AS bigint) % 9 + 1 AS e FROM lineitem"
 ORACLES["span_overlaps"] = f"SELECT l.key, count(*) AS n_pairs, sum(least(l.e, r.e) - greatest(l.s, r.s))::bigint AS n_shared FROM ({_lines_of}) l JOIN ({_lines_of}) r ON l.key = r.key AND l.i % 2 = 1 AND r.i % 2 = 0 AND l.s < r.e AND r.s < l.e GROUP BY l.key"
+ORACLES["clean_domains"] = "SELECT page_id, regexp_replace(regexp_replace(trim(url), '^https?://', ''), '/.*', '') AS domain FROM pages"
+ORACLES["domain_list"] = """WITH t AS (SELECT page_id, CASE page_id % 4 WHEN 2 THEN upper(url) WHEN 3 THEN regexp_extract(url, '://([^/?#]+)', 1) ELSE url END AS x FROM pages),
+c AS (SELECT page_id, regexp_replace(regexp_replace(x, '^https?://', ''), '/.*', '') AS domain FROM t)
+SELECT page_id % 7 AS user, domain, min(page_id) AS first FROM c WHERE domain <> '' GROUP BY ALL"""
+_author = "'a' || repeat('*', greatest(2, length(doc::varchar))) || '@b.example'"
+_as_sql = {"plain": "'plain'", "L": "hidden", "A": _author, "mailto:A": f"'mailto:' || {_author}", '"A"': f"'\"' || {_author} || '\"'"}
+ORACLES["office_extras"] = f"WITH l AS (SELECT doc, arg_min({_hidden_line}, key) AS hidden FROM ({LETTERS}) GROUP BY doc) " + " UNION ALL ".join(
+    f"SELECT 'in/' || doc || '{ext}' AS path, '{seg}' AS seg_id, {_as_sql[text]} AS text FROM l" for ext, (_, segs) in ANNOTATED.items() for seg, text in segs.items()
+)

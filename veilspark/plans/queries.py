@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from veilspark.functions import fixed, headers, masking, model, spans, sql
 from veilspark.functions.text import nfc, xml_decode, xml_encode
 from veilspark.operators import control, decoding, evaluation, intervals, review, segments, settings
 from veilspark.plans.corpus import SEEDS
-from veilspark.plans.recipes import cells, office_files, texts
+from veilspark.plans.recipes import ANNOTATED, annotated_file, cells, office_files, texts
 from veilspark.stored import spread, stored, work_folder
 from veilspark.sources.datasource import load_segments, save_masked
 from veilspark.sources.files import read_segments
@@ -409,6 +410,14 @@ def site_adapters(spark, d):
     return table(spark, d, "events").select(host.alias("host"), control.site_of(host).alias("site")).groupBy("host", "site").agg(F.count("*").alias("n"))
 
 
+@query
+def domain_list(spark, d):
+    """Addresses of pages as users type them, as each user's list of domains."""
+    k = F.col("page_id") % 4
+    typed = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("\u3000"), F.col("url"), F.lit(" \t"))).when(k == 2, F.upper("url")).otherwise(F.concat(F.lit(" "), F.parse_url("url", F.lit("HOST"))))
+    return control.domain_list(table(spark, d, "pages").select(F.col("page_id").alias("at"), (F.col("page_id") % 7).alias("user"), typed.alias("text")), ["user"], "at")
+
+
 @query
 def clean_domains(spark, d):
     return table(spark, d, "pages").select("page_id", control.clean_domain(F.concat(F.lit(" "), F.col("url"), F.lit(" "))).alias("domain"))
@@ -479,6 +488,12 @@ def saved_roundtrip(spark, d):
     return load_segments(spark, to).select(F.concat(F.lit("in/"), F.regexp_extract("path", r"([^/]*)_masked(\.csv)$", 1), F.lit(".csv")).alias("path"), "seg_id", "text")
 
 
+@query
+def office_extras(spark, d):
+    """Notes, comments, links, headers, names and properties of files, masked, written and read again, beside plain texts."""
+    return _masked_and_read_again(stored(functools.reduce(DataFrame.unionByName, (office_files(spark, d, ext, annotated_file) for ext in ANNOTATED))))
+
+
 def _office_roundtrip(ext: str) -> Query:
     return lambda spark, d: _masked_and_read_again(stored(office_files(spark, d, ext)))
 

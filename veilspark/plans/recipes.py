@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 
 import pandas as pd
@@ -126,14 +127,69 @@ def office_file(ext: str, doc: int, rows: list[tuple[str, str, str]]) -> bytes:
     return out.getvalue()
 
 
-def office_files(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+#: Formats with the parts that hold the line L or the author A of an annotated file, and the segments that these become.
+ANNOTATED = {
+    ".txt": ({"": "L"}, {"doc": "L"}),
+    ".docx": (
+        {
+            "word/document.xml": "<w:d><w:t>plain</w:t></w:d>", "word/header1.xml": "<w:h><w:t>L</w:t></w:h>", "word/footnotes.xml": "<w:f><w:t>L</w:t></w:f>",
+            "word/comments.xml": '<w:c><w:comment w:author="A"><w:t>L</w:t></w:comment></w:c>', "word/_rels/document.xml.rels": '<R><Relationship Id="a" Target="mailto:A" TargetMode="External"/><Relationship Id="b" Target="header1.xml"/></R>',
+            "docProps/core.xml": "<p:p><dc:creator>A</dc:creator></p:p>",
+        },
+        {
+            "t0": "plain", "word/header1.xml@text#0": "L", "word/footnotes.xml@text#0": "L", "word/comments.xml@text#0": "L", "word/comments.xml@author#0": "A", "word/_rels/document.xml.rels@link#0": "mailto:A",
+            "docprops::docProps/core.xml#0": "A",
+        },
+    ),
+    ".pptx": (
+        {
+            "ppt/slides/slide1.xml": "<p><a:t>plain</a:t></p>", "ppt/notesSlides/notesSlide1.xml": "<p><a:t>L</a:t></p>", "ppt/comments/comment1.xml": "<p:cmLst><p:cm><p:text>L</p:text></p:cm></p:cmLst>",
+            "ppt/commentAuthors.xml": '<p:l><p:cmAuthor id="0" name="A"/></p:l>', "ppt/slides/_rels/slide1.xml.rels": '<R><Relationship Id="a" Target="mailto:A" TargetMode="External"/></R>',
+        },
+        {
+            "ppt/slides/slide1.xml#0": "plain", "ppt/notesSlides/notesSlide1.xml#0": "L", "ppt/comments/comment1.xml@text#0": "L", "ppt/commentAuthors.xml@author#0": "A", "ppt/slides/_rels/slide1.xml.rels@link#0": "mailto:A",
+        },
+    ),
+    ".hwpx": ({"Contents/section0.xml": "<hp:s><hp:t>plain</hp:t></hp:s>", "Preview/PrvText.txt": "L"}, {"Contents/section0.xml#0": "plain", "Preview/PrvText.txt#0": "L"}),
+    ".xlsx": (
+        {
+            "xl/workbook.xml": '<workbook xmlns:r="urn:r"><sheets><sheet name="S" r:id="a"/></sheets><definedNames><definedName name="n">"A"</definedName></definedNames></workbook>',
+            "xl/_rels/workbook.xml.rels": '<R><r Id="a" Target="worksheets/s1.xml"/></R>',
+            "xl/worksheets/s1.xml": '<worksheet><sheetData><row><c r="A1" t="inlineStr"><is><t>plain</t></is></c></row></sheetData><hyperlinks><hyperlink ref="A1" display="A"/></hyperlinks></worksheet>',
+            "xl/worksheets/_rels/s1.xml.rels": '<R><r Id="c" Target="../comments1.xml"/><r Id="m" Target="mailto:A" TargetMode="External"/></R>',
+            "xl/comments1.xml": '<comments><authors><author>A</author></authors><commentList><comment ref="A1" authorId="0"><text><t>L</t></text></comment></commentList></comments>',
+            "xl/threadedComments/threadedComment1.xml": '<T><threadedComment ref="A1"><text>L</text></threadedComment></T>', "xl/persons/person.xml": '<P><person displayName="A"/></P>',
+            "docProps/core.xml": '<p xmlns:dc="urn:d"><dc:creator>A</dc:creator></p>', "docProps/custom.xml": '<P xmlns:vt="urn:vt"><property name="owner"><vt:lpwstr>A</vt:lpwstr></property></P>',
+        },
+        {
+            "S!A1": "plain", "xl/workbook.xml@name#0": '"A"', "xl/worksheets/s1.xml@display#0": "A", "xl/worksheets/_rels/s1.xml.rels@link#0": "mailto:A", "xlsxcomment::S!A1#0::t": "L", "xlsxcomment::S!A1#0::a": "A",
+            "xl/threadedComments/threadedComment1.xml@thread#0": "L", "xl/persons/person.xml@person#0": "A", "xlsxprops::Author": "A", "xlsxcustprops::owner": "A",
+        },
+    ),
+}
+
+
+def annotated_file(ext: str, doc: int, rows: list[tuple[str, str, str]]) -> bytes:
+    """A file of a format with the first row's line, and an author, in all places of ANNOTATED."""
+    filled = lambda t, xml: re.sub(r"(?<![A-Za-z])([AL])(?![A-Za-z0-9])", lambda m: f"a{doc}@b.example" if m[1] == "A" else _xml(rows[0][1]) if xml else rows[0][1], t)
+    parts = ANNOTATED[ext][0]
+    if "" in parts:
+        return filled(parts[""], False).encode()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in parts.items():
+            z.writestr(name, filled(body, name.endswith((".xml", ".rels"))))
+    return out.getvalue()
+
+
+def office_files(spark: SparkSession, sf_dir: str, ext: str, make=office_file) -> DataFrame:
     """(path, content): LETTERS as files of a format."""
     lines = spark.sql(LETTERS.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
     by_file = lines.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("key", "name", "line", "memo"))).alias("rows"))
 
     def made(batches):
         for pdf in batches:
-            content = [office_file(ext, doc, [(r["name"], r["line"], r["memo"]) for r in rows]) for doc, rows in zip(pdf["doc"], pdf["rows"], strict=True)]
+            content = [make(ext, doc, [(r["name"], r["line"], r["memo"]) for r in rows]) for doc, rows in zip(pdf["doc"], pdf["rows"], strict=True)]
             yield pd.DataFrame({"path": [f"in/{doc}{ext}" for doc in pdf["doc"]], "content": content})
 
     return by_file.mapInPandas(made, "path string, content binary")
