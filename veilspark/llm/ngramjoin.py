@@ -383,7 +383,8 @@ def components(docs: DataFrame, n: int, num: int, den: int, shared: DataFrame |
     apart = index.where(F.col("kind") == _PAIR).select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(root("a") != root("b")).select("a", "b")
     split = members.join(roots, "k", "left").select("tile", "k", F.coalesce("root", "k").alias("root"))
     torn = split.groupBy("tile").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("first <> last").select("tile", "blocks")
-    dealt = spread_join(split, torn, "tile").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+    # joins by tile and by root have one row for each key on their small side; adaptive execution splits hot keys of the other
+    dealt = split.join(torn, "tile").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
     # a tile of one block is one pair of blocks; a larger one meets itself block by block
     met = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     sided = met.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k", "root").join(cand.select("k", "size", "bits"), "k")
@@ -395,7 +396,7 @@ def components(docs: DataFrame, n: int, num: int, den: int, shared: DataFrame |
     # a large component shrinks to a row for each task before it meets itself
     roots = stash(roots.join(sizes.select("k", "doc"), "k").distinct())
     heads = roots.groupBy("root").agg(F.min(F.struct("doc", "k")).alias("head"))
-    return sizes, spread_join(roots, heads, "root").select("k", F.col("head.k").alias("root"), F.col("head.doc").alias("first"))
+    return sizes, roots.join(heads, "root").select("k", F.col("head.k").alias("root"), F.col("head.doc").alias("first"))
 
 
 def join_documents(docs: DataFrame, n: int = CONTRACT[0], num: int = CONTRACT[1], den: int = CONTRACT[2]) -> DataFrame:
