@@ -144,7 +144,10 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """As encode_documents, but the number of ids and the SHA-256 of ids and decoded text."""
+    """As encode_documents, but the number of ids and the SHA-256 of ids and decoded text.
+
+    Each row is encoded by its own text: rows that repeat a doc_id, or have none, each get theirs; ties do not arise. A very long
+    text is whole, in a group of its own. No rows give no rows."""
     path = path or wordtok.default_path()
 
     def rows(batches):

@@ -195,7 +195,10 @@ def store_documents(docs: DataFrame) -> DataFrame:
 
 
 def digest_documents(docs: DataFrame) -> DataFrame:
-    """Stores each text as store_documents does, reads the stored bytes back and describes both."""
+    """Stores each text as store_documents does, reads the stored bytes back and describes both.
+
+    Each row is described by its own text: rows that repeat a doc_id, or have none, each get theirs; ties do not arise. A null
+    text is empty and padded to one unit; a very long one is whole, alone in its task's memory. No rows give no rows."""
 
     def rows(batches):
         for batch in batches:

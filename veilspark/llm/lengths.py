@@ -68,5 +68,8 @@ def document_lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """suffix_sums over whole texts of docs. The histogram is stored once, since two branches read it."""
+    """suffix_sums over whole texts of docs. The histogram is stored once, since two branches read it.
+
+    Every row counts, those that repeat a document too; null and empty texts have length 0. Rows of one length are one row of
+    the histogram, so ties do not arise. Very long texts are whole. No rows give no rows."""
     return suffix_sums(stash(length_histogram(token_counts(docs, path))))

@@ -118,7 +118,8 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", max_owners: int = MAX_OWNERS, owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """docs with every span that ``scan`` reports replaced by ``mark``; all columns and rows stay, null texts too. Spans that
-    overlap get one mark. Work is linear in the text and its spans: texts are cut as bytes."""
+    overlap get one mark. Assignments, access keys and hex runs are masked whether they are live or widely copied; ownership
+    decides about bare tokens alone. Work is linear in the text and its spans: texts are cut as bytes."""
     shown = _judged(docs, owner, repository, max_owners).where("shown")
     # what no span before reaches begins a new cut
     reach = F.coalesce(F.max("bend").over(W.partitionBy("row").orderBy("start", "ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
