@@ -278,3 +278,38 @@ _as_sql = {"plain": "'plain'", "L": "hidden", "A": _author, "mailto:A": f"'mailt
 ORACLES["office_extras"] = f"WITH l AS (SELECT doc, arg_min({_hidden_line}, key) AS hidden FROM ({LETTERS}) GROUP BY doc) " + " UNION ALL ".join(
     f"SELECT 'in/' || doc || '{ext}' AS path, '{seg}' AS seg_id, {_as_sql[text]} AS text FROM l" for ext, (_, segs) in ANNOTATED.items() for seg, text in segs.items()
 )
+
+
+def _best_path(tags: list[str], scheme: str) -> str:
+    """The decoder as a recursive query: for each time and tag the best score so far and its path; ties go to the lower tag."""
+    split = [(t[0], t[2:]) for t in tags]
+    open_end = scheme == "bio"
+
+    def may(p, n):
+        if p[0] in "BI":
+            return n[1] == p[1] if n[0] in "IE" else open_end
+        return n[0] in "OBS"
+
+    never, n = "-1e9::double", len(tags)
+    first = ", ".join(f"s[1][{j + 1}]" if may(("O", ""), x) else never for j, x in enumerate(split))
+    best, path = [], []
+    for j, x in enumerate(split):
+        came = [f"CASE WHEN best[{i + 1}] > -1e9 THEN best[{i + 1}] + s[t + 1][{j + 1}] ELSE {never} END" for i, p in enumerate(split) if may(p, x)]
+        from_ = [i for i, p in enumerate(split) if may(p, x)]
+        most = f"greatest({', '.join(came)}, {never})"
+        best.append(most)
+        path.append("CASE " + " ".join(f"WHEN ({c}) = ({most}) THEN list_append(path[{i + 1}], {j + 1})" for c, i in zip(came, from_, strict=True)) + f" ELSE list_append(path[1], {j + 1}) END")
+    scores = ", ".join(f"-abs((l_quantity * {i + 1}) % 7 - l_discount * 50)" for i in range(n))
+    kind, category = ([f"'{x[k]}'" for x in split] for k in (0, 1))
+    return f"""WITH RECURSIVE r AS (SELECT l_orderkey AS key, list([{scores}]::double[] ORDER BY l_linenumber, l_partkey, [{scores}]::double[]) AS s FROM lineitem GROUP BY 1),
+v AS (SELECT key, s, 1 AS t, [{first}] AS best, [{', '.join(f'[{j + 1}]' for j in range(n))}] AS path FROM r
+UNION ALL SELECT key, s, t + 1, [{', '.join(best)}], [{', '.join(path)}] FROM v WHERE t < len(s)),
+e AS (SELECT key, s, path[list_position(best, list_max(best))] AS p FROM v WHERE t = len(s)),
+k AS (SELECT key, s, p, unnest(generate_series(1, len(p))) AS i FROM e),
+m AS (SELECT key, s, p, i, [{', '.join(kind)}][p[i]] AS kind, [{', '.join(category)}][p[i]] AS category FROM k),
+w AS (SELECT key, i, kind, category, s[i][p[i]] AS score, sum(CASE WHEN kind IN ('I', 'E') THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY i) AS g FROM m)
+SELECT key, (min(i) - 1)::int AS start, max(i)::int AS "end", arg_min(category, i) AS category, round(avg(score), 6) AS score FROM w GROUP BY key, g HAVING arg_min(kind, i) IN ('B', 'S')"""
+
+
+for _scheme, _tags in (("bio", ["O", "B-X", "I-X", "B-Y", "I-Y"]), ("bioes", ["O", "B-X", "I-X", "E-X", "S-X"])):
+    ORACLES[f"viterbi_{_scheme}"] = _best_path(_tags, _scheme)
