@@ -342,10 +342,13 @@ def _links(pairs: DataFrame, cand: DataFrame, n: int, num: int, den: int) -> Dat
     differ = F.aggregate(F.zip_with(own("a", "b"), own("b", "a"), lambda x, y: F.bit_count(xor(x, y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     both = F.col("size_a") + F.col("size_b")
     most = F.floor((both - differ) / 2)  # elements in common at most
-    sided = spread_join(spread_join(pairs, side("a"), "a"), side("b"), "b")
+    # hot keys are stored, so that plans stay small; every document of pairs is in cand, so the first join keeps the counts of b
+    total = pairs.count()
+    hot = lambda rows, c, n: F.broadcast(stash(hot_keys(rows.groupBy(c).agg(F.count("*").alias("n")), c, n)))
+    sided = spread_join(spread_join(pairs, side("a"), "a", hot=hot(pairs, "a", total)), side("b"), "b", hot=hot(pairs, "b", total))
     near = stash(sided.where(F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num).where(most * den >= (both - most) * num).select("a", "b"))
     # members of one centre are dealt over parts, each of which gets the centre
-    large = hot_keys(near.groupBy("a").agg(F.count("*").alias("n")), "a", near.count())
+    large = hot(near, "a", near.count())
     dealt = near.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1).cast("long"))).alias("part"))
     roles = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("k")).unionByName(dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("k")).distinct())
     together = roles.join(cand.select("k", "text"), "k").repartition(partitions(pairs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "role", "k")
