@@ -45,6 +45,17 @@ def test_one_to_one_is_the_greedy_choice(spark, monkeypatch, same, rounds):
     assert got == want and len(want) > 30
 
 
+def test_span_tables_are_never_broadcast(spark, monkeypatch):
+    """Stored tables look small by their files: no join of span tables, of the rounds or of the counts is planned as a broadcast."""
+    planned, keep = [], intervals.stored
+    monkeypatch.setattr(intervals, "stored", lambda df: planned.append(df) or keep(df))
+    table = lambda shift: keep(spark.range(3000).selectExpr("id AS doc", "0 AS i", f"id % 9 + {shift} AS start", f"id % 9 + {shift} + 3 AS end", "'a' AS category"))
+    r = intervals.evaluate_tables(table(0), table("if(id % 4 = 0, 5, 1)"), ["doc"])
+    assert [tuple(x)[:4] for x in r.collect()] == [("a", 2250, 750, 750)]
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in [*planned, r]]
+    assert not any("Broadcast" in p for p in plans) and sum(p.count("SortMergeJoin") for p in plans) >= 6
+
+
 def test_admission_of_one_long_queue(spark):
     rng = random.Random(8)
     rows = [("big", i, rng.choice([0, 1, 2, 3, 50, 90, 400, None])) for i in range(900)] + [(q, i, rng.randint(0, 80)) for q in ("a", "b", None) for i in range(30)]

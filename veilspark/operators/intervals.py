@@ -16,6 +16,12 @@ from veilspark.stored import stored
 ROUNDS = 12
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is merged and never broadcast: Spark plans by the bytes of stored files, of which narrow
+    columns of many rows have few, while the driver would hold each row."""
+    return df.hint("merge")
+
+
 def _level(start: Column, end: Column) -> Column:
     """The least power of two that is no less than the span is long."""
     return F.ceil(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))).cast("int")
@@ -43,7 +49,7 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     levels = sorted(r[0] for r in both.select(_level(F.col("start"), F.col("end"))).distinct().collect())  # 32 at most
     if not levels:
         levels = [0]
-    met = _binned(left, keys, "l", levels).join(_binned(right, keys, "r", levels), [*keys, "__at"])
+    met = _binned(left, keys, "l", levels).join(_merged(_binned(right, keys, "r", levels)), [*keys, "__at"])
     first = F.expr("shiftright(cast(greatest(l.start, r.start) AS bigint), __at.level)")
     fits = (F.col("__at.level") == F.greatest("__l", "__r")) & (F.col("__at.bin") == first) & (F.col("l.start") < F.col("r.end")) & (F.col("r.start") < F.col("l.end"))
     return met.where(fits).select(*keys, "l", "r")
@@ -54,8 +60,8 @@ def _rounds(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     that e may still have and no earlier e may have p."""
     first = pairs.groupBy("g", "e").agg(F.min("p").alias("p"))
     least = pairs.groupBy("g", "p").agg(F.min("e").alias("e"))
-    done = stored(first.join(least, ["g", "e", "p"]))
-    left = pairs.join(done.select("g", "e"), ["g", "e"], "left_anti").join(done.select("g", "p"), ["g", "p"], "left_anti")
+    done = stored(first.join(_merged(least), ["g", "e", "p"]))
+    left = pairs.join(_merged(done.select("g", "e")), ["g", "e"], "left_anti").join(_merged(done.select("g", "p")), ["g", "p"], "left_anti")
     return done, stored(left)
 
 
@@ -92,8 +98,8 @@ def evaluate_tables(predicted: DataFrame, expected: DataFrame, keys: list[str])
     """What ``evaluation.evaluate`` gives, for span tables (keys, i, start, end, category)."""
     pairs = stored(one_to_one(expected, predicted, keys, same_category=True))
     hit = pairs.select(*keys, F.col("e").alias("i"), F.lit(1).alias("tp"))
-    told = expected.join(hit, [*keys, "i"], "left").select("category", F.coalesce("tp", F.lit(0)).alias("tp"), F.lit(0).alias("fp"), (1 - F.coalesce("tp", F.lit(0))).alias("fn"))
-    false = predicted.join(pairs.select(*keys, F.col("p").alias("i")), [*keys, "i"], "left_anti").select("category", F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn"))
+    told = expected.join(_merged(hit), [*keys, "i"], "left").select("category", F.coalesce("tp", F.lit(0)).alias("tp"), F.lit(0).alias("fp"), (1 - F.coalesce("tp", F.lit(0))).alias("fn"))
+    false = predicted.join(_merged(pairs.select(*keys, F.col("p").alias("i"))), [*keys, "i"], "left_anti").select("category", F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn"))
     sums = told.unionByName(false).groupBy("category").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     return sums.select("category", "tp", "fp", "fn", *scores(F.col("tp"), F.col("fp"), F.col("fn"), 1.0))
 
